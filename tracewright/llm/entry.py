@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tracewright.llm import mixing
+from tracewright.llm import mixing, quality_classifier, quality_rules, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op8_mixing": mixing.op8_mixing,
 }
 
