@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tracewright.llm import mixing, quality_classifier, quality_rules, toxicity
+from tracewright.llm import mixing, quality_classifier, quality_rules, tokens, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+    "op7_token_ids": tokens.op7_token_ids,
     "op8_mixing": mixing.op8_mixing,
 }
 
