@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tracewright.llm import mixing, quality_classifier, quality_rules, tokens, toxicity
+from tracewright.llm import decontamination, licenses, mixing, quality_classifier, quality_rules, tokens, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op7_token_ids": tokens.op7_token_ids,
     "op8_mixing": mixing.op8_mixing,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 
 ORACLE_SQL = {
