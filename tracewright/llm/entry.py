@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracewright.llm import decontamination, licenses, mixing, quality_classifier, quality_rules, tokens, toxicity
+from tracewright.llm import decontamination, jaccard_join, licenses, mixing, quality_classifier, quality_rules, tokens, toxicity
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_license_scan": licenses.op4_license_scan,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_jaccard_join": jaccard_join.OP1_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
