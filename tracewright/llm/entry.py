@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import decontamination, jaccard_join, licenses, mixing, quality_classifier, quality_rules, tokens, toxicity
+from tracewright.llm import decontamination, jaccard_join, language_model, licenses, mixing, quality_classifier, quality_rules, tokens, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+    "op6_language_model": language_model.op6_language_model,
     "op7_token_ids": tokens.op7_token_ids,
     "op8_mixing": mixing.op8_mixing,
     "op10_decontamination": decontamination.op10_decontamination,
