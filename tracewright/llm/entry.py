@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import decontamination, jaccard_join, language_model, licenses, mixing, quality_classifier, quality_rules, tokens, toxicity
+from tracewright.llm import decontamination, html_extraction, jaccard_join, language_model, licenses, mixing, quality_classifier, quality_rules, tokens, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_language_model": language_model.op6_language_model,
     "op7_token_ids": tokens.op7_token_ids,
     "op8_mixing": mixing.op8_mixing,
+    "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 

@@ -149,8 +149,7 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose expected severity is below the limit, all columns."""
-    source = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = spark.sparkContext.broadcast(fit(source, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = spark.sparkContext.broadcast(fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
     def run(batches):
         for piece in _text.slices(batches):
