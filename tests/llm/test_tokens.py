@@ -24,6 +24,13 @@ def test_ids_equal_whole_text_encoding(texts):
     assert n.tolist() == [len(plain(t)) for t in texts]
 
 
+def test_cuts_case_and_marks_change_nothing():
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    texts = [f"{a}{m}b" for a in "AIKSZ=<" for m in marks] + ["a.'s", "don't!", "'S 'LL x'RE.", "a<|endoftext|>b!", "!<|endoftext|>", "x=\u0338y", "3.14%", "a_b-c", "é.É", "No.5's", "K\u212a"]
+    ids, n = tokens.WordIds(PATH).encode(pa.array(texts), 1)
+    assert ids.tolist() == [i for t in texts for i in plain(t)]
+
+
 def test_memory_of_words_is_bounded():
     coder = tokens.WordIds(PATH, most=3)
     for text in ("a b c d e", "f g a", "h i j k l"):
@@ -34,8 +41,8 @@ def test_round_trip(spark):
     rows = [(i * 7 % 8, t, "x") for i, t in enumerate(TEXTS)] + [(None, "no id", "y"), (3, "again", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _tie string").repartition(3)
     folder = f"{shared_folder(spark)}/t"
-    tokens.write(docs.drop("_tie").withColumn("start", docs.doc_id), folder, width="uint16")
-    got = sorted((r.asDict() for r in tokens.read(spark, folder, width="uint16").collect()), key=lambda r: r["rank"])
+    tokens.write(docs.drop("_tie").withColumn("start", docs.doc_id), folder, width="uint32")
+    got = sorted((r.asDict() for r in tokens.read(spark, folder, width="uint32").collect()), key=lambda r: r["rank"])
     assert [r["rank"] for r in got] == list(range(len(rows)))
     ids = [r["doc_id"] for r in got]
     assert ids[0] is None and ids[1:] == sorted(r[0] for r in rows if r[0] is not None)

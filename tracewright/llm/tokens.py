@@ -51,11 +51,36 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return (pafs.LocalFileSystem(use_mmap=True) if isinstance(found, pafs.LocalFileSystem) else found), path
 
 
+#: Marks at which a word can be cut: ASCII ones but for apostrophe and those of special tokens.
+_MARK = _text._table(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<|>")
+_ALNUM = _text._table(c for c in range(33, 127) if chr(c).isalnum())
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut where letters or digits meet marks, see ``WordIds``."""
+    starts, ends, _ = _text.spans(data, offsets, _text.BLANK)
+    mark, letter = _MARK[data], _ALNUM[data]
+    cuts = np.flatnonzero(mark[1:] & letter[:-1] | mark[:-1] & letter[1:]) + 1
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    cuts = cuts[~edge[cuts]]
+    starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+@lru_cache(maxsize=2)
+def _memory(path: str) -> WordIds:
+    """The pieces that this worker knows; it serves many tasks."""
+    return WordIds(path)
+
+
 class WordIds:
-    """Ids of texts, with every distinct word of a task encoded once.
+    """Ids of texts, with every distinct piece of a word encoded once in a worker.
 
-    Blanks never reach an id and no piece of the tokenizer spans one, so a text's ids are those of
-    its words ``[^\\x20\\x09-\\x0D]+`` one after another. The memory of words is emptied at ``most``.
+    Blanks never reach an id and no piece of the tokenizer spans one, nor a change between ASCII
+    letters or digits and ASCII marks (apostrophes and the marks of special tokens aside); case is
+    folded first. So a text's ids are those of such pieces one after another. The memory of pieces
+    is emptied at ``most``.
     """
 
     def __init__(self, path: str, most: int = 2_000_000):
@@ -77,7 +102,8 @@ class WordIds:
     def encode(self, column, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and each text's number of ids."""
         data, offsets = _text.encoded(column)
-        starts, ends, first = _text.spans(data, offsets, _text.BLANK)
+        data = _text.lowered(data)
+        starts, ends, first = _pieces(data, offsets)
         keys, at, back = np.unique(_text.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) > self.most:
             self.clear()
@@ -97,11 +123,12 @@ class WordIds:
         return ids, np.diff(total[np.concatenate([[0], first[1:] + np.arange(1, texts + 1)])])
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, width: str = "uint32") -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, width: str = "uint16") -> DataFrame:
     """Tokenize all texts into files below ``folder`` in ascending ``doc_id`` order; returns the manifest.
 
     Null ids come first; rows of one id are ordered by a hash of their text. A null or empty text
-    is a document of one id, the end. No document gives no partition. A task that runs again
+    is a document of one id, the end. 16 bits hold every id of the tokenizer; wider ids need
+    ``uint32``, one that does not fit fails. No document gives no partition. A task that runs again
     writes files of another name; the manifest names those of the run that counted.
     """
     path, kind = tokenizer or tokenizer_file(), np.dtype(WIDTHS[width])
@@ -111,7 +138,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     def run(batches):
         part, name, n_docs, n_ids = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, 0
         where, root = _filesystem(folder)
-        files, words = None, WordIds(path)
+        files, words = None, _memory(path)
         for piece in _text.slices(batches):
             if files is None:
                 where.create_dir(root, recursive=True)
@@ -147,7 +174,7 @@ def _mapped(where: pafs.FileSystem, path: str, kind: str) -> np.ndarray:
         return np.frombuffer(f.read_buffer(), kind)
 
 
-def read(spark, folder: str, width: str = "uint32") -> DataFrame:
+def read(spark, folder: str, width: str = "uint16") -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32, rank`` of every document, from the files."""
     kind = WIDTHS[width]
     manifest = spark.read.schema("part int, bin string, n_docs long, n_ids long, base_docs long, base_ids long").parquet(f"{folder}/manifest")
