@@ -28,4 +28,5 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
+    from tracewright.operators import profile_queries  # noqa: F401
     from tracewright.plans import program_queries  # noqa: F401
