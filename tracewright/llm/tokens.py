@@ -190,8 +190,8 @@ def read(spark, folder: str, width: str = "uint16") -> DataFrame:
                     crc = [zlib.crc32(np.asarray(ids[b[i] : b[i + 1]]).astype("<u4").tobytes()) for i in range(len(own))]
                     yield pa.record_batch({"doc_id": pa.array(own, mask=own == NULL_ID), "start": pa.array(row["base_ids"] + b[:-1]), "n_tokens": pa.array(np.diff(b)), "ids_crc32": pa.array(crc, pa.int64()), "rank": pa.array(row["base_docs"] + at + np.arange(len(own)))})
 
-    # one file a row: deal them out so that each task maps few
-    spread = manifest.repartition(F.col("part"))
+    # a row is a file to map: a fixed number of partitions, which Spark does not put together again
+    spread = manifest.repartition(max(1, manifest.count()), "part")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, rank long")
 
 
