@@ -32,21 +32,31 @@ def _transitions(spark, sf_dir):
     return S.transitions(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
 
 
-@query("signal_features", f"""WITH {_LINES}
-SELECT doc_id, line_no, f AS feature FROM n, (VALUES ('prohibition', '(?i)\\b(must not|never|forbidden|prohibited|do not)\\b'), ('obligation', '(?i)\\b(must|shall|required)\\b'), ('exception', '(?i)\\b(except|unless|excluding|however)\\b'), ('change', '(?i)\\b(changed|added|removed|migrated|renamed)\\b'), ('quantity', '\\b\\d+(\\.\\d+)?\\s?(%|ms|s|[KMG]i?B)\\b')) t(f, p) WHERE NOT blank AND regexp_matches(line, p)
-UNION ALL SELECT doc_id, line_no, f FROM n, (VALUES ('fatal', '(?i)\\b(fatal|panic|segfault|out of memory)\\b'), ('error', '(?i)\\b(error|exception|failed|failure|traceback)\\b'), ('warning', '(?i)\\b(warn|warning|deprecated)\\b')) t(f, p) WHERE NOT blank AND regexp_matches(line, p) AND NOT regexp_matches(line, '(?i)\\b(no|0|without|zero)\\s+(errors?|failures?|exceptions?|warnings?)\\b')""")
+_LOG = "CASE event_id % 6 WHEN 0 THEN 'ERROR job ' || event_id || ' failed after 12 ms' WHEN 1 THEN '0 errors found' WHEN 2 THEN 'Users must not share keys' WHEN 3 THEN 'unless an admin was added' WHEN 4 THEN 'WARN: deprecated call' ELSE 'ok' END"
+
+
+@query("signal_features", f"""WITH n AS (SELECT user_id, event_id AS line_no, {_LOG} AS line FROM events)
+SELECT user_id, line_no, f AS feature FROM n, (VALUES ('prohibition', '(?i)\\b(must not|never|forbidden|prohibited|do not)\\b'), ('obligation', '(?i)\\b(must|shall|required)\\b'), ('exception', '(?i)\\b(except|unless|excluding|however)\\b'), ('change', '(?i)\\b(changed|added|removed|migrated|renamed)\\b'), ('quantity', '\\b\\d+(\\.\\d+)?\\s?(%|ms|s|[KMG]i?B)\\b')) t(f, p) WHERE regexp_matches(line, p)
+UNION ALL SELECT user_id, line_no, f FROM n, (VALUES ('fatal', '(?i)\\b(fatal|panic|segfault|out of memory)\\b'), ('error', '(?i)\\b(error|exception|failed|failure|traceback)\\b'), ('warning', '(?i)\\b(warn|warning|deprecated)\\b')) t(f, p) WHERE regexp_matches(line, p) AND NOT regexp_matches(line, '(?i)\\b(no|0|without|zero)\\s+(errors?|failures?|exceptions?|warnings?)\\b')""")
 def _features(spark, sf_dir):
-    return S.features(_docs(spark, sf_dir), "doc_id")
+    return S.features(_log(spark, sf_dir), "user_id")
 
 
-@query("signal_pattern_breaks")
-def _breaks(spark, sf_dir):
-    return S.breaks(_docs(spark, sf_dir), "doc_id")
+def _log(spark, sf_dir):
+    """A log line for each event."""
+    return table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("line_no"), F.expr(_LOG).alias("line"), F.lit(False).alias("blank"))
 
 
-@query("signal_exception_link")
+@query("signal_exception_link", f"""WITH n AS (SELECT user_id, event_id AS line_no, {_LOG} AS line FROM events),
+w AS (SELECT *, last_value(CASE WHEN line LIKE 'Users%' THEN line_no END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY line_no ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS rule_line FROM n)
+SELECT user_id, line_no, rule_line FROM w WHERE line LIKE 'unless%' AND rule_line IS NOT NULL""")
 def _links(spark, sf_dir):
-    return S.exception_links(S.lines(table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn")), "id"), "id")
+    return S.exception_links(_log(spark, sf_dir), "user_id")
+
+
+@query("signal_pattern_breaks")
+def _breaks(spark, sf_dir):
+    return S.breaks(_docs(spark, sf_dir), "doc_id")
 
 
 @query("signal_restatements")
