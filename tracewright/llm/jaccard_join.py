@@ -10,21 +10,29 @@ tokens in a class is one entry. By the pigeonhole principle linked sets agree on
 no link is lost, while a passage that thousands of texts share fills no class.
 
 Candidates are verified on their texts. Only connections matter, so postings are first joined to
-their smallest node; a second join looks only at postings that still hold several components.
+their smallest node, the head; a second join looks only at postings that still hold several
+components. Small postings are then joined in themselves. In a large one all members are near the
+head, so they are compared by their differences from it: two sets differ exactly by what their
+differences do, and if one is not linked to the head, linked sets share part of their difference.
+A prefix of the differences, tokens the head lacks first, indexes that join.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import _text
-from tracewright.llm._store import kept
+from tracewright.llm._store import kept, shared_folder
 
 #: A prefix token in more nodes than this is of the frequent class.
 FREQUENT = 8
+#: Postings of more nodes than this are compared by differences from their head.
+LARGE = 16
 _GROWTH = 1.4142135623730951
 
 
@@ -107,28 +115,74 @@ def _entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, node long, n int, prefix array<long>, combos array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b of the node pairs whose texts reach the similarity."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def _texts(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id, text of the nodes' first documents, bucketed by id: joins by id move no text again."""
+    spark = docs.sparkSession
+    ids = reps.join(nodes, "node", "left_semi").select("doc_id")
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"texts_{uuid.uuid4().hex}"
+    part = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").repartition(n, "doc_id")
+    part.write.bucketBy(n, "doc_id").option("path", f"{shared_folder(spark)}/texts").saveAsTable(name)
+    return spark.table(name)
+
+
+def _prefix_of_difference(m: int, n: int, head: int, linked: bool, percent: int) -> int:
+    """How many tokens of a difference of ``m`` tokens index it (see module)."""
+    most = (n + 100 * n // percent) * (100 - percent) // (100 + percent)
+    if linked:  # a partner must not be linked to the head, so its difference is not small
+        least = (-(-percent * n // 100) + head) * (100 - percent) // (100 + percent) + 1
+        common = max(1, -(-(m + least - most) // 2))
+    else:
+        common = max(1, m - most)
+    return max(m - common + 1, 0)
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b, linked, n, difference, prefix of the pairs; the last three only for pairs marked ``large``."""
     who = reps.select("node", "doc_id")
-    texts = docs.select("doc_id", "text")
     named = pairs.join(who.select(F.col("node").alias("b"), F.col("doc_id").alias("_b")), "b").join(who.select(F.col("node").alias("a"), F.col("doc_id").alias("_a")), "a")
-    right = named.join(texts.select(F.col("doc_id").alias("_b"), F.col("text").alias("text_b")), "_b")
-    both = right.join(texts.select(F.col("doc_id").alias("_a"), "text"), "_a")
+    right = named.join(texts.withColumnsRenamed({"doc_id": "_b", "text": "text_b"}), "_b")
+    both = right.join(texts.withColumnRenamed("doc_id", "_a"), "_a")
 
     def run(batches):
         for piece in _text.slices(batches, most=1 << 20):
+            rows = {c: [] for c in ("a", "b", "linked", "n", "difference", "prefix")}
             left, other = token_sets(piece.column("text"), k), token_sets(piece.column("text_b"), k)
-            hit = []
-            for i, (x, y, a, b) in enumerate(zip(left, other, piece.column("a").to_pylist(), piece.column("b").to_pylist(), strict=True)):
+            for x, y, a, b, large in zip(left, other, *(piece.column(c).to_pylist() for c in ("a", "b", "large")), strict=True):
+                if _node(x) != a or _node(y) != b:
+                    continue  # rows of one id may have several texts: only those of the nodes count
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                # rows of one id may have several texts: only those of the nodes count
-                if 100 * common >= percent * (len(x) + len(y) - common) and _node(x) == a and _node(y) == b:
-                    hit.append(i)
-            yield piece.select(["a", "b"]).take(pa.array(hit, pa.int64()))
-
-    assert id_type
-    return both.select("a", "b", "text", "text_b").mapInArrow(run, "a long, b long").distinct()
+                linked = 100 * common >= percent * (len(x) + len(y) - common)
+                if not linked and not large:
+                    continue
+                difference, prefix = None, 0
+                if large:
+                    difference = np.concatenate([np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)]).view(np.int64)
+                    prefix = _prefix_of_difference(len(difference), len(y), len(x), linked, percent)
+                for c, v in zip(rows, (a, b, linked, len(y), difference, prefix), strict=True):
+                    rows[c].append(v)
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.int32())
+            yield pa.record_batch({c: pa.array(rows[c], t) for c, t in zip(rows, kinds, strict=True)})
+
+    return both.select("a", "b", "large", "text", "text_b").mapInArrow(run, "a long, b long, linked boolean, n int, difference array<long>, prefix int")
+
+
+def _around_heads(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """a, b of linked nodes of different components that share the head of a large posting, by their differences from it."""
+    around = stars.where("difference is not null").select(F.col("a").alias("head"), F.col("b").alias("node"), "n", "linked", "difference", "prefix")
+    around = around.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    entry = around.select("head", "node", "n", "linked", "label", F.explode(F.slice("difference", F.lit(1), F.col("prefix"))).alias("token"))
+    # a token that one node has joins nothing
+    common = entry.groupBy("head", "token").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_n > 1 and _low < _high").select("head", "token")
+    entry = entry.join(common, ["head", "token"])
+    x, y = entry.alias("x"), entry.alias("y")
+    near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    met = x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & ~(F.col("x.linked") & F.col("y.linked")) & near)
+    pairs = met.select(F.col("x.head").alias("head"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    side = lambda c: around.select("head", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("difference").alias(f"d_{c}"))
+    both = pairs.join(side("a"), ["head", "a"]).join(side("b"), ["head", "b"])
+    apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
+    common = (F.col("n_a") + F.col("n_b") - apart) / 2
+    return both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b").distinct()
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -152,7 +206,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         state = after.select("node", "label")
 
 
-def linked(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
+def linked(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = FREQUENT, large: int = LARGE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text, ...)``.
 
     Texts link when the similarity of their sets of distinct ``k``-word shingles is at least
@@ -168,28 +222,32 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = FREQU
     single = reps.select("node", "n", F.explode("prefix").alias("token"))
     shared = single.groupBy("token").count().where("count > 1")
     tagged = kept(single.join(shared, "token"), "prefixes")
-    rare = tagged.where(F.col("count") <= frequent).select("token", "node", "n")
+    rare = tagged.where(F.col("count") <= frequent).select("token", "node", "n", "count")
     often = tagged.where(F.col("count") > frequent).select("node").distinct()
     combo = reps.join(often, "node", "left_semi").select(F.explode("combos").alias("token"), "node", "n")
-    combo = combo.join(combo.groupBy("token").count().where("count > 1").select("token"), "token").select("token", "node", "n")
+    combo = combo.join(combo.groupBy("token").count().where("count > 1"), "token").select("token", "node", "n", "count")
     postings = kept(rare.unionByName(combo), "postings")
 
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     heads = postings.groupBy("token").agg(F.min(F.struct("node", "n")).alias("_head"))
-    star = postings.join(heads, "token").where(F.col("node") != F.col("_head.node")).where(fits(F.col("n"), F.col("_head.n")))
-    first = kept(star.select(F.col("_head.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    edges = kept(_verified(first, docs, reps, k, percent), "links")
+    star = postings.join(heads, "token").where(F.col("node") != F.col("_head.node")).where(fits(F.col("n"), F.col("_head.n")) | (F.col("count") > large))
+    first = kept(star.groupBy(F.col("_head.node").alias("a"), F.col("node").alias("b")).agg((F.max("count") > large).alias("large")), "pairs")
+    texts = _texts(docs, reps, postings.select("node").distinct())
+    stars = kept(_compared(first, texts, reps, k, percent), "stars")
+    edges = stars.where("linked").select("a", "b")
     base = reps.select("node", F.col("doc_id").alias("label"))
     labels = components(edges, base)
 
-    known = kept(postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    # untouched nodes carry their node as label: another space, but equal only to themselves in a posting
+    # nodes without links carry their node as label: another space, but equal only to themselves
+    known = postings.where(F.col("count") <= large).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = kept(known, "labelled")
     open_ = known.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("token")
     rest = known.join(open_, "token")
     left, right = rest.alias("l"), rest.alias("r")
     more = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label")) & fits(F.col("l.n"), F.col("r.n")))
-    second = more.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    edges = edges.unionByName(_verified(kept(second, "pairs"), docs, reps, k, percent))
+    second = more.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti").withColumn("large", F.lit(False))
+    second = _compared(kept(second, "pairs"), texts, reps, k, percent).select("a", "b")
+    edges = edges.unionByName(second).unionByName(_around_heads(stars, labels, percent))
     final = components(edges, base)
 
     named = groups.join(final, "node", "left").select("node", F.coalesce("label", "doc_id").alias("_component"))
