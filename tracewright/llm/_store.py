@@ -20,5 +20,5 @@ def shared_folder(spark: SparkSession) -> str:
 def kept(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -120,8 +120,9 @@ def _texts(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ids = reps.join(nodes, "node", "left_semi").select("doc_id")
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"texts_{uuid.uuid4().hex}"
-    part = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").repartition(n, "doc_id")
-    part.write.bucketBy(n, "doc_id").option("path", f"{shared_folder(spark)}/texts").saveAsTable(name)
+    # dealt by id before the semi-join, which then moves ids only: every text is shuffled once
+    part = docs.select("doc_id", "text").repartition(n, "doc_id").join(ids, "doc_id", "left_semi")
+    part.write.bucketBy(n, "doc_id").option("path", f"{shared_folder(spark)}/texts").option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
