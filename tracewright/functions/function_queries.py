@@ -35,7 +35,7 @@ def _classify(spark, sf_dir):
     return df.select("p_partkey", X.classified(df, "p_type", {"metal": ["steel", "brass"], "size": ["small"]}).alias("label"))
 
 
-@query("text_complete", "SELECT n_nationkey, n_nationkey + 3 * (n_regionkey + 1) AS next FROM nation")
+@query("text_complete", "SELECT n_nationkey, (n_nationkey + 3 * (n_regionkey + 1))::DOUBLE AS next FROM nation")
 def _complete(spark, sf_dir):
     k, s = F.col("n_nationkey"), F.col("n_regionkey") + 1
     return table(spark, sf_dir, "nation").select("n_nationkey", X.next_value(F.array(k, k + s, k + 2 * s)).alias("next"))

@@ -84,7 +84,8 @@ def strengths(line: Column) -> dict[str, Column]:
     out = {}
     for role in ("severity", "constraint", "exception", "concrete"):
         own = F.filter(F.array(*[F.when(line.rlike(p) & (~line.rlike(_NEGATED) if r == "severity" else F.lit(True)), F.lit(s)) for _, r, s, p in FEATURES if r == role]), lambda v: v.isNotNull())
-        out[role] = F.when(F.size(own) > 0, F.least(F.lit(1.0), F.array_max(own) + F.least(F.lit(0.18), 0.06 * (F.size(own) - 1)))).otherwise(0.0)
+        # bound to a lambda's variable, so that the patterns run once
+        out[role] = F.transform(F.array(own), lambda o: F.when(F.size(o) > 0, F.least(F.lit(1.0), F.array_max(o) + F.least(F.lit(0.18), 0.06 * (F.size(o) - 1)))).otherwise(0.0))[0]
     return out
 
 
@@ -156,7 +157,8 @@ def breaks(x: DataFrame, key: str, width: int = 3) -> DataFrame:
 def findings(x: DataFrame, key: str) -> DataFrame:
     """key, line_no, score, level, rank of every nonblank line: weighted parts, floors for severe lines and prohibitions."""
     y = x.where(~F.col("blank")).withColumn("tpl", F.xxhash64(template(F.col("line"))))
-    s = strengths(F.col("line"))
+    y = y.withColumns({f"_s_{role}": c for role, c in strengths(F.col("line")).items()})
+    s = {role: F.col(f"_s_{role}") for role in ("severity", "constraint", "exception", "concrete")}
     b = breaks(x, key).groupBy(key, "line_no").agg(F.least(F.lit(1.0), 0.6 + 0.2 * (F.count(F.lit(1)) - 1)).alias("pattern_break"))
     y = y.withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(key))).withColumn("_own", F.count(F.lit(1)).over(Window.partitionBy(key, "tpl")))
     rarity = F.when(F.col("_all") >= 5, 1 - F.least(F.lit(1.0), F.col("_own") * 5 / F.col("_all"))).otherwise(0.0)
