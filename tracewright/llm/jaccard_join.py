@@ -11,10 +11,11 @@ no link is lost, while a passage that thousands of texts share fills no class.
 
 Candidates are verified on their texts. Only connections matter, so postings are first joined to
 their smallest node, the head; a second join looks only at postings that still hold several
-components. Small postings are then joined in themselves. In a large one all members are near the
-head, so they are compared by their differences from it: two sets differ exactly by what their
-differences do, and if one is not linked to the head, linked sets share part of their difference.
-A prefix of the differences, tokens the head lacks first, indexes that join.
+components. Small postings are then joined in themselves. In a large one the most central member
+takes the head's place, and members are compared by their differences from it: two sets differ
+exactly by what their differences do, and if one is not linked to the centre, linked sets share
+part of their difference. A prefix of the differences, rare tokens first, indexes that join; its
+large postings are centred again.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm import _text
@@ -33,6 +34,8 @@ from tracewright.llm._store import kept, shared_folder
 FREQUENT = 8
 #: Postings of more nodes than this are compared by differences from their head.
 LARGE = 16
+#: Large postings of differences are centred anew so many times; then all their pairs are compared.
+LEVELS = 3
 _GROWTH = 1.4142135623730951
 
 
@@ -126,19 +129,8 @@ def _texts(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def _prefix_of_difference(m: int, n: int, head: int, linked: bool, percent: int) -> int:
-    """How many tokens of a difference of ``m`` tokens index it (see module)."""
-    most = (n + 100 * n // percent) * (100 - percent) // (100 + percent)
-    if linked:  # a partner must not be linked to the head, so its difference is not small
-        least = (-(-percent * n // 100) + head) * (100 - percent) // (100 + percent) + 1
-        common = max(1, -(-(m + least - most) // 2))
-    else:
-        common = max(1, m - most)
-    return max(m - common + 1, 0)
-
-
 def _compared(pairs: DataFrame, texts: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b, linked, n, difference, prefix of the pairs; the last three only for pairs marked ``large``."""
+    """a, b, linked, and of pairs marked ``large`` also n (of b), head_n (of a) and their difference."""
     who = reps.select("node", "doc_id")
     named = pairs.join(who.select(F.col("node").alias("b"), F.col("doc_id").alias("_b")), "b").join(who.select(F.col("node").alias("a"), F.col("doc_id").alias("_a")), "a")
     right = named.join(texts.withColumnsRenamed({"doc_id": "_b", "text": "text_b"}), "_b")
@@ -146,7 +138,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, reps: DataFrame, k: int, perce
 
     def run(batches):
         for piece in _text.slices(batches, most=1 << 20):
-            rows = {c: [] for c in ("a", "b", "linked", "n", "difference", "prefix")}
+            rows = {c: [] for c in ("a", "b", "linked", "n", "head_n", "difference")}
             left, other = token_sets(piece.column("text"), k), token_sets(piece.column("text_b"), k)
             for x, y, a, b, large in zip(left, other, *(piece.column(c).to_pylist() for c in ("a", "b", "large")), strict=True):
                 if _node(x) != a or _node(y) != b:
@@ -155,35 +147,78 @@ def _compared(pairs: DataFrame, texts: DataFrame, reps: DataFrame, k: int, perce
                 linked = 100 * common >= percent * (len(x) + len(y) - common)
                 if not linked and not large:
                     continue
-                difference, prefix = None, 0
-                if large:
-                    difference = np.concatenate([np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)]).view(np.int64)
-                    prefix = _prefix_of_difference(len(difference), len(y), len(x), linked, percent)
-                for c, v in zip(rows, (a, b, linked, len(y), difference, prefix), strict=True):
+                difference = np.setxor1d(x, y, assume_unique=True).view(np.int64) if large else None
+                for c, v in zip(rows, (a, b, linked, len(y), len(x), difference), strict=True):
                     rows[c].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.int32())
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
             yield pa.record_batch({c: pa.array(rows[c], t) for c, t in zip(rows, kinds, strict=True)})
 
-    return both.select("a", "b", "large", "text", "text_b").mapInArrow(run, "a long, b long, linked boolean, n int, difference array<long>, prefix int")
+    return both.select("a", "b", "large", "text", "text_b").mapInArrow(run, "a long, b long, linked boolean, n int, head_n int, difference array<long>")
 
 
-def _around_heads(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """a, b of linked nodes of different components that share the head of a large posting, by their differences from it."""
-    around = stars.where("difference is not null").select(F.col("a").alias("head"), F.col("b").alias("node"), "n", "linked", "difference", "prefix")
-    around = around.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    entry = around.select("head", "node", "n", "linked", "label", F.explode(F.slice("difference", F.lit(1), F.col("prefix"))).alias("token"))
-    # a token that one node has joins nothing
-    common = entry.groupBy("head", "token").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_n > 1 and _low < _high").select("head", "token")
-    entry = entry.join(common, ["head", "token"])
-    x, y = entry.alias("x"), entry.alias("y")
-    near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    met = x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & ~(F.col("x.linked") & F.col("y.linked")) & near)
-    pairs = met.select(F.col("x.head").alias("head"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    side = lambda c: around.select("head", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("difference").alias(f"d_{c}"))
-    both = pairs.join(side("a"), ["head", "a"]).join(side("b"), ["head", "b"])
-    apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
-    common = (F.col("n_a") + F.col("n_b") - apart) / 2
-    return both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b").distinct()
+def _recentred(members: DataFrame, percent: int) -> DataFrame:
+    """group, node, n, difference, label, linked, centre, centre_n: differences from the group's most central member.
+
+    Tokens that most members' differences hold are what the old reference alone has or lacks. The
+    member nearest to the reference so corrected is the centre, and ``x ^ centre`` is
+    ``(x ^ reference) ^ (centre ^ reference)``: no text is read again.
+    """
+    size = members.groupBy("group").agg(F.count(F.lit(1)).alias("_size"))
+    often = members.select("group", F.explode("difference").alias("token")).groupBy("group", "token").agg(F.count(F.lit(1)).alias("_f")).where("_f > 1")
+    major = often.join(size, "group").where("2 * _f > _size").groupBy("group").agg(F.collect_list("token").alias("_major"))
+    away = members.join(major, "group", "left").withColumn("_major", F.coalesce("_major", F.array().cast("array<long>")))
+    apart = F.size("difference") + F.size("_major") - 2 * F.size(F.array_intersect("difference", "_major"))
+    centre = away.groupBy("group").agg(F.min_by(F.struct("node", "n", "label", "difference"), F.struct(apart, F.col("node"))).alias("_c"))
+    both = members.join(centre, "group")
+    difference = F.concat(F.array_except("difference", "_c.difference"), F.array_except("_c.difference", "difference"))
+    both = both.select("group", "node", "n", difference.alias("difference"), "label", F.col("_c.node").alias("centre"), F.col("_c.n").alias("centre_n"), F.col("_c.label").alias("_l"))
+    linked = F.size("difference") * (100 + percent) <= (F.col("n") + F.col("centre_n")) * (100 - percent)
+    return kept(both.withColumn("linked", linked).withColumn("own", F.col("label")).withColumn("label", F.when(linked, F.col("_l")).otherwise(F.col("label"))).drop("_l"), "recentred")
+
+
+def _difference_prefix(percent: int):
+    """How many tokens of a difference index it (see module)."""
+    m, n = F.size("difference"), F.col("n")
+    most = F.floor((n + F.floor(100 * n / percent)) * (100 - percent) / (100 + percent))
+    least = F.floor((F.ceil(percent * n / 100) + F.col("centre_n")) * (100 - percent) / (100 + percent)) + 1  # of a partner not linked to the centre
+    common = F.when(F.col("linked"), F.ceil((m + least - most) / 2)).otherwise(m - most)
+    return F.greatest(m - F.greatest(common, F.lit(1)) + 1, F.lit(0))
+
+
+def _around_heads(stars: DataFrame, labels: DataFrame, percent: int, large: int) -> DataFrame:
+    """a, b of linked nodes of different components that share a large posting, by their differences from its centre."""
+    far = stars.where("difference is not null")
+    heads = far.groupBy("a").agg(F.max("head_n").alias("n")).select(F.col("a").alias("group"), F.col("a").alias("node"), "n", F.array().cast("array<long>").alias("difference"))
+    members = far.select(F.col("a").alias("group"), F.col("b").alias("node"), "n", "difference").unionByName(heads)
+    members = kept(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
+    edges = None
+    for level in range(LEVELS):
+        around = _recentred(members, percent)
+        found = around.where("linked and node <> centre and own <> label").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+        open_ = around.where("not linked").select("group").distinct()
+        entry = around.join(open_, "group", "left_semi").select("group", "node", "n", "linked", "label", _difference_prefix(percent).alias("_prefix"), F.explode("difference").alias("token"))
+        # tokens of one component, or of linked members alone, need no pairs: they come first in the order
+        often = entry.groupBy("group", "token").agg(F.count(F.lit(1)).alias("_f"), F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("linked").alias("_all")).where("_f > 1 and _low < _high and not _all").select("group", "token", "_f")
+        order = Window.partitionBy("group", "node").orderBy(F.coalesce("_f", F.lit(0)), "token")
+        entry = kept(entry.join(often, ["group", "token"], "left").withColumn("_at", F.row_number().over(order)).where("_at <= _prefix and _f is not null").drop("_at", "_prefix"), "entries")
+        last = level == LEVELS - 1
+        pairing = entry if last else entry.where(F.col("_f") <= large)
+        x, y = pairing.alias("x"), pairing.alias("y")
+        near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+        met = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & ~(F.col("x.linked") & F.col("y.linked")) & near)
+        pairs = met.select(F.col("x.group").alias("group"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        side = lambda c: around.select("group", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("difference").alias(f"d_{c}"))  # noqa: B023, E731
+        both = pairs.join(side("a"), ["group", "a"]).join(side("b"), ["group", "b"])
+        apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
+        found = found.unionByName(both.where(apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b"))
+        edges = found if edges is None else edges.unionByName(found)
+        if last:
+            break
+        rest = entry.where(F.col("_f") > large).select("group", "node", F.xxhash64("group", "token").alias("_next"))
+        if rest.isEmpty():
+            break
+        members = kept(rest.join(around.select("group", "node", "n", "difference", "label"), ["group", "node"]).select(F.col("_next").alias("group"), "node", "n", "difference", "label"), "members")
+    return edges.distinct()
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -248,7 +283,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = FREQU
     more = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label")) & fits(F.col("l.n"), F.col("r.n")))
     second = more.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti").withColumn("large", F.lit(False))
     second = _compared(kept(second, "pairs"), texts, reps, k, percent).select("a", "b")
-    edges = edges.unionByName(second).unionByName(_around_heads(stars, labels, percent))
+    edges = edges.unionByName(second).unionByName(_around_heads(stars, labels, percent, large))
     final = components(edges, base)
 
     named = groups.join(final, "node", "left").select("node", F.coalesce("label", "doc_id").alias("_component"))
