@@ -191,20 +191,27 @@ def _around_heads(stars: DataFrame, labels: DataFrame, percent: int, large: int)
     heads = far.groupBy("a").agg(F.max("head_n").alias("n")).select(F.col("a").alias("group"), F.col("a").alias("node"), "n", F.array().cast("array<long>").alias("difference"))
     members = far.select(F.col("a").alias("group"), F.col("b").alias("node"), "n", "difference").unionByName(heads)
     members = kept(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
+    # a group of one component has nothing to find
+    several = members.groupBy("group").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("group")
+    members = members.join(several, "group", "left_semi")
     edges = None
     for level in range(LEVELS):
         around = _recentred(members, percent)
         found = around.where("linked and node <> centre and own <> label").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-        open_ = around.where("not linked").select("group").distinct()
-        entry = around.join(open_, "group", "left_semi").select("group", "node", "n", "linked", "label", _difference_prefix(percent).alias("_prefix"), F.explode("difference").alias("token"))
+        open_ = around.groupBy("group").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("linked").alias("_all")).where("_low < _high and not _all").select("group")
+        entry = around.join(open_, "group", "left_semi").select("group", "node", "n", "linked", "label", F.size("difference").alias("m"), _difference_prefix(percent).alias("_prefix"), F.explode("difference").alias("token"))
         # tokens of one component, or of linked members alone, need no pairs: they come first in the order
         often = entry.groupBy("group", "token").agg(F.count(F.lit(1)).alias("_f"), F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("linked").alias("_all")).where("_f > 1 and _low < _high and not _all").select("group", "token", "_f")
         order = Window.partitionBy("group", "node").orderBy(F.coalesce("_f", F.lit(0)), "token")
-        entry = kept(entry.join(often, ["group", "token"], "left").withColumn("_at", F.row_number().over(order)).where("_at <= _prefix and _f is not null").drop("_at", "_prefix"), "entries")
+        entry = kept(entry.join(often, ["group", "token"], "left").withColumn("_at", F.row_number().over(order)).where("_at <= _prefix and _f is not null").drop("_prefix"), "entries")
         last = level == LEVELS - 1
         pairing = entry if last else entry.where(F.col("_f") <= large)
         x, y = pairing.alias("x"), pairing.alias("y")
         near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+        # the two differences must share so many tokens, so the first shared one stands early in both
+        most = F.floor((F.col("x.n") + F.col("y.n")) * (100 - percent) / (100 + percent))
+        share = F.greatest(F.ceil((F.col("x.m") + F.col("y.m") - most) / 2), F.lit(1))
+        near &= (F.col("x._at") <= F.col("x.m") - share + 1) & (F.col("y._at") <= F.col("y.m") - share + 1)
         met = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & ~(F.col("x.linked") & F.col("y.linked")) & near)
         pairs = met.select(F.col("x.group").alias("group"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         side = lambda c: around.select("group", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("difference").alias(f"d_{c}"))  # noqa: B023, E731
