@@ -73,7 +73,7 @@ def zscore_outliers(df: DataFrame, key: list[str], field: str, limit: float = 2.
     by = by or []
     x = df.select(*dict.fromkeys([*key, *by]), F.col(field).cast("double").alias("value")).where("value is not null")
     stats = x.groupBy(*by).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    both = x.join(F.broadcast(stats), by) if by else x.crossJoin(F.broadcast(stats))
+    both = x.join(stats, by) if by else x.crossJoin(F.broadcast(stats))
     z = (F.col("value") - F.col("_m")) / F.col("_s")
     return both.where((F.col("_n") >= LEAST) & (F.col("_s") > 0)).withColumn("z", z).where(F.abs("z") > limit).select(*dict.fromkeys([*key, *by]), "value", r4(F.col("z")).alias("z"))
 
@@ -143,7 +143,7 @@ def temporal_gaps(df: DataFrame, stamp: str, by: list[str] | None = None, times:
     span = t.groupBy(*by).agg((F.max("ms") - F.min("ms")).alias("_span"))
     mid = quantiles(step.select(*by, F.col("gap").cast("double").alias("gap")), by, "gap", {"_median": 0.5})
     stats = span.join(mid, by) if by else span.crossJoin(mid)
-    both = step.join(F.broadcast(stats), by) if by else step.crossJoin(F.broadcast(stats))
+    both = step.join(stats, by) if by else step.crossJoin(F.broadcast(stats))
     return both.where((F.col("gap") > times * F.col("_median")) & (F.col("gap") > least_share * F.col("_span"))).select(*by, F.col("_from").alias("from_ms"), F.col("ms").alias("to_ms"), "gap")
 
 
