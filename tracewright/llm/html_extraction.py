@@ -1,10 +1,11 @@
 """HTML extraction with a host suffix array.
 
 Pages are cut into blocks. Blocks inside the article (``article``, ``main``) are its text; blocks
-inside marked boilerplate (menus, footers, adverts, forms and so on) go. What is left outside an
-article, or all text of a page without one, may be either: the token streams of a host's pages are
-laid end to end, their suffixes sorted by the first ``RUN`` tokens, and equal neighbours from
-distinct pages mark long repeated substrings. Tokens they cover go, unique runs stay.
+inside marked boilerplate (menus, footers, adverts, forms and so on) go, unless the marked element
+holds an article. What is left outside the article of any page, or all text of a page without one,
+may be either: these blocks' token streams are laid end to end, their suffixes grouped by host and
+first ``RUN`` tokens, and groups on ``SHARE`` of the host's pages, ``PAGES`` at least, mark
+boilerplate. Tokens they cover go, the rest stays in page order.
 
 Passages that articles of one host share are text, not boilerplate, so the suffix array does not
 touch blocks inside an article.
@@ -26,6 +27,10 @@ from tracewright.llm._store import kept
 
 #: Tokens that a repeated substring has at least.
 RUN = 8
+#: Boilerplate is on so many pages of its host at least ...
+PAGES = 3
+#: ... and on this share of those that have RUN tokens outside an article.
+SHARE = 0.5
 
 #: Elements whose text is never shown or never prose.
 HIDDEN = frozenset("head script style noscript template svg math iframe object canvas audio video select option datalist textarea button".split())
@@ -42,12 +47,47 @@ RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noscript"))
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[A-Za-z]+")
+_PART = re.compile(r"[-_]+")
 
 
 def _marked(attributes: str) -> bool:
-    """Whether class, id or role name boilerplate."""
-    return any(w.lower() in MARKS for m in _MARK.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or ""))
+    """Whether a whole token of class, id or role names boilerplate: ``cookie-notice`` does, ``has-sidebar`` does not."""
+    tokens = (t for m in _MARK.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").lower().split())
+    return any(all(w in MARKS for w in _PART.split(t.strip("-_"))) for t in tokens)
+
+
+def _holders(html: str) -> set[int]:
+    """Where the elements begin that have an ``article`` or ``main`` inside."""
+    out: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+    at = 0
+    while m := _TAG.search(html, at):
+        at = m.end()
+        end, name, attributes = m[1], (m[2] or "").lower(), m[3] or ""
+        if not name or name in VOID or attributes.endswith("/"):
+            continue
+        if name in BLOCKS and stack and stack[-1][0] == "p":  # a paragraph ends where the next block begins
+            count["p"] -= 1
+            stack.pop()
+        if end:
+            while count.get(name):
+                top = stack.pop()[0]
+                count[top] -= 1
+                if top == name:
+                    break
+            continue
+        if name in RAW:
+            at = _after(html, at, name)
+            continue
+        if name in ("article", "main"):
+            for _, place in reversed(stack):
+                if place in out:
+                    break  # so are all around it
+                out.add(place)
+        stack.append((name, m.start()))
+        count[name] = count.get(name, 0) + 1
+    return out
 
 
 def blocks(html: str | None) -> list[tuple[str, bool]]:
@@ -56,6 +96,7 @@ def blocks(html: str | None) -> list[tuple[str, bool]]:
     out: list[tuple[str, bool]] = []
     parts: list[str] = []
     depth = 0  # of articles
+    holders = _holders(html)
     closing, nested = "", 0  # the boilerplate element that is open, and how many of its name
     at = 0
 
@@ -81,7 +122,7 @@ def blocks(html: str | None) -> list[tuple[str, bool]]:
                 nested += -1 if end else 1
             if closing == "p" and (name in BLOCKS):  # a paragraph ends where the next block begins
                 nested = 0
-            if closing == "head" and name == "body":
+            if closing == "head" and (name == "body" or name in BLOCKS):
                 nested = 0
             if nested <= 0:
                 closed, closing = closing, ""
@@ -99,7 +140,7 @@ def blocks(html: str | None) -> list[tuple[str, bool]]:
             continue
         if name in ("article", "main") and not empty:
             depth += 1
-        elif not empty and name not in ("body", "html") and (name in HIDDEN or name in BOILERPLATE or name == "title" or (name == "header" and not depth) or _marked(attributes)):
+        elif not empty and name not in ("body", "html") and (name in HIDDEN or name == "title" or (m.start() not in holders and (name in BOILERPLATE or (name == "header" and not depth) or _marked(attributes)))):
             if name in RAW:
                 at = _after(html, at, name)
             else:
@@ -122,21 +163,19 @@ def _host(url) -> F.Column:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """row, page_id, url, host, blocks and which of them are inside an article, kept as a table."""
+    """row, page_id, url, host, blocks and which of them are inside an article (``inside``), kept as a table."""
     id_type = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches):
         row = TaskContext.get().partitionId() << 33
         for piece in _text.slices(batches, "html"):
             found = [blocks(h) for h in piece.column("html").to_pylist()]
-            # a page with an article has its text there; else every unmarked block is a candidate
-            texts = [[t for t, own in f if own] or [t for t, _ in f] for f in found]
-            inside = [any(own for _, own in f) for f in found]
-            yield pa.record_batch({"row": pa.array(row + np.arange(piece.num_rows)), "page_id": piece.column("page_id"), "url": piece.column("url"), "host": piece.column("host"), "blocks": pa.array(texts, pa.list_(pa.string())), "inside": pa.array(inside)})
+            texts, inside = [[t for t, _ in f] for f in found], [[own for _, own in f] for f in found]
+            yield pa.record_batch({"row": pa.array(row + np.arange(piece.num_rows)), "page_id": piece.column("page_id"), "url": piece.column("url"), "host": piece.column("host"), "blocks": pa.array(texts, pa.list_(pa.string())), "inside": pa.array(inside, pa.list_(pa.bool_()))})
             row += piece.num_rows
 
     source = pages.select("page_id", F.col("url").cast("string").alias("url"), _host(F.col("url")).alias("host"), "html")
-    return kept(source.mapInArrow(run, f"row long, page_id {id_type}, url string, host string, blocks array<string>, inside boolean"), "blocks")
+    return kept(source.mapInArrow(run, f"row long, page_id {id_type}, url string, host string, blocks array<string>, inside array<boolean>"), "blocks")
 
 
 def _suffixes(batches):
@@ -153,13 +192,16 @@ def _uncovered(batches):
     """Remove blocks that are covered whole, and covered runs of RUN tokens; unique runs stay, joined by one space."""
     for batch in batches:
         out = []
-        for texts, places in zip(batch.column("blocks").to_pylist(), batch.column("places").to_pylist(), strict=True):
+        for texts, inside, places in zip(*(batch.column(c).to_pylist() for c in ("blocks", "inside", "places")), strict=True):
             words = [t.split() for t in texts]
-            covered = np.zeros(sum(map(len, words)) + RUN, bool)
+            covered = np.zeros(sum(len(w) for w, own in zip(words, inside, strict=True) if not own) + RUN, bool)
             for p in places or []:
                 covered[p : p + RUN] = True
             at, left = 0, []
-            for w in words:
+            for w, own, t in zip(words, inside, texts, strict=True):
+                if own:
+                    left.append(t)
+                    continue
                 hit = covered[at : at + len(w)].copy()
                 at += len(w)
                 if not hit.all():  # a few words at a run's end that are like the neighbour's beginning stay
@@ -167,9 +209,9 @@ def _uncovered(batches):
                     for a, b in zip(edge[::2], edge[1::2], strict=True):
                         if b - a < RUN:
                             hit[a:b] = False
-                own = " ".join(x for x, c in zip(w, hit.tolist(), strict=True) if not c)
-                if own:
-                    left.append(own)
+                unique = " ".join(x for x, c in zip(w, hit.tolist(), strict=True) if not c)
+                if unique:
+                    left.append(unique)
             out.append("\n".join(left))
         yield pa.record_batch({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(out, pa.string())})
 
@@ -183,12 +225,16 @@ def extracted(pages: DataFrame) -> DataFrame:
     table = parsed(pages)
     id_type = table.schema["page_id"].dataType.simpleString()
     shape = f"page_id {id_type}, url string, text string"
-    plain = table.where("inside or size(blocks) = 0").select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
-    open_ = table.where("not inside and size(blocks) > 0")
-    suffix = open_.select("row", "host", F.array_join("blocks", "\n").alias("stream")).mapInArrow(_suffixes, "host string, suffix long, row long, place int")
-    repeated = suffix.groupBy("host", "suffix").agg(F.min("row").alias("_low"), F.max("row").alias("_high")).where("_low < _high").select("host", "suffix")
+    outside = F.filter(F.arrays_zip("blocks", "inside"), lambda x: ~x["inside"])
+    table = table.withColumn("stream", F.array_join(F.transform(outside, lambda x: x["blocks"]), "\n"))
+    plain = table.where("stream = ''").select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
+    open_ = table.where("stream <> ''")
+    suffix = open_.select("row", "host", "stream").mapInArrow(_suffixes, "host string, suffix long, row long, place int")
+    pages_ = suffix.select("host", "row").distinct().groupBy("host").agg(F.greatest(F.ceil(F.count(F.lit(1)) * SHARE), F.lit(PAGES)).alias("_least"))
+    shared = suffix.select("host", "suffix", "row").distinct().groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("_pages")).where(f"_pages >= {PAGES}")
+    repeated = shared.join(pages_, "host").where("_pages >= _least").select("host", "suffix")
     places = suffix.join(repeated, ["host", "suffix"]).groupBy("row").agg(F.collect_list("place").alias("places"))
-    rest = open_.join(places, "row", "left").select("page_id", "url", "blocks", "places").mapInArrow(_uncovered, shape)
+    rest = open_.join(places, "row", "left").select("page_id", "url", "blocks", "inside", "places").mapInArrow(_uncovered, shape)
     return plain.unionByName(rest).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
