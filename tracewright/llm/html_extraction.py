@@ -3,9 +3,14 @@
 Pages are cut into blocks. Blocks inside the article (``article``, ``main``) are its text; blocks
 inside marked boilerplate (menus, footers, adverts, forms and so on) go, unless the marked element
 holds an article. What is left outside the article of any page, or all text of a page without one,
-may be either: these blocks' token streams are laid end to end, their suffixes grouped by host and
-first ``RUN`` tokens, and groups on ``SHARE`` of the host's pages, ``PAGES`` at least, mark
-boilerplate. Tokens they cover go, the rest stays in page order.
+may be either: these blocks' token streams are laid end to end and their suffixes grouped by host
+and first ``RUN`` tokens. A group on ``SHARE`` of the host's distinct pages, ``PAGES`` at least, is
+part of a repeated run, and a block that such runs cover whole goes; all others stay whole, in page
+order. Suffixes need no sorting for that: a repeated run of ``RUN`` tokens or more covers the same
+tokens as all its windows of ``RUN``, which are repeated on the same pages.
+
+Equal pages and near copies (``ALIKE`` percent of their windows, by the exact join of
+``jaccard_join``) of a host count as one page, else a copied article would look like boilerplate.
 
 Passages that articles of one host share are text, not boilerplate, so the suffix array does not
 touch blocks inside an article.
@@ -24,13 +29,16 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import _text
 from tracewright.llm._store import kept
+from tracewright.llm.jaccard_join import linked
 
 #: Tokens that a repeated substring has at least.
 RUN = 8
 #: Boilerplate is on so many pages of its host at least ...
 PAGES = 3
-#: ... and on this share of those that have RUN tokens outside an article.
+#: ... and on this share of its distinct pages that have RUN tokens outside an article.
 SHARE = 0.5
+#: Pages of a host are one if this percentage of their windows of RUN words is the same.
+ALIKE = 90
 
 #: Elements whose text is never shown or never prose.
 HIDDEN = frozenset("head script style noscript template svg math iframe object canvas audio video select option datalist textarea button".split())
@@ -189,29 +197,19 @@ def _suffixes(batches):
 
 
 def _uncovered(batches):
-    """Remove blocks that are covered whole, and covered runs of RUN tokens; unique runs stay, joined by one space."""
+    """Remove the blocks outside an article that repeated runs cover whole."""
     for batch in batches:
         out = []
         for texts, inside, places in zip(*(batch.column(c).to_pylist() for c in ("blocks", "inside", "places")), strict=True):
-            words = [t.split() for t in texts]
-            covered = np.zeros(sum(len(w) for w, own in zip(words, inside, strict=True) if not own) + RUN, bool)
+            size = [0 if own else len(t.split()) for t, own in zip(texts, inside, strict=True)]
+            covered = np.zeros(sum(size) + RUN, bool)
             for p in places or []:
                 covered[p : p + RUN] = True
             at, left = 0, []
-            for w, own, t in zip(words, inside, texts, strict=True):
-                if own:
+            for n, own, t in zip(size, inside, texts, strict=True):
+                if own or not covered[at : at + n].all():
                     left.append(t)
-                    continue
-                hit = covered[at : at + len(w)].copy()
-                at += len(w)
-                if not hit.all():  # a few words at a run's end that are like the neighbour's beginning stay
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-                    for a, b in zip(edge[::2], edge[1::2], strict=True):
-                        if b - a < RUN:
-                            hit[a:b] = False
-                unique = " ".join(x for x, c in zip(w, hit.tolist(), strict=True) if not c)
-                if unique:
-                    left.append(unique)
+                at += n
             out.append("\n".join(left))
         yield pa.record_batch({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(out, pa.string())})
 
@@ -219,8 +217,9 @@ def _uncovered(batches):
 def extracted(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages(page_id, url, html, ...)``.
 
-    A null or empty html gives an empty text. A page without a host shares its stream with other
-    such pages. Repeated rows are distinct pages to the suffix array. Other columns are ignored.
+    A null or empty html gives an empty text. Nothing is known of the pages beside a page without
+    a host: all its text stays. Repeated rows each get a row, and count as one page. Other columns
+    are ignored.
     """
     table = parsed(pages)
     id_type = table.schema["page_id"].dataType.simpleString()
@@ -229,9 +228,14 @@ def extracted(pages: DataFrame) -> DataFrame:
     table = table.withColumn("stream", F.array_join(F.transform(outside, lambda x: x["blocks"]), "\n"))
     plain = table.where("stream = ''").select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
     open_ = table.where("stream <> ''")
-    suffix = open_.select("row", "host", "stream").mapInArrow(_suffixes, "host string, suffix long, row long, place int")
-    pages_ = suffix.select("host", "row").distinct().groupBy("host").agg(F.greatest(F.ceil(F.count(F.lit(1)) * SHARE), F.lit(PAGES)).alias("_least"))
-    shared = suffix.select("host", "suffix", "row").distinct().groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("_pages")).where(f"_pages >= {PAGES}")
+    hosted = kept(open_.where("host <> ''").select("row", "host", "stream", F.array_join("blocks", "\n").alias("text")), "streams")
+    if hosted.isEmpty():  # no page has text outside an article that its host could judge
+        return plain.unionByName(open_.select("page_id", "url", F.array_join("blocks", "\n").alias("text"))).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    alike = linked(hosted.select(F.col("row").alias("doc_id"), "text"), RUN, ALIKE).select(F.col("doc_id").alias("row"), F.col("component_id").alias("page"))
+    suffix = hosted.select("row", "host", "stream").mapInArrow(_suffixes, "host string, suffix long, row long, place int")
+    own = suffix.join(alike, "row")
+    pages_ = own.select("host", "page").distinct().groupBy("host").agg(F.greatest(F.ceil(F.count(F.lit(1)) * SHARE), F.lit(PAGES)).alias("_least"))
+    shared = own.select("host", "suffix", "page").distinct().groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("_pages")).where(f"_pages >= {PAGES}")
     repeated = shared.join(pages_, "host").where("_pages >= _least").select("host", "suffix")
     places = suffix.join(repeated, ["host", "suffix"]).groupBy("row").agg(F.collect_list("place").alias("places"))
     rest = open_.join(places, "row", "left").select("page_id", "url", "blocks", "inside", "places").mapInArrow(_uncovered, shape)
