@@ -1,6 +1,7 @@
 """Toxicity: cumulative-link ordinal regression over sparse text features.
 
-Features are hashed words and word beginnings. On a bounded sample of labelled documents the
+Features are hashed words and word beginnings. On a bounded sample of the distinct labelled texts,
+weighted so that each label has its share of all of them (severity means the same at every size), the
 features that go with toxic labels are selected by chi-square; the sample's toxic documents are
 graded 1 to 3 by how often those features occur, the others are grade 0. A proportional-odds
 model, one weight vector for all ordered thresholds, gives P(grade > k), and their sum is the
@@ -17,13 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import _text
+from tracewright.llm._store import kept
 
 BITS = 20
 #: Beginnings of words that are features besides whole words, in bytes.
 PREFIXES = (4, 5, 6)
 GRADES = 4
-#: At most so many labelled documents are fitted on, half of them toxic if there are enough.
+#: At most so many labelled texts are fitted on, half of them toxic if there are enough.
 MOST_LABELLED = 8000
+#: Texts whose features are held at once in fitting.
+PIECE = 500
 MIN_DOCUMENTS = 4
 MIN_CHI2 = 60.0
 REJECT = 0.3
@@ -68,24 +72,34 @@ def _distinct(column, toxic: np.ndarray):
     return column.take(pa.array(at)), toxic[at]
 
 
-def train(column, toxic: np.ndarray, steps: int = 500, rate: float = 0.5, ridge: float = 2e-5) -> Model:
-    """Fit on labelled texts; deterministic."""
+def train(column, toxic: np.ndarray, steps: int = 500, rate: float = 0.5, ridge: float = 2e-5, share: float | None = None) -> Model:
+    """Fit on labelled texts, toxic ones weighted to be ``share`` of all (None: as they are); deterministic."""
     column, toxic = _distinct(column, toxic)
     n = len(toxic)
-    bucket, text = features(column)
-    seen = np.unique(text << BITS | bucket)
-    doc, feat = seen >> BITS, seen & ((1 << BITS) - 1)
-    with_, all_ = np.bincount(feat[toxic[doc] > 0], minlength=1 << BITS), np.bincount(feat, minlength=1 << BITS)
-    share = toxic.sum() / max(n, 1)
+    own = toxic.sum() / max(n, 1)
+    share = own if share is None or not 0 < own < 1 else share
+    weight = np.where(toxic > 0, share / max(own, 1e-9), (1 - share) / max(1 - own, 1e-9)) if n else np.zeros(0)
+    bad = toxic > 0
+    pieces = range(0, n, PIECE)  # the features of all texts at once would be too large for a driver
+    documents, others = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for at in pieces:
+        bucket, text = features(column.slice(at, PIECE))
+        seen = np.unique(text << BITS | bucket)
+        ill = bad[at + (seen >> BITS)]
+        feat = seen & ((1 << BITS) - 1)
+        documents += np.bincount(feat[ill], minlength=1 << BITS)
+        others += np.bincount(feat[~ill], minlength=1 << BITS)
+    heavy, light = (float(weight[x][0]) if x.any() else 0.0 for x in (bad, ~bad))
+    with_, all_ = documents * heavy, documents * heavy + others * light
     expected = all_ * share
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = np.nan_to_num((with_ - expected) ** 2 / (expected * max(1 - share, 1e-9)))
-    chosen = np.flatnonzero((with_ >= MIN_DOCUMENTS) & (with_ > expected) & (chi2 >= MIN_CHI2))
-    row, col, value = _sparse(bucket, text, chosen)
+    chosen = np.flatnonzero((documents >= MIN_DOCUMENTS) & (with_ > expected) & (chi2 >= MIN_CHI2))
+    found = [(at + r, c, v) for at in pieces for r, c, v in [_sparse(*features(column.slice(at, PIECE)), chosen)]]
+    row, col, value = (np.concatenate([x[i] for x in found] or [np.zeros(0, t)]) for i, t in enumerate((np.int64, np.int64, float)))
     # grades from labels: 0, or 1..3 by the amount of evidence among the toxic ones
     evidence = np.bincount(row, weights=value, minlength=n)
     grade = np.zeros(n, np.int64)
-    bad = toxic > 0
     if bad.any():
         cuts = np.quantile(evidence[bad], [1 / 3, 2 / 3])
         grade[bad] = 1 + np.searchsorted(cuts, evidence[bad], side="right")
@@ -96,7 +110,7 @@ def train(column, toxic: np.ndarray, steps: int = 500, rate: float = 0.5, ridge:
     m = v = np.zeros(len(chosen) + GRADES - 1)
     for step in range(1, steps + 1):
         eta = np.bincount(row, weights=value * w[col], minlength=n)
-        residual = above - 1 / (1 + np.exp(-np.clip(eta[:, None] - theta, -30, 30)))
+        residual = weight[:, None] * (above - 1 / (1 + np.exp(-np.clip(eta[:, None] - theta, -30, 30))))
         g_w = np.bincount(col, weights=value * residual.sum(1)[row], minlength=len(chosen)) / max(n, 1) - ridge * w
         g = np.concatenate([g_w, -residual.mean(0)]) if n else np.zeros(len(m))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -107,15 +121,20 @@ def train(column, toxic: np.ndarray, steps: int = 500, rate: float = 0.5, ridge:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """Fit on at most ``most`` labelled documents, chosen by a hash of their id."""
+    """Fit on at most ``most`` distinct labelled texts, chosen by their hash: copies under other ids change nothing."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64("doc_id")
+    texts = docs.where("text <> ''").select("doc_id", F.xxhash64("text").alias("_hash"))
+    # a text with both labels is toxic
+    distinct = kept(texts.join(known, "doc_id").groupBy("_hash").agg(F.max("toxic").alias("_toxic"), F.min("doc_id").alias("doc_id")), "labelled")
+    total = {r["_toxic"]: r["count"] for r in distinct.groupBy("_toxic").count().collect()}
     ids = None
     for value in (1, 0):
-        part = known.where(F.col("toxic") == value).orderBy(order, "doc_id").limit(most // 2)
+        part = distinct.where(F.col("_toxic") == value).orderBy("_hash").limit(most // 2)
         ids = part if ids is None else ids.unionByName(part)
-    sample = docs.select("doc_id", "text").join(ids.withColumnRenamed("toxic", "_toxic"), "doc_id").select("doc_id", "text", "_toxic").toArrow().sort_by("doc_id")
-    return train(sample["text"], sample["_toxic"].to_numpy(zero_copy_only=False).astype(np.int64))
+    chosen = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash")).join(ids, ["doc_id", "_hash"]).dropDuplicates(["_hash"])
+    sample = chosen.select("_hash", "text", "_toxic").toArrow().sort_by("_hash")
+    share = total.get(1, 0) / max(total.get(0, 0) + total.get(1, 0), 1)
+    return train(sample["text"], sample["_toxic"].to_numpy(zero_copy_only=False).astype(np.int64), share=share)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
