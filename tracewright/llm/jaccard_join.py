@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tracewright.llm import _text
 from tracewright.llm._store import kept, shared_folder
@@ -118,13 +119,37 @@ def _entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, node long, n int, prefix array<long>, combos array<long>")
 
 
-def _texts(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """doc_id, text of the nodes' first documents, bucketed by id: joins by id move no text again."""
+def _one_of_each(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """One of ``rows`` for each (doc_id, node) of ``wanted``, all columns."""
+    shape = rows.schema
+
+    def run(batches):
+        for piece in _text.slices(batches):
+            node = pa.array([_node(s) for s in token_sets(piece.column("text"), k)], pa.int64())
+            yield pa.record_batch([*piece.columns, node], [*piece.schema.names, "_node"])
+
+    named = rows.mapInArrow(run, StructType([*shape.fields, StructField("_node", LongType())]))
+    own = wanted.select("doc_id", F.col("node").alias("_node"))
+    return named.join(own, ["doc_id", "_node"], "left_semi").dropDuplicates(["doc_id", "_node"]).select(*shape.names)
+
+
+def _repeated(ids: DataFrame) -> DataFrame:
+    """doc_id of several rows."""
+    return ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+
+
+def _texts(docs: DataFrame, ids: DataFrame, reps: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """doc_id, text of the nodes' first documents, one row for each node, bucketed by id: joins by id move no text again."""
     spark = docs.sparkSession
-    ids = reps.join(nodes, "node", "left_semi").select("doc_id")
+    wanted = reps.join(nodes, "node", "left_semi").select("doc_id", "node")
+    several = kept(wanted.join(_repeated(ids), "doc_id"), "several")
+    alone = wanted.join(several.select("doc_id"), "doc_id", "left_anti").select("doc_id")
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"texts_{uuid.uuid4().hex}"
     # dealt by id before the semi-join, which then moves ids only: every text is shuffled once
-    part = docs.select("doc_id", "text").repartition(n, "doc_id").join(ids, "doc_id", "left_semi")
+    part = docs.select("doc_id", "text").repartition(n, "doc_id").join(alone, "doc_id", "left_semi")
+    if not several.isEmpty():
+        rows = docs.select("doc_id", "text").join(several.select("doc_id"), "doc_id", "left_semi")
+        part = part.unionByName(_one_of_each(rows, several, k).repartition(n, "doc_id"))
     part.write.bucketBy(n, "doc_id").option("path", f"{shared_folder(spark)}/texts").option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
@@ -249,14 +274,8 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         state = after.select("node", "label")
 
 
-def linked(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = FREQUENT, large: int = LARGE) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text, ...)``.
-
-    Texts link when the similarity of their sets of distinct ``k``-word shingles is at least
-    ``percent`` / 100; ``component_id`` is the smallest id that links reach, the own one included.
-    A null, empty or blank text has no shingles and links with nothing; a null id never names a
-    component that also has another id. Repeated rows each get a row. Other columns are ignored.
-    """
+def _components(docs: DataFrame, k: int, percent: int, frequent: int, large: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, node, n`` of every row, and ``node, doc_id, component`` of every node: its smallest id, the smallest node it is linked to."""
     ids = kept(_ids(docs, k), "ids")
     groups = ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     # where all ids of a node are null, no row joins and nothing is linked
@@ -275,13 +294,12 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = FREQU
     heads = postings.groupBy("token").agg(F.min(F.struct("node", "n")).alias("_head"))
     star = postings.join(heads, "token").where(F.col("node") != F.col("_head.node")).where(fits(F.col("n"), F.col("_head.n")) | (F.col("count") > large))
     first = kept(star.groupBy(F.col("_head.node").alias("a"), F.col("node").alias("b")).agg((F.max("count") > large).alias("large")), "pairs")
-    texts = _texts(docs, reps, postings.select("node").distinct())
+    texts = _texts(docs, ids, reps, postings.select("node").distinct(), k)
     stars = kept(_compared(first, texts, reps, k, percent), "stars")
     edges = stars.where("linked").select("a", "b")
-    base = reps.select("node", F.col("doc_id").alias("label"))
+    base = reps.select("node", F.col("node").alias("label"))  # not ids: one id may be in several components
     labels = components(edges, base)
 
-    # nodes without links carry their node as label: another space, but equal only to themselves
     known = postings.where(F.col("count") <= large).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = kept(known, "labelled")
     open_ = known.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("token")
@@ -293,7 +311,19 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = FREQU
     edges = edges.unionByName(second).unionByName(_around_heads(stars, labels, percent, large))
     final = components(edges, base)
 
-    named = groups.join(final, "node", "left").select("node", F.coalesce("label", "doc_id").alias("_component"))
+    return ids, groups.join(final, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("component"))
+
+def linked(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = FREQUENT, large: int = LARGE) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text, ...)``.
+
+    Texts link when the similarity of their sets of distinct ``k``-word shingles is at least
+    ``percent`` / 100; ``component_id`` is the smallest id that links reach, the own one included.
+    A null, empty or blank text has no shingles and links with nothing; a null id never names a
+    component that also has another id. Repeated rows each get a row. Other columns are ignored.
+    """
+    ids, nodes = _components(docs, k, percent, frequent, large)
+    names = nodes.groupBy("component").agg(F.min("doc_id").alias("_component"))
+    named = nodes.join(names, "component").select("node", "_component")
     return ids.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("_component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -303,13 +333,18 @@ def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one whose id names it; 5-word shingles, similarity 0.8.
+    """One document of each component, the first by id and set; 5-word shingles, similarity 0.8.
 
-    Of several rows with that id one stays; rows with a null id stay.
+    Rows of one id with other texts are other documents. Of texts without words one stays for each
+    id; rows with a null id stay.
     """
-    found = linked(docs)
-    keep = found.where("doc_id = component_id or n_shingles = 0").select("doc_id").distinct()
-    own = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ids, nodes = _components(docs, 5, 80, FREQUENT, LARGE)
+    first = nodes.where("doc_id is not null").groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("_f"))
+    keep = kept(first.select("_f.doc_id", "_f.node").unionByName(ids.where("n = 0 and doc_id is not null").select("doc_id", "node").distinct()), "survivors")
+    several = kept(_repeated(ids), "several")
+    own = docs.join(keep.join(several, "doc_id", "left_anti"), "doc_id", "left_semi")
+    if not several.isEmpty():
+        own = own.unionByName(_one_of_each(docs.join(several, "doc_id", "left_semi"), keep, 5).select(*own.columns))
     return own.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
