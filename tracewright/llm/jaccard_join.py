@@ -1,27 +1,31 @@
 """N-gram Jaccard join with token-combination prefixes.
 
 A text's set holds the hashes of its distinct k-word shingles. Equal sets become one node. With
-tokens in one global order (their hash), two sets of similarity ``t`` share their first common
-token inside the prefixes of ``n - ceil(t * n) + 1`` tokens. Prefix tokens that few nodes have are
-indexed singly. A node whose prefix holds a token of the frequent class is indexed by token
-combinations instead: its prefix is extended to the whole set, the tokens are dealt by hash into a
-few more classes than two linked sets of that size can differ in tokens, and the combination of all
-tokens in a class is one entry. By the pigeonhole principle linked sets agree on a whole class, so
-no link is lost, while a passage that thousands of texts share fills no class.
-
-Candidates are verified on their texts. Only connections matter, so postings are first joined to
-their smallest node, the head; a second join looks only at postings that still hold several
-components. Small postings are then joined in themselves. In a large one the most central member
-takes the head's place, and members are compared by their differences from it: two sets differ
-exactly by what their differences do, and if one is not linked to the centre, linked sets share
-part of their difference. A prefix of the differences, rare tokens first, indexes that join; its
-large postings are centred again.
+tokens in hash order, two sets of similarity ``t`` share a token inside their prefixes of
+``n - ceil(t * n) + 1`` tokens, and ``e`` more if the prefixes are extended by ``e`` tokens. Each
+node stores its extended prefix; tokens that more than ``FREQUENT`` nodes store are of the frequent
+class. A node that stores fewer of them than its partners' extensions have tokens is *plain*: it
+shares a rare token with every set it links with, and is indexed by its rare tokens alone. A
+passage that thousands of texts share makes no posting.
+
+The other nodes are *deep*: many of their tokens are frequent, as in large groups of near copies.
+To compare them with each other their prefix is extended to the whole set and ordered by the tokens'
+exact frequencies, rare first. A node whose prefix holds rare tokens alone is indexed by them; one
+whose prefix reaches the frequent class is indexed by token combinations too: its tokens are dealt
+by hash into a few more classes than two linked sets of that size can differ in tokens, and the
+combination of all tokens in a class is one entry. By the pigeonhole principle linked sets agree on
+a whole class, so no link is lost.
+
+Candidates are verified on their texts. Nodes that combinations hold together are a family. A
+small family is compared in itself. In a large one the member with the smallest share of rare tokens is
+the centre, and members are compared by their differences from it: two sets differ exactly by what
+their differences do, and if one is not linked to the centre, linked sets share part of their
+difference. A prefix of the differences, rare tokens first, indexes that join; members of its large
+postings are compared by combinations of one more token, around a new centre.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -29,14 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tracewright.llm import _text
-from tracewright.llm._store import kept, shared_folder
+from tracewright.llm._store import Workspace, kept
 
-#: A prefix token in more nodes than this is of the frequent class.
+#: A token in more nodes than this is of the frequent class.
 FREQUENT = 8
-#: Postings of more nodes than this are compared by differences from their head.
+#: Families and postings of more nodes than this are compared by differences from their centre.
 LARGE = 16
-#: Large postings of differences are centred anew so many times; then all their pairs are compared.
-LEVELS = 3
+#: Large postings of differences are centred anew so many times; what is then left of them is compared directly.
+LEVELS = 4
 _GROWTH = 1.4142135623730951
 
 
@@ -102,23 +106,6 @@ def _ids(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, node long, n long")
 
 
-def _entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, node, n, prefix, combos of every row that has tokens."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        for piece in _text.slices(batches):
-            sets = token_sets(piece.column("text"), k)
-            some = [i for i, s in enumerate(sets) if len(s)]
-            sets = [sets[i] for i in some]
-            prefix = [s[: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64) for s in sets]
-            combos = [_combinations(s, percent).view(np.int64) for s in sets]
-            pack = lambda xs: _text.lists(np.concatenate([np.zeros(0, np.int64), *xs]), np.cumsum([0, *map(len, xs)]))
-            yield pa.record_batch({"doc_id": piece.column("doc_id").take(pa.array(some, pa.int64())), "node": pa.array([_node(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "prefix": pack(prefix), "combos": pack(combos)})
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, node long, n int, prefix array<long>, combos array<long>")
-
-
 def _one_of_each(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """One of ``rows`` for each (doc_id, node) of ``wanted``, all columns."""
     shape = rows.schema
@@ -138,180 +125,260 @@ def _repeated(ids: DataFrame) -> DataFrame:
     return ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
 
 
-def _texts(docs: DataFrame, ids: DataFrame, reps: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def _head(n: int, percent: int) -> int:
+    """How many tokens of a set of ``n`` are stored: its prefix and some more, the extension."""
+    prefix = n - -(-percent * n // 100) + 1
+    return min(n, prefix + prefix // 5 + 8)
+
+
+def _slack(percent: int):
+    """How many stored tokens of a plain node may be frequent: the extension of the smallest set that links with it.
+
+    Linked sets with extensions of ``e`` tokens or more have ``e + 1`` common tokens among those
+    both store, so one of them at least is not frequent.
+    """
+    n = F.ceil(percent * F.col("n") / 100)
+    prefix = n - F.ceil(percent * n / 100) + 1
+    return F.least(n, prefix + F.floor(prefix / 5) + 8) - prefix
+
+
+def _repeated(ids: DataFrame) -> DataFrame:
+    """doc_id of several rows."""
+    return ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+
+
+def _head(n: int, percent: int) -> int:
+    """How many tokens of a set of ``n`` are stored: its prefix and a little more, in place of frequent ones."""
+    prefix = n - -(-percent * n // 100) + 1
+    return min(n, prefix + prefix // 5 + 8)
+
+
+def _repeated(ids: DataFrame) -> DataFrame:
+    """doc_id of several rows."""
+    return ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+
+
+def _texts(docs: DataFrame, ids: DataFrame, groups: DataFrame, k: int, work: Workspace) -> DataFrame:
     """doc_id, text of the nodes' first documents, one row for each node, bucketed by id: joins by id move no text again."""
-    spark = docs.sparkSession
-    wanted = reps.join(nodes, "node", "left_semi").select("doc_id", "node")
-    several = kept(wanted.join(_repeated(ids), "doc_id"), "several")
+    wanted = groups.where("doc_id is not null").select("doc_id", "node")
+    several = work.keep(wanted.join(_repeated(ids), "doc_id"), "several")
     alone = wanted.join(several.select("doc_id"), "doc_id", "left_anti").select("doc_id")
-    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"texts_{uuid.uuid4().hex}"
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # dealt by id before the semi-join, which then moves ids only: every text is shuffled once
     part = docs.select("doc_id", "text").repartition(n, "doc_id").join(alone, "doc_id", "left_semi")
     if not several.isEmpty():
         rows = docs.select("doc_id", "text").join(several.select("doc_id"), "doc_id", "left_semi")
         part = part.unionByName(_one_of_each(rows, several, k).repartition(n, "doc_id"))
-    part.write.bucketBy(n, "doc_id").option("path", f"{shared_folder(spark)}/texts").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    return work.bucketed(part, "texts", "doc_id", n)
+
 
+def _sets(texts: DataFrame, k: int, percent: int | None = None) -> DataFrame:
+    """doc_id, node, n, tokens of every text: the whole set in hash order, or (with ``percent``) its head."""
+    id_type = texts.schema["doc_id"].dataType.simpleString()
 
-def _compared(pairs: DataFrame, texts: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b, linked, and of pairs marked ``large`` also n (of b), head_n (of a) and their difference."""
-    who = reps.select("node", "doc_id")
+    def run(batches):
+        for piece in _text.slices(batches):
+            sets = token_sets(piece.column("text"), k)
+            own = [s if percent is None else s[: _head(len(s), percent)] for s in sets]
+            tokens = _text.lists(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64), np.cumsum([0, *map(len, own)]))
+            yield pa.record_batch({"doc_id": piece.column("doc_id"), "node": pa.array([_node(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "tokens": tokens})
+
+    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, node long, n long, tokens array<long>")
+
+
+def _prefix(percent: int):
+    """Length of the prefix of a set."""
+    return F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+
+
+def _fits(percent: int, a: str, b: str):
+    """Whether sets of these sizes can link."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _met(entries: DataFrame, percent: int) -> DataFrame:
+    """a, b of nodes that can link and share a token of entries (token, node, n, deep), not both deep."""
+    x, y = entries.alias("x"), entries.alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & ~(F.col("x.deep") & F.col("y.deep")) & _fits(percent, "x.n", "y.n"))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose texts are linked."""
+    who = nodes.select("node", "doc_id")
     named = pairs.join(who.select(F.col("node").alias("b"), F.col("doc_id").alias("_b")), "b").join(who.select(F.col("node").alias("a"), F.col("doc_id").alias("_a")), "a")
-    right = named.join(texts.withColumnsRenamed({"doc_id": "_b", "text": "text_b"}), "_b")
-    both = right.join(texts.withColumnRenamed("doc_id", "_a"), "_a")
+    both = named.join(texts.withColumnsRenamed({"doc_id": "_b", "text": "text_b"}), "_b").join(texts.withColumnRenamed("doc_id", "_a"), "_a")
 
     def run(batches):
         for piece in _text.slices(batches, most=1 << 20):
-            rows = {c: [] for c in ("a", "b", "linked", "n", "head_n", "difference")}
+            found = []
             left, other = token_sets(piece.column("text"), k), token_sets(piece.column("text_b"), k)
-            for x, y, a, b, large in zip(left, other, *(piece.column(c).to_pylist() for c in ("a", "b", "large")), strict=True):
-                if _node(x) != a or _node(y) != b:
-                    continue  # rows of one id may have several texts: only those of the nodes count
+            for x, y, a, b in zip(left, other, *(piece.column(c).to_pylist() for c in ("a", "b")), strict=True):
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                linked = 100 * common >= percent * (len(x) + len(y) - common)
-                if not linked and not large:
-                    continue
-                difference = np.setxor1d(x, y, assume_unique=True).view(np.int64) if large else None
-                for c, v in zip(rows, (a, b, linked, len(y), len(x), difference), strict=True):
-                    rows[c].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.record_batch({c: pa.array(rows[c], t) for c, t in zip(rows, kinds, strict=True)})
+                # an id may have several texts: only those of the nodes count
+                if 100 * common >= percent * (len(x) + len(y) - common) and _node(x) == a and _node(y) == b:
+                    found.append((a, b))
+            yield pa.record_batch({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("a", "b"))})
+
+    return both.select("a", "b", "text", "text_b").mapInArrow(run, "a long, b long")
+
+
+def _combined(sets: DataFrame, percent: int) -> DataFrame:
+    """token, node: the token combinations of whole sets (node, tokens)."""
 
-    return both.select("a", "b", "large", "text", "text_b").mapInArrow(run, "a long, b long, linked boolean, n int, head_n int, difference array<long>")
+    def run(batches):
+        for batch in batches:
+            found = [_combinations(np.asarray(t.values, np.int64).view(np.uint64), percent).view(np.int64) for t in batch.column("tokens")]
+            yield pa.record_batch({"token": pa.array(np.concatenate([np.zeros(0, np.int64), *found])), "node": pa.array(np.repeat(batch.column("node").to_numpy(), [len(f) for f in found]), pa.int64())})
+
+    return sets.select("node", "tokens").mapInArrow(run, "token long, node long")
+
+
+def _most(percent: int, a="n", b=None):
+    """In how many tokens linked sets of these sizes differ at most; without ``b`` for any partner."""
+    total = F.col(a) + (F.floor(100 * F.col(a) / percent) if b is None else F.col(b))
+    return F.floor(total * (100 - percent) / (100 + percent))
 
 
-def _recentred(members: DataFrame, percent: int) -> DataFrame:
-    """group, node, n, difference, label, linked, centre, centre_n: differences from the group's most central member.
+def _recentred(members: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """group, node, n, difference, label, linked, centre, centre_n, own: differences from the member nearest to the old centre.
 
-    Tokens that most members' differences hold are what the old reference alone has or lacks. The
-    member nearest to the reference so corrected is the centre, and ``x ^ centre`` is
-    ``(x ^ reference) ^ (centre ^ reference)``: no text is read again.
+    ``x ^ centre`` is ``(x ^ old) ^ (centre ^ old)``: no set is read again.
     """
-    size = members.groupBy("group").agg(F.count(F.lit(1)).alias("_size"))
-    often = members.select("group", F.explode("difference").alias("token")).groupBy("group", "token").agg(F.count(F.lit(1)).alias("_f")).where("_f > 1")
-    major = often.join(size, "group").where("2 * _f > _size").groupBy("group").agg(F.collect_list("token").alias("_major"))
-    away = members.join(major, "group", "left").withColumn("_major", F.coalesce("_major", F.array().cast("array<long>")))
-    apart = F.size("difference") + F.size("_major") - 2 * F.size(F.array_intersect("difference", "_major"))
-    centre = away.groupBy("group").agg(F.min_by(F.struct("node", "n", "label", "difference"), F.struct(apart, F.col("node"))).alias("_c"))
+    centre = members.groupBy("group").agg(F.min_by(F.struct("node", "n", "label", "difference"), F.struct(F.size("difference"), F.col("node"))).alias("_c"))
     both = members.join(centre, "group")
     difference = F.concat(F.array_except("difference", "_c.difference"), F.array_except("_c.difference", "difference"))
     both = both.select("group", "node", "n", difference.alias("difference"), "label", F.col("_c.node").alias("centre"), F.col("_c.n").alias("centre_n"), F.col("_c.label").alias("_l"))
-    linked = F.size("difference") * (100 + percent) <= (F.col("n") + F.col("centre_n")) * (100 - percent)
-    return kept(both.withColumn("linked", linked).withColumn("own", F.col("label")).withColumn("label", F.when(linked, F.col("_l")).otherwise(F.col("label"))).drop("_l"), "recentred")
+    near = F.size("difference") <= _most(percent, "n", "centre_n")
+    return work.keep(both.withColumn("linked", near).withColumn("own", F.col("label")).withColumn("label", F.when(near, F.col("_l")).otherwise(F.col("label"))).drop("_l"), "recentred")
 
 
-def _difference_prefix(percent: int):
-    """How many tokens of a difference index it (see module)."""
+def _shared_least(percent: int):
+    """How many tokens the difference of a member shares at least with that of any partner that counts (see module)."""
     m, n = F.size("difference"), F.col("n")
-    most = F.floor((n + F.floor(100 * n / percent)) * (100 - percent) / (100 + percent))
+    most = _most(percent)
     least = F.floor((F.ceil(percent * n / 100) + F.col("centre_n")) * (100 - percent) / (100 + percent)) + 1  # of a partner not linked to the centre
-    common = F.when(F.col("linked"), F.ceil((m + least - most) / 2)).otherwise(m - most)
-    return F.greatest(m - F.greatest(common, F.lit(1)) + 1, F.lit(0))
-
-
-def _around_heads(stars: DataFrame, labels: DataFrame, percent: int, large: int) -> DataFrame:
-    """a, b of linked nodes of different components that share a large posting, by their differences from its centre."""
-    far = stars.where("difference is not null")
-    heads = far.groupBy("a").agg(F.max("head_n").alias("n")).select(F.col("a").alias("group"), F.col("a").alias("node"), "n", F.array().cast("array<long>").alias("difference"))
-    members = far.select(F.col("a").alias("group"), F.col("b").alias("node"), "n", "difference").unionByName(heads)
-    members = kept(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
-    # a group of one component has nothing to find
-    several = members.groupBy("group").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("group")
-    members = members.join(several, "group", "left_semi")
+    return F.greatest(F.when(F.col("linked"), F.ceil((m + least - most) / 2)).otherwise(m - most), F.lit(1))
+
+
+def _around_centres(members: DataFrame, percent: int, large: int, work: Workspace) -> DataFrame:
+    """a, b of linked nodes of different components in one family (group, node, n, difference, label), by their differences."""
     edges = None
     for level in range(LEVELS):
-        around = _recentred(members, percent)
+        around = _recentred(members, percent, work)
         found = around.where("linked and node <> centre and own <> label").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+        edges = found if edges is None else edges.unionByName(found)
+        # a group of one component, or of members that the centre links, has nothing to find
         open_ = around.groupBy("group").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("linked").alias("_all")).where("_low < _high and not _all").select("group")
-        entry = around.join(open_, "group", "left_semi").select("group", "node", "n", "linked", "label", F.size("difference").alias("m"), _difference_prefix(percent).alias("_prefix"), F.explode("difference").alias("token"))
-        # tokens of one component, or of linked members alone, need no pairs: they come first in the order
+        entry = around.join(open_, "group", "left_semi").select("group", "node", "n", "linked", "label", F.size("difference").alias("m"), _shared_least(percent).alias("_least"), F.explode("difference").alias("token"))
+        # tokens of one component, or of linked members alone, make no pairs: they come first in the order
         often = entry.groupBy("group", "token").agg(F.count(F.lit(1)).alias("_f"), F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("linked").alias("_all")).where("_f > 1 and _low < _high and not _all").select("group", "token", "_f")
-        order = Window.partitionBy("group", "node").orderBy(F.coalesce("_f", F.lit(0)), "token")
-        entry = kept(entry.join(often, ["group", "token"], "left").withColumn("_at", F.row_number().over(order)).where("_at <= _prefix and _f is not null").drop("_prefix"), "entries")
+        own = Window.partitionBy("group", "node")
+        ranked = entry.join(often, ["group", "token"], "left").withColumn("_at", F.row_number().over(own.orderBy(F.coalesce("_f", F.lit(0)), "token"))).withColumn("_useful", F.count("_f").over(own))
+        entry = work.keep(ranked.where("_f is not null and _useful >= _least and _at <= m - _least + 1").drop("_least", "_useful"), "entries")
         last = level == LEVELS - 1
         pairing = entry if last else entry.where(F.col("_f") <= large)
         x, y = pairing.alias("x"), pairing.alias("y")
-        near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-        # the two differences must share so many tokens, so the first shared one stands early in both
-        most = F.floor((F.col("x.n") + F.col("y.n")) * (100 - percent) / (100 + percent))
-        share = F.greatest(F.ceil((F.col("x.m") + F.col("y.m") - most) / 2), F.lit(1))
-        near &= (F.col("x._at") <= F.col("x.m") - share + 1) & (F.col("y._at") <= F.col("y.m") - share + 1)
+        # the two differences share so many tokens that the first shared one stands early in both
+        share = F.greatest(F.ceil((F.col("x.m") + F.col("y.m") - _most(percent, "x.n", "y.n")) / 2), F.lit(1))
+        near = _fits(percent, "x.n", "y.n") & (F.col("x._at") <= F.col("x.m") - share + 1) & (F.col("y._at") <= F.col("y.m") - share + 1)
         met = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & ~(F.col("x.linked") & F.col("y.linked")) & near)
         pairs = met.select(F.col("x.group").alias("group"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         side = lambda c: around.select("group", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("difference").alias(f"d_{c}"))  # noqa: B023, E731
         both = pairs.join(side("a"), ["group", "a"]).join(side("b"), ["group", "b"])
         apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
-        found = found.unionByName(both.where(apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b"))
-        edges = found if edges is None else edges.unionByName(found)
-        if last:
-            break
+        edges = edges.unionByName(both.where(apart <= _most(percent, "n_a", "n_b")).select("a", "b"))
         rest = entry.where(F.col("_f") > large).select("group", "node", F.xxhash64("group", "token").alias("_next"))
-        if rest.isEmpty():
+        if last or rest.isEmpty():
             break
-        members = kept(rest.join(around.select("group", "node", "n", "difference", "label"), ["group", "node"]).select(F.col("_next").alias("group"), "node", "n", "difference", "label"), "members")
+        members = work.keep(rest.join(around.select("group", "node", "n", "difference", "label"), ["group", "node"]).select(F.col("_next").alias("group"), "node", "n", "difference", "label"), "members")
     return edges.distinct()
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame, work: Workspace) -> DataFrame:
     """``node, label``: for each node of ``nodes(node, label)`` the smallest label it can reach.
 
     Labels spread along edges and then jump to their own label's label; rounds grow with the
     logarithm of a component's width. Each round is a table in the shared folder.
     """
-    both = kept(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    both = work.keep(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     touched = both.select(F.col("a").alias("node")).distinct()
-    state = kept(nodes.join(touched, "node"), "labels").select("node", "label")
+    state = work.keep(nodes.join(touched, "node"), "labels").select("node", "label")
     while True:
         near = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
         grown = state.join(near, "node").select("node", F.col("label").alias("_old"), F.least("label", "_near").alias("label"))
         # the label is an id; whoever has it as its first label may know a smaller one
         owner = grown.groupBy(F.col("_old").alias("_id")).agg(F.min("label").alias("_jump"))
         after = grown.join(owner, F.col("label") == F.col("_id"), "left").select("node", "_old", F.least("label", F.coalesce("_jump", "label")).alias("label"))
-        after = kept(after, "labels")
+        after = work.keep(after, "labels")
         if not after.where("label < _old").limit(1).count():
             return after.select("node", "label")
         state = after.select("node", "label")
 
 
+def _rare(texts: DataFrame, k: int, percent: int, frequent: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Every node (doc_id, node, n, deep), and the rare tokens (token, node, n, deep) that several nodes store."""
+    heads = work.keep(_sets(texts, k, percent), "heads")
+    stored = heads.select("node", F.explode("tokens").alias("token"))
+    tagged = work.keep(stored.join(stored.groupBy("token").count().where("count > 1"), "token"), "tagged")
+    often = tagged.where(F.col("count") > frequent).groupBy("node").agg(F.count(F.lit(1)).alias("_often"))
+    deep = F.coalesce("_often", F.lit(0)) > _slack(percent)
+    nodes = work.keep(heads.select("doc_id", "node", "n").join(often, "node", "left").select("doc_id", "node", "n", deep.alias("deep")), "nodes")
+    work.remove(heads)
+    return nodes, work.keep(tagged.where(F.col("count") <= frequent).join(nodes, "node").select("token", "node", "n", "deep"), "rare")
+
+
+def _families(sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """node, family of the nodes that share a token combination."""
+    combo = work.keep(_combined(sets, percent), "combinations")
+    heads = combo.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("_z")).where("a < _z").select("token", "a")
+    edges = combo.join(heads, "token").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    return components(edges, sets.select("node", F.col("node").alias("label")), work).withColumnRenamed("label", "family")
+
+
 def _components(docs: DataFrame, k: int, percent: int, frequent: int, large: int) -> tuple[DataFrame, DataFrame]:
     """``doc_id, node, n`` of every row, and ``node, doc_id, component`` of every node: its smallest id, the smallest node it is linked to."""
+    work = Workspace(docs.sparkSession)
     ids = kept(_ids(docs, k), "ids")
-    groups = ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    # where all ids of a node are null, no row joins and nothing is linked
-    entries = _entries(docs, k, percent)
-    reps = kept(entries.join(groups, ["node", "doc_id"]).groupBy("node", "doc_id", "n").agg(F.first("prefix").alias("prefix"), F.first("combos").alias("combos")), "reps")
-    single = reps.select("node", "n", F.explode("prefix").alias("token"))
-    shared = single.groupBy("token").count().where("count > 1")
-    tagged = kept(single.join(shared, "token"), "prefixes")
-    rare = tagged.where(F.col("count") <= frequent).select("token", "node", "n", "count")
-    often = tagged.where(F.col("count") > frequent).select("node").distinct()
-    combo = reps.join(often, "node", "left_semi").select(F.explode("combos").alias("token"), "node", "n")
-    combo = combo.join(combo.groupBy("token").count().where("count > 1"), "token").select("token", "node", "n", "count")
-    postings = kept(rare.unionByName(combo), "postings")
-
-    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    heads = postings.groupBy("token").agg(F.min(F.struct("node", "n")).alias("_head"))
-    star = postings.join(heads, "token").where(F.col("node") != F.col("_head.node")).where(fits(F.col("n"), F.col("_head.n")) | (F.col("count") > large))
-    first = kept(star.groupBy(F.col("_head.node").alias("a"), F.col("node").alias("b")).agg((F.max("count") > large).alias("large")), "pairs")
-    texts = _texts(docs, ids, reps, postings.select("node").distinct(), k)
-    stars = kept(_compared(first, texts, reps, k, percent), "stars")
-    edges = stars.where("linked").select("a", "b")
-    base = reps.select("node", F.col("node").alias("label"))  # not ids: one id may be in several components
-    labels = components(edges, base)
-
-    known = postings.where(F.col("count") <= large).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    known = kept(known, "labelled")
-    open_ = known.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("token")
-    rest = known.join(open_, "token")
-    left, right = rest.alias("l"), rest.alias("r")
-    more = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label")) & fits(F.col("l.n"), F.col("r.n")))
-    second = more.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti").withColumn("large", F.lit(False))
-    second = _compared(kept(second, "pairs"), texts, reps, k, percent).select("a", "b")
-    edges = edges.unionByName(second).unionByName(_around_heads(stars, labels, percent, large))
-    final = components(edges, base)
-
-    return ids, groups.join(final, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("component"))
+    # where all ids of a node are null, nothing is linked
+    groups = work.keep(ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "groups")
+    texts = _texts(docs, ids, groups, k, work)
+    nodes, rare = _rare(texts, k, percent, frequent, work)
+    base = nodes.select("node", F.col("node").alias("label"))  # not ids: one id may be in several components
+
+    deep = nodes.where("deep").select("doc_id", "node")
+    sets = work.keep(_sets(texts.join(deep.select("doc_id").distinct(), "doc_id", "left_semi"), k).join(deep.select("node"), "node", "left_semi"), "deep")
+    each = sets.select("node", "n", F.explode("tokens").alias("token"))
+    tokens = work.keep(each.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("_f")).where("_f > 1"), "token"), "deep-tokens")
+    # tokens of one deep node come first in its order and meet nothing
+    order = tokens.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("_f", "token"))).alias("_t"), F.count_if(F.col("_f") <= frequent).alias("_rare"))
+    room = _prefix(percent) - (F.col("n") - F.size("_t"))
+    order = work.keep(order.where(room > 0).select("node", "n", F.slice("_t", F.lit(1), F.least(room, F.size("_t")).cast("int")).alias("_t"), ((F.col("n") - F.size("_t") + F.col("_rare")) / F.col("n")).alias("_share")), "order")
+    single = order.select("node", "n", F.explode("_t").alias("_t")).select("node", "n", "_t.token", "_t._f").where(F.col("_f") <= frequent)
+    inner = order.where(F.element_at("_t", -1)["_f"] > frequent).select("node", "_share")
+
+    pairs = _met(rare, percent).unionByName(_met(single.withColumn("deep", F.lit(False)), percent))
+    frequent_sets = sets.join(inner, "node")
+    family = work.keep(_families(frequent_sets, percent, work), "families")
+    size = family.groupBy("family").count()
+    of = family.join(size, "family").join(nodes.select("node", "n"), "node")
+    small = of.where(F.col("count") <= large).select(F.col("family").alias("token"), "node", "n", F.lit(False).alias("deep"))
+    pairs = work.keep(pairs.unionByName(_met(small, percent)).distinct(), "pairs")
+    edges = work.keep(_compared(pairs, texts, nodes, k, percent), "links")
+
+    big = of.where(F.col("count") > large)
+    if not big.isEmpty():
+        labels = components(edges, base, work)
+        whole = big.select(F.col("family").alias("group"), "node", "n").join(frequent_sets.select("node", "tokens", "_share"), "node")
+        centre = whole.groupBy("group").agg(F.min_by("tokens", F.struct("_share", "node")).alias("_c"))
+        difference = F.concat(F.array_except("tokens", "_c"), F.array_except("_c", "tokens"))
+        members = whole.join(centre, "group").join(labels, "node", "left").select("group", "node", "n", difference.alias("difference"), F.coalesce("label", "node").alias("label"))
+        edges = edges.unionByName(_around_centres(work.keep(members, "members"), percent, large, work))
+    final = components(edges, base, work)
+    out = kept(groups.join(final, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("component")), "components")
+    work.close()
+    return ids, out
+
 
 def linked(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = FREQUENT, large: int = LARGE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text, ...)``.
