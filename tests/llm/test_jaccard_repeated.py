@@ -27,3 +27,22 @@ def test_one_id_with_several_texts_keeps_each(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(((r["doc_id"] or 0, (r["text"] or "").lower()) for r in J.dedup_stage(spark, docs, "").collect()))
     assert got == [(0, c), (1, *[min(a, b)]), (1, max(a, b)), (3, c), (4, "")]
+
+
+def test_hundreds_of_near_copies_and_long_texts(spark, monkeypatch):
+    base = [f"w{i}" for i in range(70)]
+    rows = near_copies(5, base, 200, 14, 100)  # many are not linked to their centre
+    rng = random.Random(9)
+    for i in range(60):  # copies of copies, cut and grown
+        w = rows[rng.randrange(200)][1].split()
+        at = rng.randrange(len(w))
+        rows.append((400 + i, " ".join(w[:at] + w[at + rng.randrange(4) :] + [f"t{rng.randrange(9)}"] * rng.randrange(3))))
+    long = [f"l{i % 3000}x{i}" for i in range(12000)]
+    rows += near_copies(6, long, 4, 300, 600) + [(700 + i, " ".join(long[:40]) + f" own{i} " * 30) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seen, own = [], J._around_centres
+    monkeypatch.setattr(J, "_around_centres", lambda *a: seen.append(own(*a)) or seen[-1])
+    for k, percent in ((3, 90), (5, 80)):
+        got = sorted((tuple(r) for r in J.linked(docs, k, percent).collect()), key=str)
+        assert got == brute(rows, k, percent), (k, percent)
+    assert seen  # families were large enough for centres

@@ -131,6 +131,32 @@ def _head(n: int, percent: int) -> int:
     return min(n, prefix + prefix // 5 + 8)
 
 
+def _extension(percent: int, n):
+    """By how many tokens the prefix of a set of ``n`` is extended."""
+    prefix = n - F.ceil(percent * n / 100) + 1
+    return F.least(n, prefix + F.floor(prefix / 5) + 8) - prefix
+
+
+def _slack(percent: int):
+    """How many stored tokens of a plain node may be frequent: the extension of the smallest set that links with it.
+
+    Linked sets with extensions of ``e`` tokens or more have ``e + 1`` common tokens among those
+    both store, so one of them at least is not frequent.
+    """
+    return _extension(percent, F.ceil(percent * F.col("n") / 100))
+
+
+def _repeated(ids: DataFrame) -> DataFrame:
+    """doc_id of several rows."""
+    return ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+
+
+def _head(n: int, percent: int) -> int:
+    """How many tokens of a set of ``n`` are stored: its prefix and some more, the extension."""
+    prefix = n - -(-percent * n // 100) + 1
+    return min(n, prefix + prefix // 5 + 8)
+
+
 def _slack(percent: int):
     """How many stored tokens of a plain node may be frequent: the extension of the smallest set that links with it.
 
@@ -196,11 +222,22 @@ def _fits(percent: int, a: str, b: str):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _met(entries: DataFrame, percent: int) -> DataFrame:
-    """a, b of nodes that can link and share a token of entries (token, node, n, deep), not both deep."""
+def _met(entries: DataFrame, percent: int, *more: F.Column) -> DataFrame:
+    """a, b of nodes that can link and share a token of entries (token, node, n, ...), once for each such token."""
     x, y = entries.alias("x"), entries.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & ~(F.col("x.deep") & F.col("y.deep")) & _fits(percent, "x.n", "y.n"))
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & _fits(percent, "x.n", "y.n"))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), *more)
+
+
+def _met_rare(entries: DataFrame, percent: int) -> DataFrame:
+    """a, b, not both deep, that share enough of the rare tokens (token, node, n, often, deep) they store.
+
+    Linked sets have ``e + 1`` common tokens in both stores, ``e`` the smaller extension, and of
+    these no more are frequent than either stores.
+    """
+    least = 1 + F.least(_extension(percent, F.col("x.n")), _extension(percent, F.col("y.n"))) - F.least("x.often", "y.often")
+    both = _met(entries, percent, least.alias("_least"), (F.col("x.deep") & F.col("y.deep")).alias("_deep")).where("not _deep")
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_c"), F.max("_least").alias("_least")).where("_c >= _least").select("a", "b")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -317,15 +354,15 @@ def components(edges: DataFrame, nodes: DataFrame, work: Workspace) -> DataFrame
 
 
 def _rare(texts: DataFrame, k: int, percent: int, frequent: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Every node (doc_id, node, n, deep), and the rare tokens (token, node, n, deep) that several nodes store."""
+    """Every node (doc_id, node, n, often, deep), and the rare tokens (token, node, n, often, deep) that several nodes store."""
     heads = work.keep(_sets(texts, k, percent), "heads")
     stored = heads.select("node", F.explode("tokens").alias("token"))
     tagged = work.keep(stored.join(stored.groupBy("token").count().where("count > 1"), "token"), "tagged")
     often = tagged.where(F.col("count") > frequent).groupBy("node").agg(F.count(F.lit(1)).alias("_often"))
-    deep = F.coalesce("_often", F.lit(0)) > _slack(percent)
-    nodes = work.keep(heads.select("doc_id", "node", "n").join(often, "node", "left").select("doc_id", "node", "n", deep.alias("deep")), "nodes")
+    named = heads.select("doc_id", "node", "n").join(often, "node", "left").withColumn("often", F.coalesce("_often", F.lit(0))).drop("_often")
+    nodes = work.keep(named.withColumn("deep", F.col("often") > _slack(percent)), "nodes")
     work.remove(heads)
-    return nodes, work.keep(tagged.where(F.col("count") <= frequent).join(nodes, "node").select("token", "node", "n", "deep"), "rare")
+    return nodes, work.keep(tagged.where(F.col("count") <= frequent).join(nodes, "node").select("token", "node", "n", "often", "deep"), "rare")
 
 
 def _families(sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
@@ -357,12 +394,12 @@ def _components(docs: DataFrame, k: int, percent: int, frequent: int, large: int
     single = order.select("node", "n", F.explode("_t").alias("_t")).select("node", "n", "_t.token", "_t._f").where(F.col("_f") <= frequent)
     inner = order.where(F.element_at("_t", -1)["_f"] > frequent).select("node", "_share")
 
-    pairs = _met(rare, percent).unionByName(_met(single.withColumn("deep", F.lit(False)), percent))
+    pairs = _met_rare(rare, percent).unionByName(_met(single, percent))
     frequent_sets = sets.join(inner, "node")
     family = work.keep(_families(frequent_sets, percent, work), "families")
     size = family.groupBy("family").count()
     of = family.join(size, "family").join(nodes.select("node", "n"), "node")
-    small = of.where(F.col("count") <= large).select(F.col("family").alias("token"), "node", "n", F.lit(False).alias("deep"))
+    small = of.where(F.col("count") <= large).select(F.col("family").alias("token"), "node", "n")
     pairs = work.keep(pairs.unionByName(_met(small, percent)).distinct(), "pairs")
     edges = work.keep(_compared(pairs, texts, nodes, k, percent), "links")
 
