@@ -4,8 +4,8 @@ Tokens are lower-cased words and one end per text. Word counts over all training
 table that grows with the corpus; the most frequent words (a bounded number) are broadcast, the
 others meet their counts in a shuffled join. The model emits symbols: the end, each of the
 commonest words, and classes of other words by their last bytes; inside a class a word has its
-smoothed relative frequency. Baum-Welch counts come from all training texts, partition by
-partition, summed by Spark; the scaled forward recursion then gives the exact likelihood.
+smoothed relative frequency. Baum-Welch counts come from all training texts, each one whole
+sequence however long, partition by partition, summed by Spark; the scaled forward recursion then gives the exact likelihood.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ SYMBOLS = 1 + OWN + CLASSES
 #: At most so many words are broadcast with their counts (16 bytes each).
 HEAD = 1 << 20
 ROUNDS = 4
-#: Training sequences are cut to so many tokens for the counts, never for the score.
+#: Training walks through so many tokens of a sequence at a time, all segments side by side; the counts are those of whole sequences.
 SEGMENT = 256
+#: Segments counted at once.
+BLOCK = 4096
 END = np.uint64(0)
 
 
@@ -192,40 +194,98 @@ def log_likelihood(symbols: np.ndarray, bounds: np.ndarray, model: Model) -> np.
     return result
 
 
+class _Segments:
+    """Sequences cut to ``SEGMENT`` tokens, with what the whole sequence says at each cut.
+
+    ``enter`` is the forward distribution at the token before a segment and ``leave`` the backward
+    one at its last token, both exact: the product of a segment's step matrices carries them over
+    it, so that segments can be counted side by side and in blocks of bounded size.
+    """
+
+    def __init__(self, symbols: np.ndarray, bounds: np.ndarray, model: Model):
+        k, pieces = len(model.start), -(-np.diff(bounds) // SEGMENT)
+        head = np.cumsum(pieces) - pieces
+        index = np.arange(pieces.sum()) - np.repeat(head, pieces)
+        self.begin = np.repeat(bounds[:-1], pieces) + SEGMENT * index
+        self.end = np.minimum(self.begin + SEGMENT, np.repeat(bounds[1:], pieces))
+        self.first = index == 0
+        self.enter, self.leave = np.tile(model.start, (len(index), 1)), np.ones((len(index), k))
+        long = np.flatnonzero(pieces > 1)
+        if not len(long):
+            return
+        long = long[np.argsort(-pieces[long], kind="stable")]
+        step = self._steps(symbols, np.flatnonzero(np.repeat(pieces, pieces) > 1), model)
+        n, f = pieces[long], head[long]
+        ahead = model.start * model.emit[symbols[self.begin[f]]]
+        back = np.ones((len(long), k))
+        for j in range(int(n[0])):
+            live = int((n > j).sum())
+            ahead, back, at, end = ahead[:live], back[:live], f[:live] + j, f[:live] + n[:live] - 1 - j
+            if j:
+                self.enter[at] = ahead
+            self.leave[end] = back
+            ahead, back = np.einsum("si,sij->sj", ahead, step[at]), np.einsum("sij,sj->si", step[end], back)
+            ahead, back = ahead / ahead.sum(1)[:, None], back / back.sum(1)[:, None]
+
+    def _steps(self, symbols: np.ndarray, which: np.ndarray, model: Model) -> np.ndarray:
+        """The product of the step matrices of some segments, scaled; a sequence's first token has none."""
+        k = len(model.start)
+        out = np.zeros((len(self.begin), k, k))
+        which = which[np.argsort(self.begin[which] - self.end[which], kind="stable")]
+        lengths, product = (self.end - self.begin)[which], np.tile(np.eye(k), (len(which), 1, 1))
+        for t in range(int(lengths[0])):
+            n = int((lengths > t).sum())
+            after = (product[:n].reshape(-1, k) @ model.move).reshape(n, k, k) * model.emit[symbols[self.begin[which[:n]] + t]][:, None, :]
+            product[:n] = after if t else np.where(self.first[which[:n], None, None], product[:n], after)
+            if t % 8 == 7:
+                product[:n] /= product[:n].sum((1, 2))[:, None, None]
+        out[which] = product / product.sum((1, 2))[:, None, None]
+        return out
+
+
 def expected_counts(symbols: np.ndarray, bounds: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts: starts (K), moves (K x K), emissions (SYMBOLS x K) of some sequences."""
-    packed, k = _Packed(symbols, bounds), len(model.start)
-    starts, moves, emissions = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit), k))
-    if not packed.steps:
-        return starts, moves, emissions
-    alphas, alpha = [], None
-    for t in range(packed.steps):
-        n = packed.running[t]
-        alpha = (model.start if alpha is None else alpha[:n] @ model.move) * model.emit[packed.at(t)]
+    """Baum-Welch counts: starts (K), moves (K x K), emissions (SYMBOLS x K) of whole sequences."""
+    k = len(model.start)
+    total = [np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit), k))]
+    cut = _Segments(symbols, bounds, model)
+    for at in range(0, len(cut.begin), BLOCK):
+        for mine, more in zip(total, _segment_counts(symbols, cut, np.arange(at, min(at + BLOCK, len(cut.begin))), model), strict=True):
+            mine += more
+    return total[0], total[1], total[2]
+
+
+def _segment_counts(symbols: np.ndarray, cut: _Segments, which: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The counts of some segments, the move into each included."""
+    k, lengths = len(model.start), (cut.end - cut.begin)[which]
+    which = which[np.argsort(-lengths, kind="stable")]  # longest first, so that one step serves all that still run
+    begin, lengths = cut.begin[which], (cut.end - cut.begin)[which]
+    first, enter, leave = cut.first[which], cut.enter[which], cut.leave[which]
+    moves, emissions = np.zeros((k, k)), np.zeros((len(model.emit), k))
+    running = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
+    at = lambda t: symbols[begin[: running[t]] + t]
+    alphas, alpha = [], np.where(first[:, None], enter, enter @ model.move)
+    for t in range(len(running)):
+        alpha = (alpha[: running[t]] @ model.move if t else alpha) * model.emit[at(t)]
         alpha = alpha / alpha.sum(1)[:, None]
         alphas.append(alpha)
-    gammas, beta = [None] * packed.steps, np.ones((packed.running[-1], k))
-    for t in range(packed.steps - 1, -1, -1):
-        n = packed.running[t]
-        if len(beta) < n:
-            beta = np.concatenate([beta, np.ones((n - len(beta), k))])
+    gammas, beta = [None] * len(running), leave[: running[-1]]
+    for t in range(len(running) - 1, -1, -1):
+        beta = np.concatenate([beta, leave[len(beta) : running[t]]])
         gamma = alphas[t] * beta
-        norm = gamma.sum(1)
-        gammas[t] = gamma / norm[:, None]
-        if t:
-            # P(state i at t-1, j at t): alpha_i * move_ij * emit_j * beta_j, scaled to sum 1
-            ahead = model.emit[packed.at(t)] * beta
-            back = ahead @ model.move.T
-            before = alphas[t - 1][:n]
-            total = (before * back).sum(1)
-            moves += (before / total[:, None]).T @ ahead
-            beta = back / back.sum(1)[:, None]
-    starts = gammas[0].sum(0)
-    seen = np.concatenate([packed.at(t) for t in range(packed.steps)])
-    gamma = np.concatenate(gammas)
+        gammas[t] = gamma / gamma.sum(1)[:, None]
+        # P(state i at t-1, j at t): alpha_i * move_ij * emit_j * beta_j, scaled to sum 1
+        ahead = model.emit[at(t)] * beta
+        back = ahead @ model.move.T
+        before = alphas[t - 1][: running[t]] if t else enter
+        share = 1 / (before * back).sum(1)
+        if not t:
+            share = np.where(first, 0, share)  # a sequence's first token has none before it
+        moves += (before * share[:, None]).T @ ahead
+        beta = back / back.sum(1)[:, None]
+    seen, gamma = np.concatenate([at(t) for t in range(len(running))]), np.concatenate(gammas)
     for j in range(k):
         emissions[:, j] = np.bincount(seen, weights=gamma[:, j], minlength=len(emissions))
-    return starts, moves * model.move, emissions
+    return gammas[0][first].sum(0), moves * model.move, emissions
 
 
 def _initial(vocab: Vocabulary, states: int, seed: int = 0) -> Model:
@@ -239,13 +299,6 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), "<u2").astype(np.int64), offsets // 2
 
 
-def _segments(bounds: np.ndarray) -> np.ndarray:
-    """Bounds of the sequences cut to SEGMENT tokens."""
-    n = -(-np.diff(bounds) // SEGMENT)
-    at = np.repeat(bounds[:-1] - SEGMENT * (np.cumsum(n) - n), n) + SEGMENT * np.arange(n.sum())
-    return np.append(at, bounds[-1])
-
-
 def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over all training texts; each round is one pass and a sum by cell."""
     spark, model = encoded.sparkSession, _initial(vocab, states)
@@ -257,7 +310,7 @@ def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: i
             total = np.zeros(states + states * states + SYMBOLS * states)
             for piece in _text.slices(batches, "symbols", 1 << 20):
                 symbols, bounds = _flat(piece)
-                total += np.concatenate([x.ravel() for x in expected_counts(symbols, _segments(bounds), own)])
+                total += np.concatenate([x.ravel() for x in expected_counts(symbols, bounds, own)])
             some = np.flatnonzero(total)
             yield pa.record_batch({"cell": pa.array(some, pa.int32()), "value": pa.array(total[some])})
 
