@@ -21,7 +21,8 @@ small family is compared in itself. In a large one the member with the smallest
 the centre, and members are compared by their differences from it: two sets differ exactly by what
 their differences do, and if one is not linked to the centre, linked sets share part of their
 difference. A prefix of the differences, rare tokens first, indexes that join; members of its large
-postings are compared by combinations of one more token, around a new centre.
+postings are compared by combinations of one more token, around a new centre, and so are members
+too far from a centre to link with those near it.
 """
 
 from __future__ import annotations
@@ -40,8 +41,10 @@ FREQUENT = 8
 #: Families and postings of more nodes than this are compared by differences from their centre.
 LARGE = 16
 #: Large postings of differences are centred anew so many times; what is then left of them is compared directly.
-LEVELS = 4
-_GROWTH = 1.4142135623730951
+LEVELS = 8
+#: How often a set is dealt into classes until few enough are empty; in the last deal empty classes count too.
+DEALS = 6
+_GROWTH = 1.15
 
 
 def size_classes(most: int) -> list[int]:
@@ -53,7 +56,7 @@ def size_classes(most: int) -> list[int]:
 
 
 def _combinations(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the token combinations of one set (see module)."""
+    """Hashes of the token combinations of one set (see module), for each size class of its larger partners."""
     n = len(tokens)
     reach = 100 * n // percent  # largest partner
     lows = size_classes(reach + 1)
@@ -65,18 +68,23 @@ def _combinations(tokens: np.ndarray, percent: int) -> np.ndarray:
         differ = 2 * largest * (100 - percent) // (100 + percent)
         if not differ:
             continue  # sets of these sizes link only if equal
-        spare = 1 + differ // 16
+        # linked sets agree on spare + 1 classes, so one of them holds tokens if no more than spare are empty
+        spare = 2 + differ // 6
         classes = differ + 1 + spare
-        salt = np.uint64((c + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-        mixed = _text.mix(tokens ^ salt)
-        which = ((mixed >> np.uint64(32)) % np.uint64(classes)).astype(np.int64)
-        total = np.zeros(classes, np.uint64)
-        np.add.at(total, which, mixed)
-        full = np.bincount(which, minlength=classes) > 0
-        if (~full).sum() > spare:
-            full[:] = True  # so many empty classes that all agreeing ones might be empty
-        entry = _text.mix(total + np.arange(classes, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + salt)
-        out.append(entry[full])
+        for deal in range(DEALS):
+            salt = np.uint64(((c + 1) * DEALS + deal) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+            mixed = _text.mix(tokens ^ salt)
+            which = ((mixed >> np.uint64(32)) % np.uint64(classes)).astype(np.int64)
+            total = np.zeros(classes, np.uint64)
+            np.add.at(total, which, mixed)
+            full = np.bincount(which, minlength=classes) > 0
+            enough = (~full).sum() <= spare
+            if not enough and deal == DEALS - 1:
+                full[:] = True
+            entry = _text.mix(total + np.arange(classes, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + salt)
+            out.append(entry[full])
+            if enough:
+                break  # a set with too many empty classes is dealt again, and meets all others that are
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -278,7 +286,7 @@ def _most(percent: int, a="n", b=None):
 
 
 def _recentred(members: DataFrame, percent: int, work: Workspace) -> DataFrame:
-    """group, node, n, difference, label, linked, centre, centre_n, own: differences from the member nearest to the old centre.
+    """group, node, n, difference, label, linked, centre, centre_n, own, _reach: differences from the member nearest to the old centre.
 
     ``x ^ centre`` is ``(x ^ old) ^ (centre ^ old)``: no set is read again.
     """
@@ -287,6 +295,7 @@ def _recentred(members: DataFrame, percent: int, work: Workspace) -> DataFrame:
     difference = F.concat(F.array_except("difference", "_c.difference"), F.array_except("_c.difference", "difference"))
     both = both.select("group", "node", "n", difference.alias("difference"), "label", F.col("_c.node").alias("centre"), F.col("_c.n").alias("centre_n"), F.col("_c.label").alias("_l"))
     near = F.size("difference") <= _most(percent, "n", "centre_n")
+    both = both.join(members.groupBy("group").agg(F.max(_most(percent)).alias("_reach")), "group")
     return work.keep(both.withColumn("linked", near).withColumn("own", F.col("label")).withColumn("label", F.when(near, F.col("_l")).otherwise(F.col("label"))).drop("_l"), "recentred")
 
 
@@ -302,9 +311,14 @@ def _around_centres(members: DataFrame, percent: int, large: int, work: Workspac
     """a, b of linked nodes of different components in one family (group, node, n, difference, label), by their differences."""
     edges = None
     for level in range(LEVELS):
+        last = level == LEVELS - 1
         around = _recentred(members, percent, work)
         found = around.where("linked and node <> centre and own <> label").select(F.col("centre").alias("a"), F.col("node").alias("b"))
         edges = found if edges is None else edges.unionByName(found)
+        # linked members are at most ``_reach`` apart, so far ones, in a group of their own, miss no partner
+        far = around.where(F.size("difference") > 2 * F.col("_reach")).select(F.xxhash64("group").alias("group"), "node", "n", "difference", "label")
+        if not last:
+            around = around.where(F.size("difference") <= 3 * F.col("_reach"))
         # a group of one component, or of members that the centre links, has nothing to find
         open_ = around.groupBy("group").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("linked").alias("_all")).where("_low < _high and not _all").select("group")
         entry = around.join(open_, "group", "left_semi").select("group", "node", "n", "linked", "label", F.size("difference").alias("m"), _shared_least(percent).alias("_least"), F.explode("difference").alias("token"))
@@ -313,7 +327,6 @@ def _around_centres(members: DataFrame, percent: int, large: int, work: Workspac
         own = Window.partitionBy("group", "node")
         ranked = entry.join(often, ["group", "token"], "left").withColumn("_at", F.row_number().over(own.orderBy(F.coalesce("_f", F.lit(0)), "token"))).withColumn("_useful", F.count("_f").over(own))
         entry = work.keep(ranked.where("_f is not null and _useful >= _least and _at <= m - _least + 1").drop("_least", "_useful"), "entries")
-        last = level == LEVELS - 1
         pairing = entry if last else entry.where(F.col("_f") <= large)
         x, y = pairing.alias("x"), pairing.alias("y")
         # the two differences share so many tokens that the first shared one stands early in both
@@ -325,10 +338,13 @@ def _around_centres(members: DataFrame, percent: int, large: int, work: Workspac
         both = pairs.join(side("a"), ["group", "a"]).join(side("b"), ["group", "b"])
         apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
         edges = edges.unionByName(both.where(apart <= _most(percent, "n_a", "n_b")).select("a", "b"))
+        if last:
+            break
         rest = entry.where(F.col("_f") > large).select("group", "node", F.xxhash64("group", "token").alias("_next"))
-        if last or rest.isEmpty():
+        rest = rest.join(around.select("group", "node", "n", "difference", "label"), ["group", "node"]).select(F.col("_next").alias("group"), "node", "n", "difference", "label")
+        members = work.keep(rest.unionByName(far), "members")
+        if members.isEmpty():
             break
-        members = work.keep(rest.join(around.select("group", "node", "n", "difference", "label"), ["group", "node"]).select(F.col("_next").alias("group"), "node", "n", "difference", "label"), "members")
     return edges.distinct()
 
 
