@@ -307,6 +307,23 @@ def _shared_least(percent: int):
     return F.greatest(F.when(F.col("linked"), F.ceil((m + least - most) / 2)).otherwise(m - most), F.lit(1))
 
 
+def _hopeful(entry: DataFrame, percent: int) -> DataFrame:
+    """The members (group, node, n, linked, label, m, _least, token) that may have a partner, and ``_f`` of each token.
+
+    ``_f`` counts the members that have the token; it is null if all of them are of one component
+    or linked to the centre, for then the token makes no pair. The differences of linked members
+    share ``(m_a + m_b - most) / 2`` tokens, and a member cannot share more than the ``u`` that have
+    a count: so ``2 * u_b - m_b >= m_a - most`` for each of the two.
+    """
+    often = entry.groupBy("group", "token").agg(F.count(F.lit(1)).alias("_f"), F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("linked").alias("_all")).where("_f > 1 and _low < _high and not _all").select("group", "token", "_f")
+    counted = entry.drop("_f").join(often, ["group", "token"], "left")
+    member = counted.groupBy("group", "node").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("linked").alias("linked"), F.first("_least").alias("_least"), F.count("_f").alias("_u"))
+    member = member.withColumn("_spare", 2 * F.col("_u") - F.col("m")).withColumn("_over", F.col("m") - _most(percent))
+    most = member.groupBy("group").agg(F.max("_spare").alias("_spare_most"), F.min(F.when(~F.col("linked"), F.col("_over"))).alias("_over_least"))
+    fit = (F.col("_u") >= F.col("_least")) & F.when(F.col("linked"), F.col("_spare") >= F.col("_over_least")).otherwise(F.col("_over") <= F.col("_spare_most"))
+    return counted.join(member.join(most, "group").where(fit).select("group", "node"), ["group", "node"])
+
+
 def _around_centres(members: DataFrame, percent: int, large: int, work: Workspace) -> DataFrame:
     """a, b of linked nodes of different components in one family (group, node, n, difference, label), by their differences."""
     edges = None
@@ -322,11 +339,9 @@ def _around_centres(members: DataFrame, percent: int, large: int, work: Workspac
         # a group of one component, or of members that the centre links, has nothing to find
         open_ = around.groupBy("group").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("linked").alias("_all")).where("_low < _high and not _all").select("group")
         entry = around.join(open_, "group", "left_semi").select("group", "node", "n", "linked", "label", F.size("difference").alias("m"), _shared_least(percent).alias("_least"), F.explode("difference").alias("token"))
-        # tokens of one component, or of linked members alone, make no pairs: they come first in the order
-        often = entry.groupBy("group", "token").agg(F.count(F.lit(1)).alias("_f"), F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("linked").alias("_all")).where("_f > 1 and _low < _high and not _all").select("group", "token", "_f")
-        own = Window.partitionBy("group", "node")
-        ranked = entry.join(often, ["group", "token"], "left").withColumn("_at", F.row_number().over(own.orderBy(F.coalesce("_f", F.lit(0)), "token"))).withColumn("_useful", F.count("_f").over(own))
-        entry = work.keep(ranked.where("_f is not null and _useful >= _least and _at <= m - _least + 1").drop("_least", "_useful"), "entries")
+        entry = _hopeful(_hopeful(work.keep(entry, "differences"), percent), percent)
+        ranked = entry.withColumn("_at", F.row_number().over(Window.partitionBy("group", "node").orderBy(F.coalesce("_f", F.lit(0)), "token")))
+        entry = work.keep(ranked.where("_f is not null and _at <= m - _least + 1").drop("_least"), "entries")
         pairing = entry if last else entry.where(F.col("_f") <= large)
         x, y = pairing.alias("x"), pairing.alias("y")
         # the two differences share so many tokens that the first shared one stands early in both
