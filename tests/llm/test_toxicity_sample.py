@@ -45,3 +45,15 @@ def test_text_with_both_labels_and_odd_rows(spark):
     labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 1), (5, 0), (6, None)], "doc_id long, toxic int")
     assert len(toxicity.scored(docs, toxicity.fit(docs, labels)).collect()) == 7
     assert len(toxicity.scored(docs, toxicity.fit(docs, labels.limit(0))).collect()) == 7
+
+
+def test_held_out_toxic_texts_are_found(spark):
+    """A quarter of the distinct texts is held out: nine of ten toxic ones are rejected, and hardly a clean one."""
+    path = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    held = docs.where(F.crc32(F.col("text").cast("binary")) % 4 == 0)
+    model = toxicity.fit(docs.join(held.select("doc_id"), "doc_id", "left_anti"), labels)
+    got = toxicity.scored(held, model).select("doc_id", F.col("toxic").alias("rejected")).join(labels.where("toxic is not null"), "doc_id")
+    n = {(r["toxic"], r["rejected"]): r["count"] for r in got.groupBy("toxic", "rejected").count().collect()}
+    assert n[1, True] >= 0.9 * (n[1, True] + n.get((1, False), 0))
+    assert n.get((0, True), 0) <= 0.01 * (n[0, False] + n.get((0, True), 0))

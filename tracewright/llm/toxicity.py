@@ -2,7 +2,7 @@
 
 Features are hashed words and word beginnings. On a bounded sample of the distinct labelled texts,
 weighted so that each label has its share of all of them (severity means the same at every size), the
-features that go with toxic labels are selected by chi-square; the sample's toxic documents are
+features that go with toxic labels are selected by chi-square, loosely, and a ridge chooses among them; the sample's toxic documents are
 graded 1 to 3 by how often those features occur, the others are grade 0. A proportional-odds
 model, one weight vector for all ordered thresholds, gives P(grade > k), and their sum is the
 expected severity.
@@ -26,10 +26,9 @@ PREFIXES = (4, 5, 6)
 GRADES = 4
 #: At most so many labelled texts are fitted on, half of them toxic if there are enough.
 MOST_LABELLED = 8000
-#: Texts whose features are held at once in fitting.
-PIECE = 500
 MIN_DOCUMENTS = 4
-MIN_CHI2 = 60.0
+MIN_CHI2 = 15.0
+RIDGE = 2e-4
 REJECT = 0.3
 
 
@@ -63,40 +62,29 @@ def _sparse(bucket: np.ndarray, text: np.ndarray, chosen: np.ndarray) -> tuple[n
     return pair // max(len(chosen), 1), pair % max(len(chosen), 1), np.log1p(count)
 
 
-def _distinct(column, toxic: np.ndarray):
-    """One of each group of equal texts, else their every word would look toxic."""
-    data, offsets = _text.encoded(column)
-    some = np.flatnonzero(np.diff(offsets))
-    _, at = np.unique(_text.hash_spans(data, offsets[some], offsets[some + 1]), return_index=True)
-    at = some[np.sort(at)]
-    return column.take(pa.array(at)), toxic[at]
-
-
-def train(column, toxic: np.ndarray, steps: int = 500, rate: float = 0.5, ridge: float = 2e-5, share: float | None = None) -> Model:
-    """Fit on labelled texts, toxic ones weighted to be ``share`` of all (None: as they are); deterministic."""
-    column, toxic = _distinct(column, toxic)
-    n = len(toxic)
-    own = toxic.sum() / max(n, 1)
-    share = own if share is None or not 0 < own < 1 else share
-    weight = np.where(toxic > 0, share / max(own, 1e-9), (1 - share) / max(1 - own, 1e-9)) if n else np.zeros(0)
-    bad = toxic > 0
-    pieces = range(0, n, PIECE)  # the features of all texts at once would be too large for a driver
-    documents, others = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
-    for at in pieces:
-        bucket, text = features(column.slice(at, PIECE))
+def _counted(batches):
+    """How many toxic and other texts of the sample hold each feature."""
+    for piece in _text.slices(batches, most=1 << 20):
+        bucket, text = features(piece.column("text"))
         seen = np.unique(text << BITS | bucket)
-        ill = bad[at + (seen >> BITS)]
-        feat = seen & ((1 << BITS) - 1)
-        documents += np.bincount(feat[ill], minlength=1 << BITS)
-        others += np.bincount(feat[~ill], minlength=1 << BITS)
-    heavy, light = (float(weight[x][0]) if x.any() else 0.0 for x in (bad, ~bad))
-    with_, all_ = documents * heavy, documents * heavy + others * light
+        bad = piece.column("_toxic").to_numpy(zero_copy_only=False)[seen >> BITS] > 0
+        feature, at = np.unique(seen & ((1 << BITS) - 1), return_inverse=True)
+        ill = np.bincount(at, weights=bad, minlength=len(feature)).astype(np.int64)
+        yield pa.record_batch({"feature": pa.array(feature), "ill": pa.array(ill), "well": pa.array(np.bincount(at, minlength=len(feature)) - ill)})
+
+
+def _chosen(feature: np.ndarray, ill: np.ndarray, well: np.ndarray, heavy: float, light: float, share: float) -> np.ndarray:
+    """The features that go with toxic labels, by chi-square."""
+    with_, all_ = ill * heavy, ill * heavy + well * light
     expected = all_ * share
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = np.nan_to_num((with_ - expected) ** 2 / (expected * max(1 - share, 1e-9)))
-    chosen = np.flatnonzero((documents >= MIN_DOCUMENTS) & (with_ > expected) & (chi2 >= MIN_CHI2))
-    found = [(at + r, c, v) for at in pieces for r, c, v in [_sparse(*features(column.slice(at, PIECE)), chosen)]]
-    row, col, value = (np.concatenate([x[i] for x in found] or [np.zeros(0, t)]) for i, t in enumerate((np.int64, np.int64, float)))
+    return np.sort(feature[(ill >= MIN_DOCUMENTS) & (with_ > expected) & (chi2 >= MIN_CHI2)])
+
+
+def train(row: np.ndarray, col: np.ndarray, value: np.ndarray, bad: np.ndarray, weight: np.ndarray, chosen: np.ndarray, steps: int = 500, rate: float = 0.5, ridge: float = RIDGE) -> Model:
+    """Fit on sparse features (text, place in ``chosen``, value) of texts that are toxic or not; deterministic."""
+    n = len(bad)
     # grades from labels: 0, or 1..3 by the amount of evidence among the toxic ones
     evidence = np.bincount(row, weights=value, minlength=n)
     grade = np.zeros(n, np.int64)
@@ -121,10 +109,14 @@ def train(column, toxic: np.ndarray, steps: int = 500, rate: float = 0.5, ridge:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """Fit on at most ``most`` distinct labelled texts, chosen by their hash: copies under other ids change nothing."""
+    """Fit on at most ``most`` distinct labelled texts, chosen by their hash: copies under other ids change nothing.
+
+    Null and empty texts and null labels or ids teach nothing; a text with both labels is toxic.
+    Features are counted in the executors; the driver gets the counts of those that some toxic
+    texts hold and, of each sampled text, its chosen features.
+    """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.where("text <> ''").select("doc_id", F.xxhash64("text").alias("_hash"))
-    # a text with both labels is toxic
     distinct = kept(texts.join(known, "doc_id").groupBy("_hash").agg(F.max("toxic").alias("_toxic"), F.min("doc_id").alias("doc_id")), "labelled")
     total = {r["_toxic"]: r["count"] for r in distinct.groupBy("_toxic").count().collect()}
     ids = None
@@ -132,9 +124,23 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
         part = distinct.where(F.col("_toxic") == value).orderBy("_hash").limit(most // 2)
         ids = part if ids is None else ids.unionByName(part)
     chosen = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash")).join(ids, ["doc_id", "_hash"]).dropDuplicates(["_hash"])
-    sample = chosen.select("_hash", "text", "_toxic").toArrow().sort_by("_hash")
-    share = total.get(1, 0) / max(total.get(0, 0) + total.get(1, 0), 1)
-    return train(sample["text"], sample["_toxic"].to_numpy(zero_copy_only=False).astype(np.int64), share=share)
+    sample = kept(chosen.select("_hash", "text", "_toxic"), "sample")
+    each = sample.select("_hash", "_toxic").toArrow().sort_by("_hash")
+    bad = each["_toxic"].to_numpy() > 0
+    own, share = bad.mean() if len(bad) else 0.0, total.get(1, 0) / max(total.get(0, 0) + total.get(1, 0), 1)
+    share = share if 0 < own < 1 else own
+    heavy, light = share / max(own, 1e-9), (1 - share) / max(1 - own, 1e-9)
+    counts = sample.select("text", "_toxic").mapInArrow(_counted, "feature long, ill long, well long").groupBy("feature").agg(F.sum("ill").alias("ill"), F.sum("well").alias("well")).where(F.col("ill") >= MIN_DOCUMENTS).toArrow()
+    use = _chosen(*(counts[c].to_numpy() for c in ("feature", "ill", "well")), heavy, light, share)
+
+    def found(batches):
+        for piece in _text.slices(batches, most=1 << 20):
+            row, col, value = _sparse(*features(piece.column("text")), use)
+            yield pa.record_batch({"_hash": piece.column("_hash").take(pa.array(row)), "col": pa.array(col), "value": pa.array(value, pa.float64())})
+
+    cells = sample.select("_hash", "text").mapInArrow(found, "_hash long, col long, value double").toArrow().sort_by([("_hash", "ascending"), ("col", "ascending")])
+    row = np.searchsorted(each["_hash"].to_numpy(), cells["_hash"].to_numpy())
+    return train(row, cells["col"].to_numpy(), cells["value"].to_numpy(), bad, np.where(bad, heavy, light), use)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -167,7 +173,7 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose expected severity is below the limit, all columns."""
+    """The documents whose expected severity is below the limit, all columns; null and empty texts and repeated rows stay."""
     model = spark.sparkContext.broadcast(fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
     def run(batches):
