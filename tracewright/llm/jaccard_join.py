@@ -38,8 +38,10 @@ from tracewright.llm._store import Workspace, kept
 
 #: A token in more nodes than this is of the frequent class.
 FREQUENT = 8
-#: Families and postings of more nodes than this are compared by differences from their centre.
+#: Families of more nodes than this are compared by differences from their centre.
 LARGE = 16
+#: Postings of differences of more nodes than this are centred anew.
+DIRECT = 256
 #: Large postings of differences are centred anew so many times; what is then left of them is compared directly.
 LEVELS = 8
 #: How often a set is dealt into classes until few enough are empty; in the last deal empty classes count too.
@@ -316,15 +318,15 @@ def _hopeful(entry: DataFrame, percent: int) -> DataFrame:
     a count: so ``2 * u_b - m_b >= m_a - most`` for each of the two.
     """
     often = entry.groupBy("group", "token").agg(F.count(F.lit(1)).alias("_f"), F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("linked").alias("_all")).where("_f > 1 and _low < _high and not _all").select("group", "token", "_f")
-    counted = entry.drop("_f").join(often, ["group", "token"], "left")
+    counted = entry.drop("_f", "_u").join(often, ["group", "token"], "left")
     member = counted.groupBy("group", "node").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("linked").alias("linked"), F.first("_least").alias("_least"), F.count("_f").alias("_u"))
     member = member.withColumn("_spare", 2 * F.col("_u") - F.col("m")).withColumn("_over", F.col("m") - _most(percent))
     most = member.groupBy("group").agg(F.max("_spare").alias("_spare_most"), F.min(F.when(~F.col("linked"), F.col("_over"))).alias("_over_least"))
     fit = (F.col("_u") >= F.col("_least")) & F.when(F.col("linked"), F.col("_spare") >= F.col("_over_least")).otherwise(F.col("_over") <= F.col("_spare_most"))
-    return counted.join(member.join(most, "group").where(fit).select("group", "node"), ["group", "node"])
+    return counted.drop("_u").join(member.join(most, "group").where(fit).select("group", "node", "_u"), ["group", "node"])
 
 
-def _around_centres(members: DataFrame, percent: int, large: int, work: Workspace) -> DataFrame:
+def _around_centres(members: DataFrame, percent: int, work: Workspace) -> DataFrame:
     """a, b of linked nodes of different components in one family (group, node, n, difference, label), by their differences."""
     edges = None
     for level in range(LEVELS):
@@ -342,11 +344,11 @@ def _around_centres(members: DataFrame, percent: int, large: int, work: Workspac
         entry = _hopeful(_hopeful(work.keep(entry, "differences"), percent), percent)
         ranked = entry.withColumn("_at", F.row_number().over(Window.partitionBy("group", "node").orderBy(F.coalesce("_f", F.lit(0)), "token")))
         entry = work.keep(ranked.where("_f is not null and _at <= m - _least + 1").drop("_least"), "entries")
-        pairing = entry if last else entry.where(F.col("_f") <= large)
+        pairing = entry if last else entry.where(F.col("_f") <= DIRECT)
         x, y = pairing.alias("x"), pairing.alias("y")
-        # the two differences share so many tokens that the first shared one stands early in both
+        # the two differences share so many tokens that each has as many, and the first shared one stands early in both
         share = F.greatest(F.ceil((F.col("x.m") + F.col("y.m") - _most(percent, "x.n", "y.n")) / 2), F.lit(1))
-        near = _fits(percent, "x.n", "y.n") & (F.col("x._at") <= F.col("x.m") - share + 1) & (F.col("y._at") <= F.col("y.m") - share + 1)
+        near = _fits(percent, "x.n", "y.n") & (F.col("x._at") <= F.col("x.m") - share + 1) & (F.col("y._at") <= F.col("y.m") - share + 1) & (share <= F.least("x._u", "y._u"))
         met = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & ~(F.col("x.linked") & F.col("y.linked")) & near)
         pairs = met.select(F.col("x.group").alias("group"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         side = lambda c: around.select("group", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("difference").alias(f"d_{c}"))  # noqa: B023, E731
@@ -355,7 +357,7 @@ def _around_centres(members: DataFrame, percent: int, large: int, work: Workspac
         edges = edges.unionByName(both.where(apart <= _most(percent, "n_a", "n_b")).select("a", "b"))
         if last:
             break
-        rest = entry.where(F.col("_f") > large).select("group", "node", F.xxhash64("group", "token").alias("_next"))
+        rest = entry.where(F.col("_f") > DIRECT).select("group", "node", F.xxhash64("group", "token").alias("_next"))
         rest = rest.join(around.select("group", "node", "n", "difference", "label"), ["group", "node"]).select(F.col("_next").alias("group"), "node", "n", "difference", "label")
         members = work.keep(rest.unionByName(far), "members")
         if members.isEmpty():
@@ -441,7 +443,7 @@ def _components(docs: DataFrame, k: int, percent: int, frequent: int, large: int
         centre = whole.groupBy("group").agg(F.min_by("tokens", F.struct("_share", "node")).alias("_c"))
         difference = F.concat(F.array_except("tokens", "_c"), F.array_except("_c", "tokens"))
         members = whole.join(centre, "group").join(labels, "node", "left").select("group", "node", "n", difference.alias("difference"), F.coalesce("label", "node").alias("label"))
-        edges = edges.unionByName(_around_centres(work.keep(members, "members"), percent, large, work))
+        edges = edges.unionByName(_around_centres(work.keep(members, "members"), percent, work))
     final = components(edges, base, work)
     out = kept(groups.join(final, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("component")), "components")
     work.close()
