@@ -31,10 +31,10 @@ def test_one_id_with_several_texts_keeps_each(spark):
 
 def test_hundreds_of_near_copies_and_long_texts(spark, monkeypatch):
     base = [f"w{i}" for i in range(70)]
-    rows = near_copies(5, base, 200, 14, 100)  # many are not linked to their centre
+    rows = near_copies(5, base, 120, 14, 100)  # many are not linked to their centre
     rng = random.Random(9)
-    for i in range(60):  # copies of copies, cut and grown
-        w = rows[rng.randrange(200)][1].split()
+    for i in range(40):  # copies of copies, cut and grown
+        w = rows[rng.randrange(120)][1].split()
         at = rng.randrange(len(w))
         rows.append((400 + i, " ".join(w[:at] + w[at + rng.randrange(4) :] + [f"t{rng.randrange(9)}"] * rng.randrange(3))))
     long = [f"l{i % 3000}x{i}" for i in range(12000)]

@@ -328,43 +328,48 @@ def _hopeful(entry: DataFrame, percent: int) -> DataFrame:
 
 def _around_centres(members: DataFrame, percent: int, work: Workspace) -> DataFrame:
     """a, b of linked nodes of different components in one family (group, node, n, difference, label), by their differences."""
-    edges = None
+    edges = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     for level in range(LEVELS):
         last = level == LEVELS - 1
         around = _recentred(members, percent, work)
-        found = around.where("linked and node <> centre and own <> label").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-        edges = found if edges is None else edges.unionByName(found)
+        edges = edges.unionByName(around.where("linked and node <> centre and own <> label").select(F.col("centre").alias("a"), F.col("node").alias("b")))
         # linked members are at most ``_reach`` apart, so far ones, in a group of their own, miss no partner
-        far = around.where(F.size("difference") > 2 * F.col("_reach")).select(F.xxhash64("group").alias("group"), "node", "n", "difference", "label")
+        members = around.where(F.size("difference") > 2 * F.col("_reach")).select(F.xxhash64("group").alias("group"), "node", "n", "difference", "label")
         if not last:
             around = around.where(F.size("difference") <= 3 * F.col("_reach"))
         # a group of one component, or of members that the centre links, has nothing to find
         open_ = around.groupBy("group").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("linked").alias("_all")).where("_low < _high and not _all").select("group")
         entry = around.join(open_, "group", "left_semi").select("group", "node", "n", "linked", "label", F.size("difference").alias("m"), _shared_least(percent).alias("_least"), F.explode("difference").alias("token"))
-        entry = _hopeful(_hopeful(work.keep(entry, "differences"), percent), percent)
-        ranked = entry.withColumn("_at", F.row_number().over(Window.partitionBy("group", "node").orderBy(F.coalesce("_f", F.lit(0)), "token")))
-        entry = work.keep(ranked.where("_f is not null and _at <= m - _least + 1").drop("_least"), "entries")
-        pairing = entry if last else entry.where(F.col("_f") <= DIRECT)
-        x, y = pairing.alias("x"), pairing.alias("y")
-        # the two differences share so many tokens that each has as many, and the first shared one stands early in both
-        share = F.greatest(F.ceil((F.col("x.m") + F.col("y.m") - _most(percent, "x.n", "y.n")) / 2), F.lit(1))
-        near = _fits(percent, "x.n", "y.n") & (F.col("x._at") <= F.col("x.m") - share + 1) & (F.col("y._at") <= F.col("y.m") - share + 1) & (share <= F.least("x._u", "y._u"))
-        met = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & ~(F.col("x.linked") & F.col("y.linked")) & near)
-        pairs = met.select(F.col("x.group").alias("group"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        side = lambda c: around.select("group", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("difference").alias(f"d_{c}"))  # noqa: B023, E731
-        both = pairs.join(side("a"), ["group", "a"]).join(side("b"), ["group", "b"])
-        apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
-        edges = edges.unionByName(both.where(apart <= _most(percent, "n_a", "n_b")).select("a", "b"))
+        entry = work.keep(_hopeful(work.keep(entry, "differences"), percent), "hopeful")
+        if not entry.isEmpty():
+            ranked = _hopeful(entry, percent).withColumn("_at", F.row_number().over(Window.partitionBy("group", "node").orderBy(F.coalesce("_f", F.lit(0)), "token")))
+            entry = work.keep(ranked.where("_f is not null and _at <= m - _least + 1").drop("_least"), "entries")
+            edges = edges.unionByName(work.keep(_near(entry if last else entry.where(F.col("_f") <= DIRECT), around, percent), "near"))
+            rest = entry.where(F.col("_f") > DIRECT).select("group", "node", F.xxhash64("group", "token").alias("_next"))
+            rest = rest.join(around.select("group", "node", "n", "difference", "label"), ["group", "node"]).select(F.col("_next").alias("group"), "node", "n", "difference", "label")
+            members = members.unionByName(rest)
         if last:
             break
-        rest = entry.where(F.col("_f") > DIRECT).select("group", "node", F.xxhash64("group", "token").alias("_next"))
-        rest = rest.join(around.select("group", "node", "n", "difference", "label"), ["group", "node"]).select(F.col("_next").alias("group"), "node", "n", "difference", "label")
-        members = work.keep(rest.unionByName(far), "members")
+        members = work.keep(members, "members")
         if members.isEmpty():
             break
     return edges.distinct()
 
 
+def _near(entry: DataFrame, around: DataFrame, percent: int) -> DataFrame:
+    """a, b of linked members of a group that share a token of entries, by the differences in ``around``."""
+    x, y = entry.alias("x"), entry.alias("y")
+    # the two differences share so many tokens that each has as many, and the first shared one stands early in both
+    share = F.greatest(F.ceil((F.col("x.m") + F.col("y.m") - _most(percent, "x.n", "y.n")) / 2), F.lit(1))
+    near = _fits(percent, "x.n", "y.n") & (F.col("x._at") <= F.col("x.m") - share + 1) & (F.col("y._at") <= F.col("y.m") - share + 1) & (share <= F.least("x._u", "y._u"))
+    met = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & ~(F.col("x.linked") & F.col("y.linked")) & near)
+    pairs = met.select(F.col("x.group").alias("group"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    side = lambda c: around.select("group", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("difference").alias(f"d_{c}"))
+    both = pairs.join(side("a"), ["group", "a"]).join(side("b"), ["group", "b"])
+    apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
+    return both.where(apart <= _most(percent, "n_a", "n_b")).select("a", "b")
+
+
 def components(edges: DataFrame, nodes: DataFrame, work: Workspace) -> DataFrame:
     """``node, label``: for each node of ``nodes(node, label)`` the smallest label it can reach.
 
