@@ -49,7 +49,9 @@ class Contract:
     def problems(self) -> list[str]:
         """Why it cannot run; empty if it can."""
         out = [] if self.program else ["no program"]
-        out += [f"unknown invariant {i['kind']}" for i in self.invariants if i["kind"] not in RECORD and i["kind"] not in BATCH]
+        out += [f"unknown invariant {i['kind']}" for i in self.invariants if i["kind"] not in (*RECORD, *BATCH, *SHAPE)]
+        declared = [set(i["fields"]) for i in self.invariants if i["kind"] in SHAPE and "fields" in i]
+        out += [f"unknown output field {t}" for d in declared for t in sorted({op.target.split(".")[0].split("[")[0] for op in self.program} - d)]
         out += [f"policy {self.policy}"] if self.policy not in ("quarantine", "block", "warn") else []
         if self.status in ("superseded", "revoked"):
             out.append(f"is {self.status}")
@@ -69,8 +71,9 @@ RECORD = {
     "string_pattern": lambda p: F.coalesce(F.col(f"_o.{p['path']}").rlike(p["pattern"]), F.lit(False)),
     "path_type": lambda p: F.col(f"_o.{p['path']}").isNull() | F.col(f"_o.{p['path']}").cast("string").try_cast(p["type"]).isNotNull(),
     "no_unresolved_values": lambda p: F.coalesce(~F.col(f"_o.{p['path']}").cast("string").rlike(r"^\[(missing|unresolved|invalid|conflict)"), F.lit(True)),
-    "no_unknown_output_fields": lambda p: F.lit(True),
 }
+#: Invariants of the output's shape, of the whole batch, and the record ones above.
+SHAPE = ("no_unknown_output_fields",)
 BATCH = ("row_count_preserved", "key_set_preserved", "key_unique", "no_duplicate_output_keys", "maximum_failed_records", "maximum_failed_percent")
 
 
@@ -110,21 +113,34 @@ def batch_report(contract: Contract, df: DataFrame, ran: DataFrame) -> DataFrame
     n = ran.agg(F.count(F.lit(1)).alias("input"), *[F.count_if(F.col("status") == s).alias(s) for s in ("passed", "warned", "quarantined", "blocked")])
     dup = ran.groupBy(*contract.key).agg(F.count(F.lit(1)).alias("c")).agg(F.count_if(F.col("c") > 1).alias("_dup")) if contract.key else None
     n = n.crossJoin(dup) if dup is not None else n.withColumn("_dup", F.lit(0))
+    kinds = {i["kind"] for i in contract.invariants}
+    n = n.crossJoin(df.agg(F.count(F.lit(1)).alias("_source"))) if "row_count_preserved" in kinds else n.withColumn("_source", F.col("input"))
+    if "key_set_preserved" in kinds and contract.key:  # one full join of the keys' counts
+        left, right = (d.groupBy(*contract.key).agg(F.count(F.lit(1)).alias(c)) for d, c in ((df, "_a"), (ran, "_b")))
+        n = n.crossJoin(left.join(right, contract.key, "full").agg(F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("_keys")))
+    else:
+        n = n.withColumn("_keys", F.lit(0))
     failed = F.col("quarantined") + F.col("blocked")
     rules = []
     for i in contract.invariants:
-        test = {"maximum_failed_records": lambda: failed > i["value"], "maximum_failed_percent": lambda: failed * 100 > i["value"] * F.col("input"), "key_unique": lambda: F.col("_dup") > 0, "no_duplicate_output_keys": lambda: F.col("_dup") > 0}.get(i["kind"])  # noqa: B023
+        test = {"maximum_failed_records": lambda: failed > i["value"], "maximum_failed_percent": lambda: failed * 100 > i["value"] * F.col("input"), "row_count_preserved": lambda: F.col("input") != F.col("_source"), "key_set_preserved": lambda: F.col("_keys") > 0, "key_unique": lambda: F.col("_dup") > 0, "no_duplicate_output_keys": lambda: F.col("_dup") > 0}.get(i["kind"])  # noqa: B023
         if test:
             rules.append(F.when(test(), F.lit(i["kind"])))
     broken = F.filter(F.array(*rules), lambda x: x.isNotNull()) if rules else F.array().cast("array<string>")
     verdict = F.when((F.col("blocked") > 0) | (F.size("broken") > 0), "block").when(F.col("quarantined") > 0, "quarantine").when(F.col("warned") > 0, "warn").otherwise("pass")
-    return n.withColumn("broken", broken).withColumn("verdict", verdict).withColumn("broken", F.array_join("broken", ",")).drop("_dup")
+    return n.withColumn("broken", broken).withColumn("verdict", verdict).withColumn("broken", F.array_join("broken", ",")).drop("_dup", "_source", "_keys")
 
 
 def check(contract: Contract, df: DataFrame, actual: DataFrame) -> DataFrame:
     """Expected against actual by key: status and differing fields of each row."""
     expected = run(contract, df).select(*contract.key, "output.*")
-    return rows_keyed(expected, actual.select(*[c for c in expected.columns if c in actual.columns]), contract.key)
+    found = rows_keyed(expected, actual.select(*[c for c in expected.columns if c in actual.columns]), contract.key)
+    more = [c for c in actual.columns if c not in expected.columns]
+    if not more or not any(i["kind"] in SHAPE for i in contract.invariants):
+        return found
+    there = F.col("status").isin("unchanged", "changed")
+    fields = F.when(there, F.concat_ws(",", F.when(F.col("fields") != "", F.col("fields")), *[F.lit(f"unknown:{c}") for c in more])).otherwise(F.col("fields"))
+    return found.withColumn("fields", fields).withColumn("status", F.when(there, "changed").otherwise(F.col("status")))
 
 
 def row_ids(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -150,19 +166,46 @@ def suggested(contract: Contract, sample: DataFrame, most: int = 12) -> list[dic
 
 
 def mutations(contract: Contract, df: DataFrame) -> DataFrame:
-    """mutation, target, rows, detected: what happens to each target is changed on purpose, and checked against the contract."""
-    expected = run(contract, df).select(*contract.key, "output.*")
-    targets = [c for c in expected.columns if c not in contract.key]
-    kinds = dict(expected.dtypes)
+    """mutation, target, rows, changed, detected: what is changed on purpose, and where the invariants notice.
+
+    Each target is removed, changed in case, scaled or retyped in every row, and two targets of one
+    type are swapped; a changed row is detected if a record invariant fails that held before. The
+    batch loses a row and repeats one; that is detected if a batch invariant breaks. Mutations that
+    no invariant notices stay in the result with ``detected`` 0.
+    """
+    missing = [c for c in contract.required if c not in df.columns]
+    x = df.withColumn("_o", F.struct(*nested({op.target: compiled(op) for op in contract.program})))
+    x = x.withColumn("_before", _failed(contract, missing))
+    fields = x.schema["_o"].dataType.fields
+    kinds = {f.name: f.dataType.simpleString() for f in fields}
+    whole = lambda **new: F.struct(*[new.get(f.name, F.col(f"_o.{f.name}")).alias(f.name) for f in fields])
     made = []
-    for t in targets:
-        made.append(("remove", t, F.lit(None).cast(kinds[t])))
-        if kinds[t] == "string":
-            made.append(("case", t, F.when(F.upper(t) != F.col(t), F.upper(t)).otherwise(F.lower(t))))
-        if kinds[t] in ("double", "bigint", "int"):
-            made.append(("unit", t, (F.col(t) * 100).cast(kinds[t])))
-    wide = expected.select(*contract.key, *targets, F.explode(F.array(*[F.struct(F.lit(m).alias("mutation"), F.lit(t).alias("target"), (~v.eqNullSafe(F.col(t))).alias("differs")) for m, t, v in made])).alias("_m"))
-    return wide.groupBy(F.col("_m.mutation").alias("mutation"), F.col("_m.target").alias("target")).agg(F.count(F.lit(1)).alias("rows"), F.count_if("_m.differs").alias("detected"))
+    for t, kind in kinds.items():
+        v = F.col(f"_o.{t}")
+        made.append(("remove", t, whole(**{t: F.lit(None).cast(kind)})))
+        if kind == "string":
+            made.append(("case", t, whole(**{t: F.when(F.upper(v) != v, F.upper(v)).otherwise(F.lower(v))})))
+            made.append(("retype", t, whole(**{t: F.xxhash64(v).cast("string")})))
+        if kind in ("double", "bigint", "int"):
+            made.append(("unit", t, whole(**{t: (v * 100).cast(kind)})))
+    for a, b in ((a, b) for a in kinds for b in kinds if a < b and kinds[a] == kinds[b]):
+        made.append(("swap", f"{a},{b}", whole(**{a: F.col(f"_o.{b}"), b: F.col(f"_o.{a}")})))
+    each = F.array(*[F.struct(F.lit(m).alias("mutation"), F.lit(t).alias("target"), o.alias("o"), (~o.eqNullSafe(F.col("_o"))).alias("changed")) for m, t, o in made])
+    wide = x.withColumn("_m", F.explode(each)).withColumn("_o", F.col("_m.o"))
+    wide = wide.withColumn("_new", F.size(F.array_except(_failed(contract, missing), "_before")) > 0)
+    rows = wide.groupBy(F.col("_m.mutation").alias("mutation"), F.col("_m.target").alias("target")).agg(F.count(F.lit(1)).alias("rows"), F.count_if("_m.changed").alias("changed"), F.count_if(F.col("_m.changed") & F.col("_new")).alias("detected"))
+    ran = run(contract, df)
+    held = batch_report(contract, df, ran).select(F.col("broken").alias("_held"))
+    for name, other in (("drop_row", _without_one(ran, contract.key)), ("duplicate_key", ran.unionByName(ran.limit(1)))):
+        seen = batch_report(contract, df, other).crossJoin(held).select(F.lit(name).alias("mutation"), F.lit("").alias("target"), F.lit(1).cast("long").alias("rows"), F.lit(1).cast("long").alias("changed"), (F.col("broken") != F.col("_held")).cast("long").alias("detected"))
+        rows = rows.unionByName(seen)
+    return rows
+
+
+def _without_one(ran: DataFrame, key: list[str]) -> DataFrame:
+    """All rows but those of the smallest key."""
+    first = ran.agg(F.min(F.struct(*key)).alias("_first"))
+    return ran.crossJoin(first).where(~F.struct(*key).eqNullSafe(F.col("_first"))).drop("_first")
 
 
 def differences(old: Contract, new: Contract) -> list[dict[str, str]]:

@@ -41,11 +41,38 @@ def _check(spark, sf_dir):
     return K.check(contract(), df, made)
 
 
-@query("contract_mutations", f"""SELECT 'remove' AS mutation, 'label' AS target, count(*) AS rows, count({_LABEL}) AS detected FROM orders UNION ALL SELECT 'case', 'label', count(*), count({_LABEL}) FROM orders
-UNION ALL SELECT 'remove', 'cents', count(*), count(*) FROM orders UNION ALL SELECT 'unit', 'cents', count(*), count_if(o_totalprice <> 0) FROM orders
-UNION ALL SELECT 'remove', 'priority', count(*), count(*) FROM orders UNION ALL SELECT 'case', 'priority', count(*), count_if(upper(lower(o_orderpriority)) <> lower(o_orderpriority)) FROM orders""")
+_PRIORITY = "lower(o_orderpriority)"
+_WHOLE = f"WITH o AS (SELECT {_LABEL} AS label, o_totalprice * 100 AS cents, {_PRIORITY} AS priority FROM orders), "
+_HELD = "coalesce(label IN ('finished', 'open'), false)"
+_MADE = """m AS (
+SELECT 'remove' AS mutation, 'label' AS target, label IS NOT NULL AS changed, {h} AS held, false AS holds FROM o UNION ALL SELECT 'case', 'label', label IS NOT NULL, {h}, coalesce(upper(label) IN ('finished', 'open'), false) FROM o
+UNION ALL SELECT 'retype', 'label', label IS DISTINCT FROM 'x', {h}, false FROM o UNION ALL SELECT 'remove', 'cents', true, {h}, {h} FROM o UNION ALL SELECT 'unit', 'cents', cents <> 0, {h}, {h} FROM o
+UNION ALL SELECT 'remove', 'priority', true, {h}, {h} FROM o UNION ALL SELECT 'case', 'priority', upper(priority) <> priority, {h}, {h} FROM o UNION ALL SELECT 'retype', 'priority', true, {h}, {h} FROM o
+UNION ALL SELECT 'swap', 'label,priority', label IS DISTINCT FROM priority, {h}, coalesce(priority IN ('finished', 'open'), false) FROM o)""".format(h=_HELD)
+
+
+@query("contract_mutations", f"""{_WHOLE}{_MADE}
+SELECT mutation, target, count(*) AS rows, count_if(changed) AS changed, count_if(changed AND held AND NOT holds) AS detected FROM m GROUP BY ALL
+UNION ALL SELECT 'drop_row', '', 1, 1, 1 FROM (SELECT count(*) AS n FROM orders) WHERE n > 0 UNION ALL SELECT 'duplicate_key', '', 1, 1, 1 FROM (SELECT count(*) AS n FROM orders) WHERE n > 0""")
 def _mutations(spark, sf_dir):
-    return K.mutations(contract(), table(spark, sf_dir, "orders"))
+    k = contract()
+    k.invariants += [{"kind": "row_count_preserved"}, {"kind": "key_unique"}]
+    return K.mutations(k, table(spark, sf_dir, "orders"))
+
+
+@query("contract_row_count", """SELECT count(*) - count_if(o_orderkey % 211 = 0) AS input, 'row_count_preserved,key_set_preserved' AS broken FROM orders""")
+def _row_count(spark, sf_dir):
+    df, k = table(spark, sf_dir, "orders"), contract()
+    k.invariants = [{"kind": "row_count_preserved"}, {"kind": "key_set_preserved"}, {"kind": "key_unique"}]
+    return K.batch_report(k, df, K.run(k, df).where("o_orderkey % 211 <> 0")).select("input", "broken")
+
+
+@query("contract_unknown_fields", "SELECT o_orderkey, CASE WHEN o_orderkey % 211 = 0 THEN 'removed' ELSE 'changed' END AS status, CASE WHEN o_orderkey % 211 = 0 THEN '' WHEN o_orderkey % 997 = 0 THEN 'cents,unknown:extra' ELSE 'unknown:extra' END AS fields FROM orders")
+def _unknown(spark, sf_dir):
+    df, k = table(spark, sf_dir, "orders"), contract()
+    k.invariants.append({"kind": "no_unknown_output_fields"})
+    made = K.run(k, df).select("o_orderkey", "output.*").where("o_orderkey % 211 <> 0").withColumn("cents", F.when(F.col("o_orderkey") % 997 == 0, F.col("cents") + 1).otherwise(F.col("cents")))
+    return K.check(k, df, made.withColumn("extra", F.lit(1)))
 
 
 @query("contract_row_ids", """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_orderkey || '|' || l_linenumber || CASE WHEN n > 1 THEN '#' || n ELSE '' END AS row_id

@@ -1,8 +1,9 @@
 """Rules from examples: propose operators from a few rows, test them all on every row in one pass.
 
-Proposals come from at most ``EVIDENCE`` rows on the driver; whether one holds is decided by Spark
-over the whole batch, with all candidates of all targets counted in one aggregate. Nothing is
-executed in Python, so a rule means the same when it is learned and when it runs.
+Proposals come from at most ``EVIDENCE`` rows on the driver and are first tried on these rows; whether
+one holds is decided by Spark over the whole batch, with the remaining candidates of all targets
+counted together. No operator is executed in Python, so a rule means the same when it is learned
+and when it runs.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 from tracewright.functions import values as V
 from tracewright.plans.program import Op, compiled
 
-#: Rows that proposals are read from.
-EVIDENCE = 200
+#: Rows that proposals are read from, and of these the ones whose values suggest operators.
+EVIDENCE, SUGGEST = 200, 8
+#: A proposal that fewer evidence rows bear out is not counted over all rows.
+HOPE = 0.6
 #: A rule is supported if all rows agree, or 95 % of 8 or more; 80 % is a near fit.
 SUPPORT, NEAR, LEAST = 0.95, 0.80, 8
 #: A lookup with an entry for every second row or more has only memorised.
@@ -26,7 +29,7 @@ MOST_KEYS = 500
 #: What an operator costs; the cheapest that fits is chosen.
 COSTS = {
     "set": 1.05, "stringNormalize": 1.16, "dateFormat": 1.22, "stringCase": 1.35, "booleanNot": 1.35, "numericCompare": 1.38, "stringSplit": 1.4, "stringReplace": 1.42, "extractBetween": 1.42,
-    "coerce": 1.45, "numericBinary": 1.45, "fallback": 1.52, "numericTransform": 1.55, "template": 1.58, "concat": 1.65, "valueMap": 1.7, "numericFormula": 1.72, "regexExtract": 1.72, "constant": 1.9, "splitPart": 1.9, "conditional": 2.0,
+    "coerce": 1.45, "numericBinary": 1.45, "fallback": 1.52, "numericTransform": 1.55, "template": 1.58, "concat": 1.65, "numericFormula": 1.72, "regexExtract": 1.72, "constant": 1.9, "splitPart": 1.9, "conditional": 2.0, "valueMap": 2.25,
 }
 #: Separators that are tried.
 SEPARATORS = (" ", ",", "-", "_", "|", "/", ".")
@@ -55,13 +58,12 @@ def proposals(rows: list[dict], inputs: list[str], target: str) -> list[Op]:
     if not rows:
         return out
     values = [r["_out"] for r in rows]
-    if all(v == values[0] for v in values):
-        add("constant", value=values[0])
-    for s in inputs:
-        known = [(r[s], r["_out"]) for r in rows if r[s] is not None]
-        if not known:
-            continue
-        x, y = known[0]
+    common = max(values, key=values.count)
+    if values.count(common) >= NEAR * len(values):
+        add("constant", value=common)
+    # a corrupt row must not decide alone: several rows, evenly spread, make suggestions
+    some = lambda xs: xs[:: max(1, len(xs) // SUGGEST)][:SUGGEST]
+    for s, x, y in ((s, x, y) for s in inputs for x, y in some([(r[s], r["_out"]) for r in rows if r[s] is not None])):
         add("set", source=s)
         if isinstance(y, bool):
             if isinstance(x, bool):
@@ -101,15 +103,14 @@ def proposals(rows: list[dict], inputs: list[str], target: str) -> list[Op]:
                     add("extractBetween", source=s, prefix=pre, suffix=post)
             if y.isdigit() and x != y:
                 add("regexExtract", source=s, pattern="[0-9]+")
-    x = rows[0]
-    texts = [s for s in inputs if isinstance(x[s], str) and x[s]]
-    if isinstance(x["_out"], str):
+    for x in some(rows):
+        texts = [s for s in inputs if isinstance(x[s], str) and x[s]] if isinstance(x["_out"], str) else []
         for a in texts:
             for b in texts:
                 if a != b and x["_out"].startswith(x[a]) and x["_out"].endswith(x[b]) and len(x["_out"]) >= len(x[a]) + len(x[b]):
                     add("concat", sources=[a, b], separators=[x["_out"][len(x[a]) : len(x["_out"]) - len(x[b])]])
-    numbers = [s for s in inputs if _like(x[s], 0)]
-    if _like(x["_out"], 0):
+    numbers = [s for s in inputs if any(_like(r[s], 0) for r in rows)]
+    if any(_like(v, 0) for v in values):
         for i, a in enumerate(numbers):
             for j, b in enumerate(numbers):
                 if i != j:
@@ -130,7 +131,7 @@ def _plausible(op: Op, rows: list[dict]) -> bool:
     near = 0
     for r in rows:
         a, b = (r[p["left"]], r[p["right"]]) if op.kind == "numericBinary" else (r[p["base"]], r[p["rate"]])
-        if a is None or b is None:
+        if not (_like(a, b) and _like(r["_out"], 0)):
             continue
         a, b = float(a), float(b)
         got = {"add": a + b, "subtract": a - b, "multiply": a * b}[p["mode"]] if op.kind == "numericBinary" else a * (1 + (1 if p["direction"] == "add" else -1) * b / p["rateDivisor"])
@@ -169,6 +170,9 @@ def infer(pairs: DataFrame, inputs: list[str], outputs: dict[str, str]) -> list[
     tests: list[tuple[str, Op]] = []
     for target, column in outputs.items():
         tests += [(column, op) for op in proposals([{**r, "_out": r[column]} for r in evidence], inputs, target)]
+    if evidence:
+        sample = pairs.sparkSession.createDataFrame([tuple(r[c] for c in columns) for r in evidence], pairs.select(*columns).schema).coalesce(1)
+        tests = [t for t, (m, n) in zip(tests, supports(sample, tests), strict=True) if m >= HOPE * n]
     results = list(zip(tests, supports(pairs, tests), strict=True))
     rules = []
     for target, column in outputs.items():

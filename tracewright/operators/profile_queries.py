@@ -104,10 +104,10 @@ def _gaps(spark, sf_dir):
 
 
 @query("profile_temporal_gaps_all", """
-WITH t AS (SELECT DISTINCT epoch_us(o_orderdate) // 1000 AS ms FROM orders WHERE o_orderkey % 97 = 0), g AS (SELECT ms, lag(ms) OVER (ORDER BY ms) AS f FROM t), s AS (SELECT max(ms) - min(ms) AS span FROM t), m AS (SELECT median(ms - f) AS med FROM g WHERE f IS NOT NULL)
-SELECT f AS from_ms, ms AS to_ms, ms - f AS gap FROM g, s, m WHERE f IS NOT NULL AND ms - f > 3 * med AND ms - f > 0.005 * span""")
+WITH t AS (SELECT DISTINCT epoch_us(ts) // 1000 AS ms FROM events), g AS (SELECT ms, lag(ms) OVER (ORDER BY ms) AS f FROM t), s AS (SELECT max(ms) - min(ms) AS span FROM t), m AS (SELECT median(ms - f) AS med FROM g WHERE f IS NOT NULL)
+SELECT f AS from_ms, ms AS to_ms, ms - f AS gap FROM g, s, m WHERE f IS NOT NULL AND ms - f > 3 * med AND ms - f > 0.0005 * span""")
 def _gaps_all(spark, sf_dir):
-    return P.temporal_gaps(table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0"), "o_orderdate", least_share=0.005)
+    return P.temporal_gaps(table(spark, sf_dir, "events"), "ts", least_share=0.0005)
 
 
 @query("profile_duplicates", "SELECT o_custkey, o_orderstatus, count(*) AS copies FROM orders GROUP BY ALL HAVING count(*) > 1")

@@ -28,6 +28,8 @@ TOKENS = (
     ("<decimal>", r"\b\d+\.\d+\b"),
     ("<integer>", r"\b\d{2,}\b"),
 )
+#: Tokens that a line without a digit may hold.
+WITHOUT_DIGITS = ("<uuid>", "<email>", "<url>", "<quoted>", "<path>")
 #: Lexical features, what they say and how strongly.
 FEATURES = (
     ("fatal", "severity", 1.0, r"(?i)\b(fatal|panic|segfault|out of memory)\b"),
@@ -62,10 +64,14 @@ def lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def template(line: Column) -> Column:
     """A line with its changing parts replaced."""
-    c = F.regexp_replace(line, "\\x1B\\[[0-9;]*m", "")
-    for name, pattern in TOKENS:
-        c = F.regexp_replace(c, pattern, name)
-    return V.collapsed(c)
+    plain = F.regexp_replace(line, "\\x1B\\[[0-9;]*m", "")
+    made = {}
+    for digits in (True, False):  # most tokens hold a digit: a line without one skips their patterns
+        made[digits] = plain
+        for name, pattern in TOKENS:
+            if digits or name in WITHOUT_DIGITS:
+                made[digits] = F.regexp_replace(made[digits], pattern, name)
+    return V.collapsed(F.when(line.rlike("[0-9]"), made[True]).otherwise(made[False]))
 
 
 def templates(x: DataFrame, key: str) -> DataFrame:
@@ -123,16 +129,23 @@ def restatements(x: DataFrame, key: str, least: float = 0.64, tokens: int = 4) -
 
 
 def novelty(x: DataFrame, key: str, size: int = 4) -> DataFrame:
-    """key, line_no, novelty: the share of a line's character grams that no earlier line of the text has."""
-    y = x.where(F.length("line") >= size).select(key, "line_no", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("line") - size + 1), lambda i: F.substring("line", i, F.lit(size))))).alias("g"))
-    first = y.groupBy(key, F.xxhash64("g").alias("g")).agg(F.min("line_no").alias("_first"))
-    z = y.withColumn("g", F.xxhash64("g")).join(first, [key, "g"])
-    return z.groupBy(key, "line_no").agg(F.avg((F.col("_first") == F.col("line_no")).cast("int")).alias("novelty"))
+    """key, line_no, novelty: the share of a line's character grams that no earlier line of the text has.
+
+    A gram is new on the first line that has it, so the grams meet once, in one shuffle by text and
+    gram; the lines themselves only bring how many distinct grams they have.
+    """
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("line") - size + 1), lambda i: F.substring("line", i, F.lit(size))))
+    y = x.where(F.length("line") >= size)
+    first = y.select(key, "line_no", F.explode(grams).alias("_g")).groupBy(key, F.xxhash64("_g").alias("_g")).agg(F.min("line_no").alias("line_no"))
+    new = first.groupBy(key, "line_no").agg(F.count(F.lit(1)).alias("_new"))
+    every = y.select(key, "line_no", F.size(grams).alias("_grams"))
+    return every.join(new, [key, "line_no"], "left").select(key, "line_no", (F.coalesce("_new", F.lit(0)) / F.col("_grams")).alias("novelty"))
 
 
 def breaks(x: DataFrame, key: str, width: int = 3) -> DataFrame:
     """key, line_no, kind of pattern breaks: of the neighbours, of the block, of the delimiter, of the sequence."""
-    y = x.where(~F.col("blank")).withColumn("tpl", F.xxhash64(template(F.col("line"))))
+    y = x.where(~F.col("blank"))
+    y = y if "tpl" in x.columns else y.withColumn("tpl", F.xxhash64(template(F.col("line"))))
     order = Window.partitionBy(key).orderBy("line_no")
     near = F.concat(F.collect_list("tpl").over(order.rowsBetween(-width, -1)), F.collect_list("tpl").over(order.rowsBetween(1, width)))
     y = y.withColumn("_near", near)
@@ -159,7 +172,7 @@ def findings(x: DataFrame, key: str) -> DataFrame:
     y = x.where(~F.col("blank")).withColumn("tpl", F.xxhash64(template(F.col("line"))))
     y = y.withColumns({f"_s_{role}": c for role, c in strengths(F.col("line")).items()})
     s = {role: F.col(f"_s_{role}") for role in ("severity", "constraint", "exception", "concrete")}
-    b = breaks(x, key).groupBy(key, "line_no").agg(F.least(F.lit(1.0), 0.6 + 0.2 * (F.count(F.lit(1)) - 1)).alias("pattern_break"))
+    b = breaks(y, key).groupBy(key, "line_no").agg(F.least(F.lit(1.0), 0.6 + 0.2 * (F.count(F.lit(1)) - 1)).alias("pattern_break"))
     y = y.withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(key))).withColumn("_own", F.count(F.lit(1)).over(Window.partitionBy(key, "tpl")))
     rarity = F.when(F.col("_all") >= 5, 1 - F.least(F.lit(1.0), F.col("_own") * 5 / F.col("_all"))).otherwise(0.0)
     y = y.join(b, [key, "line_no"], "left").join(novelty(x, key), [key, "line_no"], "left")

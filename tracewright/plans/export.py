@@ -8,7 +8,7 @@ from tracewright.plans.program import Op, parse_path
 
 
 def spark_sql(program: list[Op], table: str) -> str:
-    """A SELECT for the operators that SQL says directly; others are named in a comment."""
+    """A SELECT for the operators that SQL says directly; any other is refused, for a column of nulls would be wrong."""
     out = []
     for op in program:
         p = op.params
@@ -24,7 +24,9 @@ def spark_sql(program: list[Op], table: str) -> str:
             "concat": lambda: "concat(" + q(p["sources"][0]) + "".join(f", {lit(s)}, {q(x)}" for s, x in zip(p["separators"], p["sources"][1:], strict=True)) + ")",
             "conditional": lambda: f"CASE WHEN {q(p['source'])} {'=' if p['test'] == 'equals' else '<>'} {lit(p['value'])} THEN {lit(p['then'])} ELSE {lit(p['else'])} END",
         }.get(op.kind, lambda: None)()
-        out.append(f"{made} AS `{op.target}`" if made else f"NULL AS `{op.target}` /* {op.kind}: run the program */")
+        if not made:
+            raise ValueError(f"{op.kind} of {op.target} has no SQL text: run the program")
+        out.append(f"{made} AS `{op.target}`")
     return f"SELECT {', '.join(out)} FROM {table}"
 
 
