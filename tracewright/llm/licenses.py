@@ -131,8 +131,9 @@ class Index:
 def scored(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, alignments`` of every row.
 
-    ``alignments`` lists label, first word and share of the verified ones. Null and empty texts have
-    no words, no labels and score 0.
+    ``alignments`` lists label, first word and share of the verified ones. ``score`` is 1 where a
+    base phrase stands, else the largest such share. Null and empty texts have no words, no labels
+    and score 0; repeated rows each get a row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -153,7 +154,7 @@ def scored(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
                 np.maximum.at(high, owner, at - first[owner])
                 for i in np.unique(owner).tolist():
                     labels[i].add(label)
-            more, score, found = [set(x) for x in labels], np.zeros(n), [[] for _ in range(n)]
+            more, score, found = [set(x) for x in labels], (base > 0).astype(float), [[] for _ in range(n)]
             place = np.minimum(np.searchsorted(index.words, words), len(index.words) - 1)
             hit = np.flatnonzero(index.words[place] == words)
             owner = np.searchsorted(first, hit, side="right") - 1
