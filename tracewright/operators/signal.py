@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import values as V
 
-#: What is replaced in a line to get its template, in this order.
+#: What is replaced in a line to get its template, in this order.
 TOKENS = (
     ("<timestamp>", r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:?\d{2})?"),
     ("<date>", r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}"),
@@ -30,7 +30,7 @@ TOKENS = (
 )
 #: Tokens that a line without a digit may hold.
 WITHOUT_DIGITS = ("<uuid>", "<email>", "<url>", "<quoted>", "<path>")
-#: Lexical features, what they say and how strongly.
+#: Lexical features, what they say and how strongly.
 FEATURES = (
     ("fatal", "severity", 1.0, r"(?i)\b(fatal|panic|segfault|out of memory)\b"),
     ("error", "severity", 0.85, r"(?i)\b(error|exception|failed|failure|traceback)\b"),
