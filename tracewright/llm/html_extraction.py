@@ -1,19 +1,23 @@
 """HTML extraction with a host suffix array.
 
-Pages are cut into blocks. Blocks inside the article (``article``, ``main``) are its text; blocks
-inside marked boilerplate (menus, footers, adverts, forms and so on) go, unless the marked element
-holds an article. What is left outside the article of any page, or all text of a page without one,
-may be either: these blocks' token streams are laid end to end and their suffixes grouped by host
-and first ``RUN`` tokens. A group on ``SHARE`` of the host's distinct pages, ``PAGES`` at least, is
-part of a repeated run, and a block that such runs cover whole goes; all others stay whole, in page
-order. Suffixes need no sorting for that: a repeated run of ``RUN`` tokens or more covers the same
-tokens as all its windows of ``RUN``, which are repeated on the same pages.
-
-Equal pages and near copies (``ALIKE`` percent of their windows, by the exact join of
-``jaccard_join``) of a host count as one page, else a copied article would look like boilerplate.
+Pages are cut into blocks of three kinds. Blocks inside the article (``article``, ``main``) are its
+text. Marked boilerplate (menus, footers, adverts, forms and so on) goes, unless the marked element
+holds an article. Open blocks, which are outside the article and not marked, may be either.
+
+The token streams of all that is outside the articles, marked or open, are laid end to end. Their
+suffixes, to a depth of ``RUN`` tokens, are sorted by host over ranges, and equal neighbours are
+counted: a suffix on ``SHARE`` of the host's distinct pages with open blocks, ``PAGES`` at least,
+begins a repeated run. An open block that such runs cover whole goes, be its copies on other pages
+marked or open; all others stay whole, in page order. A deeper order would say no more: a longer
+repeat covers the same tokens as all its windows of ``RUN``, which are repeated on the same pages.
+``n_repeated`` counts the words outside a page's article that repeated runs cover.
+
+Equal pages of a host count as one page, else a copied page would look like boilerplate; so do near
+copies (``ALIKE`` percent of their windows, by the exact join of ``jaccard_join``) among pages with
+open blocks, which alone can lose text.
 
 Passages that articles of one host share are text, not boilerplate, so the suffix array does not
-touch blocks inside an article.
+hold blocks inside an article.
 """
 
 from __future__ import annotations
@@ -35,8 +39,10 @@ from tracewright.llm.jaccard_join import linked
 RUN = 8
 #: Boilerplate is on so many pages of its host at least ...
 PAGES = 3
-#: ... and on this share of its distinct pages that have RUN tokens outside an article.
+#: ... and on this share of its distinct pages that have open blocks.
 SHARE = 0.5
+#: A suffix that many pages share is joined to these in so many parts.
+PARTS = 16
 #: Pages of a host are one if this percentage of their windows of RUN words is the same.
 ALIKE = 90
 
@@ -50,6 +56,8 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Kinds of blocks.
+OPEN, ARTICLE, MARKED = 0, 1, 2
 #: Elements whose content is not markup.
 RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noscript"))
 
@@ -100,9 +108,15 @@ def _holders(html: str) -> set[int]:
 
 def blocks(html: str | None) -> list[tuple[str, bool]]:
     """The text of each block in page order and whether it is inside an article; boilerplate is left out."""
+    return [(text, kind == ARTICLE) for text, kind in regions(html) if kind != MARKED]
+
+
+def regions(html: str | None) -> list[tuple[str, int]]:
+    """The text of each block in page order and its kind; a marked element is one block."""
     html = html or ""
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, int]] = []
     parts: list[str] = []
+    marked: list[str] = []
     depth = 0  # of articles
     holders = _holders(html)
     closing, nested = "", 0  # the boilerplate element that is open, and how many of its name
@@ -112,12 +126,20 @@ def blocks(html: str | None) -> list[tuple[str, bool]]:
         text = " ".join(_html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append((text, depth > 0))
+            out.append((text, ARTICLE if depth else OPEN))
+
+    def flush_marked() -> None:
+        text = " ".join(_html.unescape(" ".join(marked)).split())
+        marked.clear()
+        if text:
+            out.append((text, MARKED))
 
     while True:
         m = _TAG.search(html, at)
         if not closing:
             parts.append(html[at : m.start() if m else len(html)])
+        elif closing not in HIDDEN and closing != "title":
+            marked.append(html[at : m.start() if m else len(html)])
         if not m:
             break
         at = m.end()
@@ -134,6 +156,7 @@ def blocks(html: str | None) -> list[tuple[str, bool]]:
                 nested = 0
             if nested <= 0:
                 closed, closing = closing, ""
+                flush_marked()
                 if closed == name and end:
                     continue
             else:
@@ -156,6 +179,7 @@ def blocks(html: str | None) -> list[tuple[str, bool]]:
         elif name == "br":
             parts.append(" ")
     flush()
+    flush_marked()
     return out
 
 
@@ -171,75 +195,141 @@ def _host(url) -> F.Column:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """row, page_id, url, host, blocks and which of them are inside an article (``inside``), kept as a table."""
+    """row, page_id, url, host, blocks and their kinds, and whether any is open, kept as a table."""
     id_type = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches):
         row = TaskContext.get().partitionId() << 33
         for piece in _text.slices(batches, "html"):
-            found = [blocks(h) for h in piece.column("html").to_pylist()]
-            texts, inside = [[t for t, _ in f] for f in found], [[own for _, own in f] for f in found]
-            yield pa.record_batch({"row": pa.array(row + np.arange(piece.num_rows)), "page_id": piece.column("page_id"), "url": piece.column("url"), "host": piece.column("host"), "blocks": pa.array(texts, pa.list_(pa.string())), "inside": pa.array(inside, pa.list_(pa.bool_()))})
+            found = [regions(h) for h in piece.column("html").to_pylist()]
+            texts, kinds = [[t for t, _ in f] for f in found], [[k for _, k in f] for f in found]
+            yield pa.record_batch({"row": pa.array(row + np.arange(piece.num_rows)), "page_id": piece.column("page_id"), "url": piece.column("url"), "host": piece.column("host"), "blocks": pa.array(texts, pa.list_(pa.string())), "kinds": pa.array(kinds, pa.list_(pa.int8())), "open": pa.array([OPEN in k for k in kinds])})
             row += piece.num_rows
 
     source = pages.select("page_id", F.col("url").cast("string").alias("url"), _host(F.col("url")).alias("host"), "html")
-    return kept(source.mapInArrow(run, f"row long, page_id {id_type}, url string, host string, blocks array<string>, inside array<boolean>"), "blocks")
+    return kept(source.mapInArrow(run, f"row long, page_id {id_type}, url string, host string, blocks array<string>, kinds array<tinyint>, open boolean"), "blocks")
+
+
+def _of(*kinds: int):
+    """The text of a page's blocks of these kinds."""
+    pairs = F.filter(F.arrays_zip("blocks", "kinds"), lambda x: x["kinds"].isin(*kinds))
+    return F.array_join(F.transform(pairs, lambda x: x["blocks"]), "\n")
+
+
+def _keys(piece):
+    """The suffixes of each page: RUN tokens as big-endian 32-bit fingerprints, the page's index, the place in its stream."""
+    words, first = _text.word_hashes(piece.column("stream"), lower=False)
+    n = np.maximum(np.diff(first) - RUN + 1, 0)
+    at = np.concatenate([[0], np.cumsum(n)])
+    owner = _text.owners(at)
+    place = np.arange(at[-1]) - at[owner]
+    tokens = (words >> np.uint64(32)).astype(">u4")
+    return tokens[(first[:-1][owner] + place)[:, None] + np.arange(RUN)], owner, place
+
+
+def _names(keys: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each suffix key."""
+    wide = np.ascontiguousarray(keys).view(">u8").astype(np.uint64).reshape(len(keys), -1)
+    total = np.zeros(len(keys), np.uint64)
+    for column in wide.T:
+        total = _text.mix(total * np.uint64(0x9E3779B97F4A7C15) + column)
+    return total.view(np.int64)
 
 
 def _suffixes(batches):
-    """Each suffix's first RUN tokens as a hash, with its place in the page's token stream."""
+    """Rows to sort: host, suffix key, page."""
     for piece in _text.slices(batches, "stream"):
-        words, first = _text.word_hashes(piece.column("stream"), lower=False)
-        runs, at = _text.shingle_hashes(words, first, RUN)
-        full = np.repeat(np.diff(first) >= RUN, np.diff(at))
-        owner = _text.owners(at)
-        yield pa.record_batch({"host": piece.column("host").take(pa.array(owner[full])), "suffix": pa.array(runs[full].view(np.int64)), "row": piece.column("row").take(pa.array(owner[full])), "place": pa.array((np.arange(len(runs)) - at[owner])[full], pa.int32())})
+        keys, owner, _ = _keys(piece)
+        width = 4 * RUN
+        offsets = pa.array(np.arange(len(keys) + 1) * width, pa.int32()).buffers()[1]
+        key = pa.Array.from_buffers(pa.binary(), len(keys), [None, offsets, pa.py_buffer(keys.tobytes())])
+        take = pa.array(owner)
+        yield pa.record_batch({"host": piece.column("host").take(take), "key": key, "page": piece.column("page").take(take)})
+
+
+def _places(batches):
+    """Rows to look up: host, suffix name, row, place."""
+    for piece in _text.slices(batches, "stream"):
+        keys, owner, place = _keys(piece)
+        take = pa.array(owner)
+        yield pa.record_batch({"host": piece.column("host").take(take), "suffix": pa.array(_names(keys)), "row": piece.column("row").take(take), "place": pa.array(place, pa.int32())})
+
+
+def _neighbours(batches):
+    """Of sorted suffixes: each suffix and the pages it is on, as far as this range knows; a page is in one range only."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data, _ = _text.encoded(batch.column("key"))
+        keys = data.reshape(batch.num_rows, 4 * RUN)
+        host, page = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("host", "page"))
+        before = last or (None, None, None)
+        group, other = np.ones(len(host), bool), np.ones(len(host), bool)
+        group[1:] = (host[1:] != host[:-1]) | (keys[1:] != keys[:-1]).any(1)
+        other[1:] = group[1:] | (page[1:] != page[:-1])
+        if last and before[0] == host[0] and before[1] == keys[0].tobytes():
+            other[0] = before[2] != page[0]
+        last = host[-1], keys[-1].tobytes(), page[-1]
+        starts = np.flatnonzero(group)
+        yield pa.record_batch({"host": pa.array(host[starts]), "suffix": pa.array(_names(keys[starts])), "pages": pa.array(np.add.reduceat(other.astype(np.int64), starts))})
+
+
+def repeated(streams: DataFrame) -> DataFrame:
+    """``host, suffix, pages`` of suffixes on ``PAGES`` pages at least, of ``streams(host, page, row, stream)``.
+
+    Suffixes are sorted over ranges by host, key and page, so one that is on very many pages is
+    dealt over several ranges, whose counts are added.
+    """
+    order = ("host", "key", "page")
+    # as many ranges as the session's shuffles have; without a number, AQE may join small ones
+    array = streams.select("host", "page", "stream").mapInArrow(_suffixes, "host long, key binary, page long").repartitionByRange(*order).sortWithinPartitions(*order)
+    return array.mapInArrow(_neighbours, "host long, suffix long, pages long").groupBy("host", "suffix").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= PAGES)
 
 
 def _uncovered(batches):
-    """Remove the blocks outside an article that repeated runs cover whole."""
+    """The article and the open blocks that repeated runs do not cover whole."""
     for batch in batches:
-        out = []
-        for texts, inside, places in zip(*(batch.column(c).to_pylist() for c in ("blocks", "inside", "places")), strict=True):
-            size = [0 if own else len(t.split()) for t, own in zip(texts, inside, strict=True)]
+        out, count = [], []
+        for texts, kinds, places in zip(*(batch.column(c).to_pylist() for c in ("blocks", "kinds", "places")), strict=True):
+            size = [0 if k == ARTICLE else len(t.split()) for t, k in zip(texts, kinds, strict=True)]
             covered = np.zeros(sum(size) + RUN, bool)
             for p in places or []:
                 covered[p : p + RUN] = True
             at, left = 0, []
-            for n, own, t in zip(size, inside, texts, strict=True):
-                if own or not covered[at : at + n].all():
+            for n, kind, t in zip(size, kinds, texts, strict=True):
+                if kind == ARTICLE or (kind == OPEN and not covered[at : at + n].all()):
                     left.append(t)
                 at += n
             out.append("\n".join(left))
-        yield pa.record_batch({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(out, pa.string())})
+            count.append(int(covered.sum()))
+        yield pa.record_batch({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(out, pa.string()), "n_repeated": pa.array(count, pa.int64())})
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars`` of every row of ``pages(page_id, url, html, ...)``.
+    """``page_id, url, text, n_chars, n_repeated`` of every row of ``pages(page_id, url, html, ...)``.
 
     A null or empty html gives an empty text. Nothing is known of the pages beside a page without
-    a host: all its text stays. Repeated rows each get a row, and count as one page. Other columns
-    are ignored.
+    a host: all its open blocks stay. Repeated rows each get a row, and count as one page. Other
+    columns are ignored.
     """
     table = parsed(pages)
     id_type = table.schema["page_id"].dataType.simpleString()
-    shape = f"page_id {id_type}, url string, text string"
-    outside = F.filter(F.arrays_zip("blocks", "inside"), lambda x: ~x["inside"])
-    table = table.withColumn("stream", F.array_join(F.transform(outside, lambda x: x["blocks"]), "\n"))
-    plain = table.where("stream = ''").select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
-    open_ = table.where("stream <> ''")
-    hosted = kept(open_.where("host <> ''").select("row", "host", "stream", F.array_join("blocks", "\n").alias("text")), "streams")
-    if hosted.isEmpty():  # no page has text outside an article that its host could judge
-        return plain.unionByName(open_.select("page_id", "url", F.array_join("blocks", "\n").alias("text"))).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
-    alike = linked(hosted.select(F.col("row").alias("doc_id"), "text"), RUN, ALIKE).select(F.col("doc_id").alias("row"), F.col("component_id").alias("page"))
-    suffix = hosted.select("row", "host", "stream").mapInArrow(_suffixes, "host string, suffix long, row long, place int")
-    own = suffix.join(alike, "row")
-    pages_ = own.select("host", "page").distinct().groupBy("host").agg(F.greatest(F.ceil(F.count(F.lit(1)) * SHARE), F.lit(PAGES)).alias("_least"))
-    shared = own.select("host", "suffix", "page").distinct().groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("_pages")).where(f"_pages >= {PAGES}")
-    repeated = shared.join(pages_, "host").where("_pages >= _least").select("host", "suffix")
-    places = suffix.join(repeated, ["host", "suffix"]).groupBy("row").agg(F.collect_list("place").alias("places"))
-    rest = open_.join(places, "row", "left").select("page_id", "url", "blocks", "inside", "places").mapInArrow(_uncovered, shape)
-    return plain.unionByName(rest).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    host = F.xxhash64("host").alias("host")
+    hosted = table.where("host <> ''").select("row", host, "open", _of(OPEN, MARKED).alias("stream"), F.xxhash64(_of(OPEN, ARTICLE)).alias("page"))
+    open_ = table.where("open and host <> ''")
+    if not open_.isEmpty():
+        alike = linked(open_.select(F.col("row").alias("doc_id"), _of(OPEN, ARTICLE).alias("text")), RUN, ALIKE).select(F.col("doc_id").alias("row"), F.col("component_id").alias("_first"))
+        hosted = hosted.join(alike, "row", "left").withColumn("page", F.coalesce("_first", "page"))
+    streams = hosted.where("stream <> ''")
+    # a host that has no open blocks needs PAGES alone
+    least = hosted.where("open").groupBy("host").agg(F.ceil(F.countDistinct("page") * SHARE).alias("_least"))
+    found = repeated(streams).join(least, "host", "left").where(f"pages >= coalesce(_least, {PAGES})")
+    parts = found.select("host", "suffix", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    suffix = streams.select("host", "row", "stream").mapInArrow(_places, "host long, suffix long, row long, place int")
+    places = suffix.withColumn("part", F.pmod("row", F.lit(PARTS)).cast("int")).join(parts, ["host", "suffix", "part"]).groupBy("row").agg(F.collect_list("place").alias("places"))
+    rest = table.join(places, "row", "left").select("page_id", "url", "blocks", "kinds", "places").mapInArrow(_uncovered, f"page_id {id_type}, url string, text string, n_repeated long")
+    return rest.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:
