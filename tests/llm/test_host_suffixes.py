@@ -2,7 +2,6 @@
 
 import random
 
-import numpy as np
 import pyarrow as pa
 
 from tracewright.llm import html_extraction as H
@@ -64,7 +63,7 @@ def test_ranges_of_sorted_suffixes_count_each_page_once():
         for batch in H._neighbours(table.combine_chunks().to_batches(max_chunksize=size)):
             for r in batch.to_pylist():
                 total[r["host"], r["suffix"]] = total.get((r["host"], r["suffix"]), 0) + r["pages"]
-        names = {(r["host"], r["suffix"]) for b in H._places([streams.append_column("row", pa.array(np.arange(4)))]) for r in b.to_pylist()}
+        names = {(r["host"], r["suffix"]) for b in H._places([streams.append_column("key", pa.array([bytes([i]) for i in range(4)]))]) for r in b.to_pylist()}
         assert set(total) == names and max(total.values()) == 2 and sum(n == 2 for n in total.values()) == 5
 
 

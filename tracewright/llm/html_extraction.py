@@ -22,12 +22,13 @@ hold blocks inside an article.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,26 +195,39 @@ def _host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """row, page_id, url, host, blocks and their kinds, and whether any is open, kept as a table."""
-    id_type = pages.schema["page_id"].dataType.simpleString()
+def _sources(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, host and ``key``: rows of one key have the same host and html."""
+    host = _host(F.col("url"))
+    return pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"), host.alias("host")).withColumn("key", F.unhex(F.md5(F.concat("host", F.lit("\n"), "html"))))
 
-    def run(batches):
-        row = TaskContext.get().partitionId() << 33
-        for piece in _text.slices(batches, "html"):
-            found = [regions(h) for h in piece.column("html").to_pylist()]
-            texts, kinds = [[t for t, _ in f] for f in found], [[k for _, k in f] for f in found]
-            yield pa.record_batch({"row": pa.array(row + np.arange(piece.num_rows)), "page_id": piece.column("page_id"), "url": piece.column("url"), "host": piece.column("host"), "blocks": pa.array(texts, pa.list_(pa.string())), "kinds": pa.array(kinds, pa.list_(pa.int8())), "open": pa.array([OPEN in k for k in kinds])})
-            row += piece.num_rows
 
-    source = pages.select("page_id", F.col("url").cast("string").alias("url"), _host(F.col("url")).alias("host"), "html")
-    return kept(source.mapInArrow(run, f"row long, page_id {id_type}, url string, host string, blocks array<string>, kinds array<tinyint>, open boolean"), "blocks")
+def _streams(batches):
+    """What is outside the articles, of pages that have any; with open blocks, also all text."""
+    for piece in _text.slices(batches, "html"):
+        rows = []
+        for key, host, html in zip(*(piece.column(c).to_pylist() for c in ("key", "host", "html")), strict=True):
+            found = regions(html)
+            stream = "\n".join(t for t, k in found if k != ARTICLE)
+            if stream:
+                text = "\n".join(t for t, k in found if k != MARKED)
+                page = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
+                is_open = any(k == OPEN for _, k in found)
+                rows.append((key, host, page, is_open, text if is_open else None, stream))
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _STREAM.values())] if rows else [pa.array([], t) for t in _STREAM.values()], list(_STREAM))
 
 
-def _of(*kinds: int):
-    """The text of a page's blocks of these kinds."""
-    pairs = F.filter(F.arrays_zip("blocks", "kinds"), lambda x: x["kinds"].isin(*kinds))
-    return F.array_join(F.transform(pairs, lambda x: x["blocks"]), "\n")
+_STREAM = {"key": pa.binary(), "host": pa.int64(), "page": pa.int64(), "open": pa.bool_(), "text": pa.string(), "stream": pa.string()}
+
+
+def _packed(batches):
+    """The blocks of each page, compressed for the shuffle: their kinds, then a line for each; of marked blocks the number of words."""
+    for piece in _text.slices(batches, "html"):
+        out = []
+        for html in piece.column("html").to_pylist():
+            found = regions(html)
+            lines = ["".join(str(k) for _, k in found), *(str(len(t.split())) if k == MARKED else t for t, k in found)]
+            out.append(zlib.compress("\n".join(lines).encode(), 1))
+        yield pa.record_batch({"page_id": piece.column("page_id"), "url": piece.column("url"), "key": piece.column("key"), "packed": pa.array(out, pa.binary())})
 
 
 def _keys(piece):
@@ -248,11 +262,11 @@ def _suffixes(batches):
 
 
 def _places(batches):
-    """Rows to look up: host, suffix name, row, place."""
+    """Rows to look up: host, suffix name, key, place."""
     for piece in _text.slices(batches, "stream"):
         keys, owner, place = _keys(piece)
         take = pa.array(owner)
-        yield pa.record_batch({"host": piece.column("host").take(take), "suffix": pa.array(_names(keys)), "row": piece.column("row").take(take), "place": pa.array(place, pa.int32())})
+        yield pa.record_batch({"host": piece.column("host").take(take), "suffix": pa.array(_names(keys)), "key": piece.column("key").take(take), "place": pa.array(place, pa.int32())})
 
 
 def _neighbours(batches):
@@ -276,7 +290,7 @@ def _neighbours(batches):
 
 
 def repeated(streams: DataFrame) -> DataFrame:
-    """``host, suffix, pages`` of suffixes on ``PAGES`` pages at least, of ``streams(host, page, row, stream)``.
+    """``host, suffix, pages`` of suffixes on ``PAGES`` pages at least, of ``streams(host, page, stream)``.
 
     Suffixes are sorted over ranges by host, key and page, so one that is on very many pages is
     dealt over several ranges, whose counts are added.
@@ -291,8 +305,10 @@ def _uncovered(batches):
     """The article and the open blocks that repeated runs do not cover whole."""
     for batch in batches:
         out, count = [], []
-        for texts, kinds, places in zip(*(batch.column(c).to_pylist() for c in ("blocks", "kinds", "places")), strict=True):
-            size = [0 if k == ARTICLE else len(t.split()) for t, k in zip(texts, kinds, strict=True)]
+        for packed, places in zip(batch.column("packed").to_pylist(), batch.column("places").to_pylist(), strict=True):
+            kinds, *texts = zlib.decompress(packed).decode().split("\n")
+            kinds = [int(k) for k in kinds]
+            size = [0 if k == ARTICLE else int(t) if k == MARKED else len(t.split()) for t, k in zip(texts, kinds, strict=True)]
             covered = np.zeros(sum(size) + RUN, bool)
             for p in places or []:
                 covered[p : p + RUN] = True
@@ -313,22 +329,24 @@ def extracted(pages: DataFrame) -> DataFrame:
     a host: all its open blocks stay. Repeated rows each get a row, and count as one page. Other
     columns are ignored.
     """
-    table = parsed(pages)
-    id_type = table.schema["page_id"].dataType.simpleString()
-    host = F.xxhash64("host").alias("host")
-    hosted = table.where("host <> ''").select("row", host, "open", _of(OPEN, MARKED).alias("stream"), F.xxhash64(_of(OPEN, ARTICLE)).alias("page"))
-    open_ = table.where("open and host <> ''")
+    source = _sources(pages)
+    id_type = source.schema["page_id"].dataType.simpleString()
+    hosted = source.where("host <> ''").select("key", F.xxhash64("host").alias("host"), "html")
+    streams = kept(hosted.mapInArrow(_streams, "key binary, host long, page long, open boolean, text string, stream string"), "streams")
+    open_ = streams.where("open")
     if not open_.isEmpty():
-        alike = linked(open_.select(F.col("row").alias("doc_id"), _of(OPEN, ARTICLE).alias("text")), RUN, ALIKE).select(F.col("doc_id").alias("row"), F.col("component_id").alias("_first"))
-        hosted = hosted.join(alike, "row", "left").withColumn("page", F.coalesce("_first", "page"))
-    streams = hosted.where("stream <> ''")
+        alike = linked(open_.select(F.col("page").alias("doc_id"), "text"), RUN, ALIKE).select(F.col("doc_id").alias("page"), F.col("component_id").alias("_first")).distinct()
+        streams = streams.join(alike, "page", "left").withColumn("page", F.when(F.col("open"), F.coalesce("_first", "page")).otherwise(F.col("page")))
     # a host that has no open blocks needs PAGES alone
-    least = hosted.where("open").groupBy("host").agg(F.ceil(F.countDistinct("page") * SHARE).alias("_least"))
+    least = streams.where("open").groupBy("host").agg(F.ceil(F.countDistinct("page") * SHARE).alias("_least"))
     found = repeated(streams).join(least, "host", "left").where(f"pages >= coalesce(_least, {PAGES})")
     parts = found.select("host", "suffix", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    suffix = streams.select("host", "row", "stream").mapInArrow(_places, "host long, suffix long, row long, place int")
-    places = suffix.withColumn("part", F.pmod("row", F.lit(PARTS)).cast("int")).join(parts, ["host", "suffix", "part"]).groupBy("row").agg(F.collect_list("place").alias("places"))
-    rest = table.join(places, "row", "left").select("page_id", "url", "blocks", "kinds", "places").mapInArrow(_uncovered, f"page_id {id_type}, url string, text string, n_repeated long")
+    suffix = streams.select("host", "key", "stream").mapInArrow(_places, "host long, suffix long, key binary, place int")
+    part = F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")
+    # a set: copies of a page have the same places, and so many copies need no more room than one
+    places = suffix.withColumn("part", part).join(parts, ["host", "suffix", "part"]).groupBy("key").agg(F.collect_set("place").alias("places"))
+    packed = source.select("page_id", "url", "key", "html").mapInArrow(_packed, f"page_id {id_type}, url string, key binary, packed binary")
+    rest = packed.join(places, "key", "left").select("page_id", "url", "packed", "places").mapInArrow(_uncovered, f"page_id {id_type}, url string, text string, n_repeated long")
     return rest.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
 
 
