@@ -85,12 +85,13 @@ def _chosen(feature: np.ndarray, ill: np.ndarray, well: np.ndarray, heavy: float
 def train(row: np.ndarray, col: np.ndarray, value: np.ndarray, bad: np.ndarray, weight: np.ndarray, chosen: np.ndarray, steps: int = 500, rate: float = 0.5, ridge: float = RIDGE) -> Model:
     """Fit on sparse features (text, place in ``chosen``, value) of texts that are toxic or not; deterministic."""
     n = len(bad)
+    if not bad.any():  # nothing is known of toxic texts: no text is one
+        return Model(chosen[:0], np.zeros(0), np.full(GRADES - 1, np.inf))
     # grades from labels: 0, or 1..3 by the amount of evidence among the toxic ones
     evidence = np.bincount(row, weights=value, minlength=n)
     grade = np.zeros(n, np.int64)
-    if bad.any():
-        cuts = np.quantile(evidence[bad], [1 / 3, 2 / 3])
-        grade[bad] = 1 + np.searchsorted(cuts, evidence[bad], side="right")
+    cuts = np.quantile(evidence[bad], [1 / 3, 2 / 3])
+    grade[bad] = 1 + np.searchsorted(cuts, evidence[bad], side="right")
     w = np.zeros(len(chosen))
     theta = np.log(np.array([3.0 ** (k + 1) for k in range(GRADES - 1)]))  # ascending, kept so by steps below
     above = (grade[:, None] > np.arange(GRADES - 1)).astype(float)
@@ -99,8 +100,8 @@ def train(row: np.ndarray, col: np.ndarray, value: np.ndarray, bad: np.ndarray,
     for step in range(1, steps + 1):
         eta = np.bincount(row, weights=value * w[col], minlength=n)
         residual = weight[:, None] * (above - 1 / (1 + np.exp(-np.clip(eta[:, None] - theta, -30, 30))))
-        g_w = np.bincount(col, weights=value * residual.sum(1)[row], minlength=len(chosen)) / max(n, 1) - ridge * w
-        g = np.concatenate([g_w, -residual.mean(0)]) if n else np.zeros(len(m))
+        g_w = np.bincount(col, weights=value * residual.sum(1)[row], minlength=len(chosen)) / n - ridge * w
+        g = np.concatenate([g_w, -residual.mean(0)])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = rate / (1 + step / 50) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) * 0.2
         w = np.maximum(w + move[: len(chosen)], 0)  # evidence only speaks for severity
@@ -112,6 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     """Fit on at most ``most`` distinct labelled texts, chosen by their hash: copies under other ids change nothing.
 
     Null and empty texts and null labels or ids teach nothing; a text with both labels is toxic.
+    Without a toxic text the model rejects none.
     Features are counted in the executors; the driver gets the counts of those that some toxic
     texts hold and, of each sampled text, its chosen features.
     """
