@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.operators import profile as P
 from tracewright.operators.ordered import cumulative
@@ -115,10 +116,43 @@ def order_changed(a: DataFrame, b: DataFrame, key: str, place: str) -> DataFrame
     return inside.crossJoin(across).select((F.col("_x") | F.col("_y")).alias("order_changed"))
 
 
+def entries(value: Column, kind: T.DataType, path: Column) -> Column:
+    """The leaves of a value as an array of (path, value): fields by name, array elements by place, map values by key.
+
+    An empty array or map and a null are leaves themselves.
+    """
+    leaf = lambda v: F.array(F.struct(path.alias("path"), v.cast("string").alias("value")))
+    if isinstance(kind, T.StructType) and len(kind.fields):
+        inside = F.concat(*[entries(value.getField(f.name), f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields])
+    elif isinstance(kind, T.ArrayType):
+        inside = F.flatten(F.transform(value, lambda x, i: entries(x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+        inside = F.when(F.size(value) > 0, inside).otherwise(leaf(F.lit("[]")))
+    elif isinstance(kind, T.MapType):
+        inside = F.flatten(F.transform(F.map_entries(value), lambda e: entries(e["value"], kind.valueType, F.concat(path, F.lit("."), e["key"].cast("string")))))
+        inside = F.when(F.size(value) > 0, inside).otherwise(leaf(F.lit("{}")))
+    else:
+        return leaf(value)
+    return F.when(value.isNull(), leaf(F.lit(None))).otherwise(inside)
+
+
 def leaves(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """key, path, value of every leaf of the JSON-like fields."""
-    wide = df.select(F.col(key), *[F.to_json(F.struct(F.col(c).alias("v"))).alias(c) for c in fields])
-    return wide.unpivot([key], fields, "path", "_json").select(key, "path", F.get_json_object("_json", "$.v").alias("value"))
+    """key, path, value of every leaf of the fields, nested ones included."""
+    every = F.concat(*[entries(F.col(f"`{c}`"), df.schema[c].dataType, F.lit(c)) for c in fields])
+    return df.select(key, F.explode(every).alias("_leaf")).select(key, "_leaf.path", "_leaf.value")
+
+
+def nested_changes(a: DataFrame, b: DataFrame, key: str, ignore: tuple = ()) -> DataFrame:
+    """key, path, before, after of every leaf that differs between rows of one key; ``ignore`` holds paths whose leaves, at any depth, do not count."""
+    old, new = (d.select(key, F.struct(*[c for c in d.columns if c != key]).alias(side)) for d, side in ((a, "_a"), (b, "_b")))
+    both = old.join(new, key).where(~F.to_json("_a").eqNullSafe(F.to_json("_b")))
+    sides = [F.map_from_entries(F.concat(*[entries(F.col(s)[f.name], f.dataType, F.lit(f.name)) for f in both.schema[s].dataType.fields])).alias(s) for s in ("_a", "_b")]
+    maps = both.select(key, *sides)
+    paths = maps.select(key, "_a", "_b", F.explode(F.array_union(F.map_keys("_a"), F.map_keys("_b"))).alias("path"))
+    out = paths.select(key, "path", F.try_element_at("_a", F.col("path")).alias("before"), F.try_element_at("_b", F.col("path")).alias("after"))
+    for gone in ignore:
+        inside = (F.col("path") == gone) | F.col("path").startswith(f"{gone}.") | F.col("path").startswith(f"{gone}[")
+        out = out.where(~inside)
+    return out.where(~F.col("before").eqNullSafe(F.col("after")))
 
 
 def structural_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

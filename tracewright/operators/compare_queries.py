@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.operators import compare as C
+from tracewright.operators import profile as P
 from tracewright.queries import query, table
 
 
@@ -88,3 +89,30 @@ SELECT coalesce(x.o_orderkey, y.o_orderkey) AS o_orderkey, coalesce(x.path, y.pa
 def _structural(spark, sf_dir):
     a, b = (d.select("o_orderkey", "o_orderstatus", "o_orderpriority") for d in versions(spark, sf_dir))
     return C.structural_diff(a, b, "o_orderkey")
+
+
+def nested(spark, sf_dir):
+    """Both versions with a record and a list in place of flat fields."""
+    head = F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_custkey").alias("id")).alias("cust")).alias("head")
+    return (d.select("o_orderkey", head, F.array("o_orderpriority", "o_orderstatus").alias("tags")) for d in versions(spark, sf_dir))
+
+
+_LEAVES = """SELECT o_orderkey, unnest(['head.status', 'head.cust.id', 'tags[0]', 'tags[1]']) AS path, unnest([o_orderstatus, o_custkey::VARCHAR, o_orderpriority, o_orderstatus]) AS v FROM"""
+
+
+@query("structural_diff_nested", f"""WITH {_B}, x AS ({_LEAVES} orders), y AS ({_LEAVES} b)
+SELECT coalesce(x.o_orderkey, y.o_orderkey) AS o_orderkey, coalesce(x.path, y.path) AS path, CASE WHEN x.v IS NULL THEN 'add' WHEN y.v IS NULL THEN 'remove' WHEN x.v <> y.v THEN 'change' ELSE 'same' END AS status FROM x FULL JOIN y ON x.o_orderkey = y.o_orderkey AND x.path = y.path""")
+def _structural_nested(spark, sf_dir):
+    return C.structural_diff(*nested(spark, sf_dir), "o_orderkey")
+
+
+@query("compare_nested_changes", f"""WITH {_B}, x AS ({_LEAVES} orders), y AS ({_LEAVES} b)
+SELECT x.o_orderkey, x.path, x.v AS before, y.v AS after FROM x JOIN y ON x.o_orderkey = y.o_orderkey AND x.path = y.path WHERE x.v <> y.v AND x.path NOT LIKE 'tags[%'""")
+def _nested_changes(spark, sf_dir):
+    return C.nested_changes(*nested(spark, sf_dir), "o_orderkey", ignore=("tags",))
+
+
+@query("profile_structure", """SELECT * FROM (SELECT 'object' AS kind, 2 * count(*) AS n, 2 AS deepest, NULL::INT AS longest, 0::BIGINT AS record_arrays FROM orders UNION ALL SELECT 'array', count(*), 1, 2, 0 FROM orders
+UNION ALL SELECT 'string', 3 * count(*), 2, NULL, 0 FROM orders UNION ALL SELECT 'number', 2 * count(*), 3, NULL, 0 FROM orders)""")
+def _structure(spark, sf_dir):
+    return P.structure(next(nested(spark, sf_dir)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.functions import values as V
 from tracewright.operators.ordered import quantiles
@@ -21,6 +22,8 @@ TEXT_ROLES = {
 PATTERN_SHARE = 0.9
 LEAST = 8
 TOP = 8
+#: Share of one value beyond which, without spread, all others are rare.
+DOMINANT = 0.75
 
 
 def r4(c: Column) -> Column:
@@ -59,13 +62,17 @@ def numeric(df: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def mad_outliers(df: DataFrame, key: list[str], field: str, limit: float = 3.5) -> DataFrame:
-    """Rows whose modified z-score 0.6745 (x - median) / MAD is beyond the limit; none under 8 values or at MAD 0."""
+    """Rows whose modified z-score 0.6745 (x - median) / MAD is beyond the limit; none under 8 values.
+
+    At MAD 0, when at least 75 % of the values are the median, all others are rare deviations, with a null ``z``.
+    """
     x = df.select(*key, F.col(field).cast("double").alias("value")).where("value is not null")
     centre = quantiles(x, [], "value", {"median": 0.5})
     away = x.crossJoin(F.broadcast(centre)).withColumn("_d", F.abs(F.col("value") - F.col("median")))
-    spread = quantiles(away.select(F.col("_d").alias("value")), [], "value", {"mad": 0.5}).crossJoin(x.agg(F.count(F.lit(1)).alias("_n")))
-    z = F.lit(0.6745) * (F.col("value") - F.col("median")) / F.col("mad")
-    return away.crossJoin(F.broadcast(spread)).where((F.col("_n") >= LEAST) & (F.col("mad") > 0)).withColumn("z", z).where(F.abs("z") > limit).select(*key, "value", r4(F.col("z")).alias("z"))
+    spread = quantiles(away.select(F.col("_d").alias("value")), [], "value", {"mad": 0.5}).crossJoin(away.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.when(F.col("_d") == 0, 1.0).otherwise(0.0)).alias("_same")))
+    z = F.when(F.col("mad") > 0, F.lit(0.6745) * (F.col("value") - F.col("median")) / F.col("mad"))
+    rare = (F.col("mad") == 0) & (F.col("_same") >= DOMINANT) & (F.col("_d") > 0)
+    return away.crossJoin(F.broadcast(spread)).where(F.col("_n") >= LEAST).withColumn("z", z).where((F.abs("z") > limit) | rare).select(*key, "value", r4(F.col("z")).alias("z"))
 
 
 def zscore_outliers(df: DataFrame, key: list[str], field: str, limit: float = 2.5, by: list[str] | None = None) -> DataFrame:
@@ -223,3 +230,23 @@ def dataset_digest(df: DataFrame) -> DataFrame:
     """An order-free digest of all rows: count and xor and sum of row hashes, one partial aggregate."""
     h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("xor"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).alias("sum"))
+
+
+def _nodes(value, kind: T.DataType, depth: int):
+    """(kind, depth, length, of records) of a value and of all inside it."""
+    row = lambda name, length=None, records=False: F.array(F.struct(F.lit(name).alias("kind"), F.lit(depth).alias("depth"), (F.lit(None) if length is None else length).cast("int").alias("length"), F.lit(records).alias("records")))
+    if isinstance(kind, T.StructType):
+        out = F.concat(row("object"), *[_nodes(value.getField(f.name), f.dataType, depth + 1) for f in kind.fields])
+    elif isinstance(kind, T.ArrayType):
+        out = F.concat(row("array", F.size(value), isinstance(kind.elementType, T.StructType)), F.flatten(F.transform(value, lambda x: _nodes(x, kind.elementType, depth + 1))))
+    elif isinstance(kind, T.MapType):
+        out = F.concat(row("object"), F.flatten(F.transform(F.map_values(value), lambda x: _nodes(x, kind.valueType, depth + 1))))
+    else:
+        out = row("number" if isinstance(kind, T.NumericType) else "boolean" if isinstance(kind, T.BooleanType) else "string")
+    return F.when(value.isNull(), row("null")).otherwise(out)
+
+
+def structure(df: DataFrame) -> DataFrame:
+    """kind, n, deepest, longest array, arrays of records: all values of all rows by type; fields are at depth 1."""
+    every = F.concat(*[_nodes(F.col(f"`{f.name}`"), f.dataType, 1) for f in df.schema.fields])
+    return df.select(F.explode(every).alias("x")).groupBy("x.kind").agg(F.count(F.lit(1)).alias("n"), F.max("x.depth").alias("deepest"), F.max("x.length").alias("longest"), F.sum(F.col("x.records").cast("int")).alias("record_arrays"))
