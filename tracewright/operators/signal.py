@@ -188,18 +188,18 @@ def restatements(x: DataFrame, key: str, least: float = 0.64, tokens: int = 4) -
     reach the similarity do.
     """
     t = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9_]{3,}"), F.lit(0)), lambda w: ~w.isin(*L.STOP_WORDS)))
-    y = x.where(~F.col("blank")).select(key, "line_no", F.array_sort(t).alias("t"), F.xxhash64(template(F.col("line"))).alias("tpl")).where(F.size("t") >= tokens)
-    sets = y.groupBy(key, "tpl", "t").agg(F.min("line_no").alias("first")).withColumn("id", F.struct("tpl", "first"))
-    in_order = F.transform(F.array_sort(F.transform("t", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda s: s["w"])
-    n = F.size("t")
+    y = x.where(~F.col("blank")).select(key, "line_no", F.array_sort(t).alias("_t"), F.xxhash64(template(F.col("line"))).alias("_tpl")).where(F.size("_t") >= tokens)
+    sets = y.groupBy(key, "_tpl", "_t").agg(F.min("line_no").alias("_first"))
+    in_order = F.transform(F.array_sort(F.transform("_t", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda s: s["w"])
+    n = F.size("_t")
     p = sets.withColumn("_w", F.explode(F.slice(in_order, F.lit(1), (n - F.ceil(n * least) + 1).cast("int"))))
     a, b = p.alias("a"), p.alias("b")
-    near = (F.least(F.size("a.t"), F.size("b.t")) >= least * F.greatest(F.size("a.t"), F.size("b.t"))) & (F.col("a.tpl") != F.col("b.tpl"))
-    common = F.size(F.array_intersect("a.t", "b.t"))
+    near = (F.least(F.size("a._t"), F.size("b._t")) >= least * F.greatest(F.size("a._t"), F.size("b._t"))) & (F.col("a._tpl") != F.col("b._tpl"))
+    common = F.size(F.array_intersect("a._t", "b._t"))
     pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._w") == F.col("b._w")) & near)
-    pairs = pairs.select(F.col(f"a.{key}").alias(key), F.col("a.first").alias("earlier"), F.col("b.tpl").alias("tpl"), F.col("b.t").alias("t"), (common / (F.size("a.t") + F.size("b.t") - common)).alias("similarity"))
+    pairs = pairs.select(F.col(f"a.{key}").alias(key), F.col("a._first").alias("earlier"), F.col("b._tpl").alias("_tpl"), F.col("b._t").alias("_t"), (common / (F.size("a._t") + F.size("b._t") - common)).alias("similarity"))
     pairs = pairs.where(F.col("similarity") >= least).distinct()
-    every = y.join(pairs, [key, "tpl", "t"]).where(F.col("earlier") < F.col("line_no"))
+    every = y.join(pairs, [key, "_tpl", "_t"]).where(F.col("earlier") < F.col("line_no"))
     best = F.max(F.struct("similarity", (-F.col("earlier")).alias("e")))
     return every.groupBy(key, "line_no").agg(best.alias("_b")).select(key, "line_no", (-F.col("_b.e")).alias("earlier"), F.round("_b.similarity", 3).alias("similarity"))
 
@@ -274,16 +274,14 @@ def modes(x: DataFrame, key: str) -> DataFrame:
     """key, mode (stream, document, uncertain), stream, document (scores), confidence of each text."""
     s, d = _looks(F.col("line"))
     seen = ~F.col("blank")
-    y = x.select(key, "blank", F.when(seen, F.xxhash64(template(F.col("line")))).alias("tpl"), s.alias("s"), d.alias("d"))
-    y = y.groupBy(key, "tpl", "blank").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"), F.sum("d").alias("d"))
-    y = y.groupBy(key).agg(
-        F.sum(F.when(seen & (F.col("n") > 1), F.col("n")).otherwise(0)).alias("repeated"), F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("lines"), F.sum(F.when(seen, F.col("s")).otherwise(0)).alias("s"),
-        F.sum(F.when(seen, F.col("d")).otherwise(0)).alias("d"), F.sum(F.when(~seen, F.col("n")).otherwise(0)).alias("blank"), F.sum("n").alias("every"),
-    )
-    st, do = _mode_scores(*[F.col(c) for c in ("repeated", "lines", "s", "d", "blank", "every")])
+    y = x.select(F.col(key).alias("_k"), "blank", F.when(seen, F.xxhash64(template(F.col("line")))).alias("_tpl"), s.alias("_st"), d.alias("_do"))
+    y = y.groupBy("_k", "_tpl", "blank").agg(F.count(F.lit(1)).alias("_n"), F.sum("_st").alias("_st"), F.sum("_do").alias("_do"))
+    counts = {"_repeated": F.when(seen & (F.col("_n") > 1), F.col("_n")), "_lines": F.when(seen, F.col("_n")), "_st": F.when(seen, F.col("_st")), "_do": F.when(seen, F.col("_do")), "_blank": F.when(~seen, F.col("_n")), "_every": F.col("_n")}
+    y = y.groupBy("_k").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in counts.items()])
+    st, do = _mode_scores(*[F.col(c) for c in counts])
     apart, mode = F.abs(st - do), _mode(st, do)
     sure = F.when(mode == "uncertain", F.greatest(F.lit(0.35), 0.55 - apart)).otherwise(F.least(F.lit(0.98), 0.58 + apart * 0.65))
-    return y.select(key, mode.alias("mode"), F.round(st, 3).alias("stream"), F.round(do, 3).alias("document"), F.round(sure, 3).alias("confidence"))
+    return y.select(F.col("_k").alias(key), mode.alias("mode"), F.round(st, 3).alias("stream"), F.round(do, 3).alias("document"), F.round(sure, 3).alias("confidence"))
 
 
 def _observed(x: DataFrame, key: str, width: int) -> DataFrame:
@@ -384,7 +382,8 @@ def evidence_pack(x: DataFrame, key: str, levels: tuple[str, ...] = ("attention"
     y = scored(x, key).select(key, "line_no", "line", "level", "roles")
     chosen = y.where(F.col("level").isin(*levels)).select(key, "line_no", F.col("level").alias("reason"))
     if pinned is not None:
-        chosen = chosen.unionByName(pinned.select(key, "line_no", F.lit("pinned").alias("reason")))
+        own = pinned.select(key, "line_no").join(x.where(~F.col("blank")).select(key, "line_no"), [key, "line_no"], "left_semi")
+        chosen = chosen.unionByName(own.withColumn("reason", F.lit("pinned")))
     if representatives:
         chosen = chosen.unionByName(templates(x, key).select(key, F.col("first_line").alias("line_no"), F.lit("representative").alias("reason")))
     reach = max(0, min(5, context))

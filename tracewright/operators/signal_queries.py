@@ -100,7 +100,7 @@ _CHAIN = (
     (r"\b[A-Za-z]:\\([^\\\s:*?\"<>|]+\\)*[^\\\s:*?\"<>|]*", "<windows-path>"),
     (r"^/([\w.@+-]+/)*[\w.@+-]+", "<unix-path>"),
     (r"([\s=(])/([\w.@+-]+/)*[\w.@+-]+", r"\1<path>"),
-    (r"(\B-)?\b\d+\.\d+\b", "<decimal>"),
+    *[(r"(^|[^\w.])-?\d+\.\d+($|[^\w.])", r"\1<decimal>\2")] * 2,  # twice: neighbours share what is between them
     (r"(\B-)?\b\d{2,}\b", "<integer>"),
     (r"[ \t]+", " "),
 )
@@ -151,13 +151,17 @@ def _breaks(spark, sf_dir):
     return S.breaks(_log(spark, sf_dir), "user_id")
 
 
-@query("signal_restatements", """WITH c AS (SELECT conv_id, turn AS line_no, lower(text) AS line FROM conversations WHERE trim(text) <> ''),
-t AS (SELECT conv_id, line_no, list_sort(list_distinct(list_filter(regexp_extract_all(line, '[a-z0-9_]{3,}'), lambda w: w NOT IN ('and', 'are', 'for', 'from', 'that', 'the', 'this', 'with')))) AS t, line FROM c),
-p AS (SELECT b.conv_id, b.line_no, a.line_no AS earlier, len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS similarity FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.line_no < b.line_no AND a.line <> b.line WHERE len(a.t) >= 4 AND len(b.t) >= 4)
-SELECT conv_id, line_no, earlier, round(similarity, 3) AS similarity FROM p WHERE similarity >= 0.64 QUALIFY row_number() OVER (PARTITION BY conv_id, line_no ORDER BY similarity DESC, earlier) = 1""")
+#: Lines of a user that say nearly the same in other words.
+_SAID = "CASE event_id % 5 WHEN 0 THEN 'Every service rotates its ' WHEN 1 THEN 'Note that every service rotates its ' WHEN 2 THEN 'every second service sometimes forgets ' WHEN 3 THEN 'Once more, every service rotates its ' ELSE 'nothing ' END || event_type || ' keys within days'"
+
+
+@query("signal_restatements", f"""WITH c AS (SELECT user_id, event_id AS line_no, {_SAID} AS line FROM events),
+t AS (SELECT user_id, line_no, list_distinct(list_filter(regexp_extract_all(lower(line), '[a-z0-9_]{{3,}}'), lambda w: w NOT IN ('and', 'are', 'for', 'from', 'that', 'the', 'this', 'with'))) AS t, line FROM c),
+p AS (SELECT b.user_id, b.line_no, a.line_no AS earlier, len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS similarity FROM t a JOIN t b ON a.user_id = b.user_id AND a.line_no < b.line_no AND a.line <> b.line WHERE len(a.t) >= 4 AND len(b.t) >= 4)
+SELECT user_id, line_no, earlier, round(similarity, 3) AS similarity FROM p WHERE similarity >= 0.64 QUALIFY row_number() OVER (PARTITION BY user_id, line_no ORDER BY similarity DESC, earlier) = 1""")
 def _restatements(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return S.restatements(S.marked(c.select("conv_id", F.col("turn").alias("line_no"), F.lower("text").alias("line")), "conv_id"), "conv_id")
+    said = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("line_no"), F.expr(_SAID).alias("line"))
+    return S.restatements(S.marked(said, "user_id"), "user_id")
 
 
 @query("signal_novelty", f"WITH {_KNOWN}, {_NOVEL} SELECT user_id, line_no, novelty / 10000 AS novelty FROM nov")
