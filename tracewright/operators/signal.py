@@ -206,8 +206,10 @@ def restatements(x: DataFrame, key: str, least: float = 0.64, tokens: int = 4) -
 
 def _grams(x: DataFrame, key: str) -> DataFrame:
     """key, line_no, bytes, grams: sampled four-byte sequences of a nonblank line; crc32 maps four bytes one to one."""
-    y = x.where(~F.col("blank")).select(key, "line_no", F.encode("line", "utf-8").alias("_b"), F.octet_length("line").alias("bytes"))
-    return y.withColumn("grams", F.expr("if(bytes < 4, cast(array() as array<bigint>), transform(sequence(1, bytes - 3, if(bytes > 48, 2, 1)), i -> crc32(substring(_b, i, 4))))")).drop("_b")
+    # the bytes are bound to a lambda's variable, so that a line is encoded once
+    sampled = "transform(array(encode(line, 'utf-8')), b -> transform(sequence(1, octet_length(line) - 3, if(octet_length(line) > 48, 2, 1)), i -> crc32(substring(b, i, 4))))[0]"
+    grams = F.expr(f"if(octet_length(line) < 4, cast(array() as array<bigint>), {sampled})")
+    return x.where(~F.col("blank")).select(key, "line_no", F.octet_length("line").alias("bytes"), grams.alias("grams"))
 
 
 def _novel(unseen: Column, sampled: Column, bytes_: Column) -> Column:
