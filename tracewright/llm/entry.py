@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import decontamination, divergence, html_extraction, jaccard_join, language_model, licenses, mixing, quality_classifier, quality_rules, tokens, toxicity
+from tracewright.llm import decontamination, divergence, exact_dedup, html_extraction, jaccard_join, language_model, licenses, mixing, prefix_trie, quality_classifier, quality_rules, tokens, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -15,11 +15,15 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLE_SQL = {
     "op1_jaccard_join": jaccard_join.OP1_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op11_exact_dedup": exact_dedup.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
     "op13_source_divergence": divergence.OP13_SQL,
 }
