@@ -91,13 +91,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = 0
     for piece in slices(batches, most=8 << 20):
         con.register("slice", pa.Table.from_batches([piece]))
-        held += con.execute(_TERMS, lower).fetchone()[0]
+        held += con.execute(_TERMS, lower).fetchall()[0][0]
         con.unregister("slice")
         if held > HELD:
             con.execute(f"CREATE TABLE merged AS {summed}")
             con.execute("DROP TABLE partial")
             con.execute("ALTER TABLE merged RENAME TO partial")
-            held = con.execute("SELECT count(*) FROM partial").fetchone()[0]
+            held = con.execute("SELECT count(*) FROM partial").fetchall()[0][0]
             if held > HELD // 2:
                 yield from con.sql("SELECT * FROM partial").to_arrow_table().to_batches(max_chunksize=50_000)
                 con.execute("DELETE FROM partial")
