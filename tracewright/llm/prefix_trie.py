@@ -57,7 +57,7 @@ def rebuilt(turns: DataFrame) -> DataFrame:
     one = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", turn_digest(F.col("role"), F.col("text")).alias("d"), word_count(F.col("text")).alias("w"))
     listed = one.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "d", "w"))).alias("own"))
     listed = listed.select("conv_id", F.transform("own", lambda t: F.struct(t["d"].alias("d"), t["w"].alias("w"))).alias("own"))
-    group = F.col("conv_id") - F.col("conv_id") % GROUP
+    group = F.col("conv_id") - F.col("conv_id") % GROUP  # of a negative id towards zero, as in SQL
     heads = listed.where(F.col("conv_id") % GROUP == 0).select(F.col("conv_id").alias("group"), F.slice("own", 1, HEADS - 1).alias("head"))
     both = listed.withColumn("group", group).join(heads, "group", "left")
     h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % HEADS).cast("int")
