@@ -2,12 +2,14 @@
 
 Proposals come from at most ``EVIDENCE`` rows on the driver and are first tried on these rows; whether
 one holds is decided by Spark over the whole batch, with the remaining candidates of all targets
-counted together. No operator is executed in Python, so a rule means the same when it is learned
-and when it runs.
+counted together, so a rule means the same when it is learned and when it runs. Lookups are learned
+from the whole batch, whatever their number of keys: a small one becomes a literal map, a larger one
+stays a table that is joined.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from datetime import date, datetime
 
@@ -15,7 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import values as V
-from tracewright.plans.program import Op, compiled
+from tracewright.operators import generators
+from tracewright.operators.matching import affinity
+from tracewright.plans.program import Op, at, compiled, lookup, parse_path
 
 #: Rows that proposals are read from, and of these the ones whose values suggest operators.
 EVIDENCE, SUGGEST = 200, 8
@@ -25,12 +29,20 @@ HOPE = 0.6
 SUPPORT, NEAR, LEAST = 0.95, 0.80, 8
 #: A lookup with an entry for every second row or more has only memorised.
 MEMORISED = 0.5
-MOST_KEYS = 500
+#: Entries up to which a lookup is written as a literal map into its rule; it means the same as a table.
+LITERAL = 500
+#: Rare outputs of a target, up to this share of the evidence, have a row of their own in it.
+RARE = 0.1
 #: What an operator costs; the cheapest that fits is chosen.
 COSTS = {
-    "set": 1.05, "stringNormalize": 1.16, "dateFormat": 1.22, "stringCase": 1.35, "booleanNot": 1.35, "numericCompare": 1.38, "stringSplit": 1.4, "stringReplace": 1.42, "extractBetween": 1.42,
-    "coerce": 1.45, "numericBinary": 1.45, "fallback": 1.52, "numericTransform": 1.55, "template": 1.58, "concat": 1.65, "numericFormula": 1.72, "regexExtract": 1.72, "constant": 1.9, "splitPart": 1.9, "conditional": 2.0, "valueMap": 2.25,
+    "set": 1.05, "stringNormalize": 1.16, "arrayStringTransform": 1.18, "dateFormat": 1.22, "quantityTransform": 1.32, "stringCase": 1.35, "booleanNot": 1.35, "numericCompare": 1.38, "stringSplit": 1.4, "stringReplace": 1.42, "extractBetween": 1.42,
+    "coerce": 1.45, "numericBinary": 1.45, "fallback": 1.52, "numericTransform": 1.55, "template": 1.58, "arrayIndex": 1.62, "arrayCount": 1.65, "concat": 1.65, "arraySum": 1.7, "numericFormula": 1.72, "regexExtract": 1.72, "arrayJoin": 1.82, "arrayMap": 1.85,
+    "constant": 1.9, "splitPart": 1.9, "conditional": 2.0, "arrayProject": 2.15, "arrayFind": 2.18, "valueMap": 2.25, "arrayGroupBy": 2.3,
 }
+#: How far what is known of an operator may move its cost, and what its length adds at most.
+MOST_SHIFT, MOST_LENGTH, LENGTH = 0.25, 0.04, 0.00025
+#: Rules of rounding.
+ROUNDINGS = ("half-up", "half-even", "floor", "ceil", "trunc", "half-away", "none")
 #: Separators that are tried.
 SEPARATORS = (" ", ",", "-", "_", "|", "/", ".")
 
@@ -44,6 +56,24 @@ class Rule:
     status: str  # exact, dominant, near, memorised, none
     matches: int = 0
     rows: int = 0
+    table: DataFrame | None = None  # of a lookup beyond LITERAL entries: source, output
+
+    @property
+    def cost(self) -> float:
+        return weight(self.op) if self.op else 9.0
+
+
+def weight(op: Op) -> float:
+    """The operator's cost, moved a little by its form: filters, several sources, steps and unlike names cost more."""
+    p, sources = op.params, op.sources()
+    shift = 0.18 * ("+" in str(p.get("mode", ""))) + 0.25 * bool(p.get("where")) + 0.12 * (op.kind == "arrayJoin" and "extract" in p)
+    shift += 0.2 * (op.kind == "numericTransform" and p.get("mode") in ("multiply", "divide")) + 0.04 * (p["index"] if op.kind == "splitPart" else 0)
+    if op.kind == "template":
+        shift += 0.06 * sum("source" in x for x in p["parts"]) + 0.02 * sum("literal" in x for x in p["parts"]) + 0.05 * sum("transform" in x for x in p["parts"])
+    if sources:
+        shift -= 0.2 * max(affinity(s, op.target) for s in sources)
+    length = len(json.dumps(op.to_dict(), sort_keys=True, default=str)) if op.kind != "valueMap" else 160
+    return COSTS.get(op.kind, 2.5) + max(-MOST_SHIFT, min(MOST_SHIFT, shift)) + min(MOST_LENGTH, LENGTH * length)
 
 
 def _like(a, b) -> bool:
@@ -118,41 +148,118 @@ def proposals(rows: list[dict], inputs: list[str], target: str) -> list[Op]:
                         add("numericBinary", left=a, right=b, mode=mode)
                     for divisor in (1, 100):
                         for direction in ("add", "subtract"):
-                            for rounding in ("half-up", "half-even", "floor"):
-                                add("numericFormula", base=a, rate=b, rateDivisor=divisor, direction=direction, rounding=rounding)
-    return [op for op in dict((repr(o), o) for o in out).values() if _plausible(op, rows)]
+                            add("numericFormula", base=a, rate=b, rateDivisor=divisor, direction=direction, rounding="half-up")
+    out = [op for op in dict((repr(o), o) for o in [*out, *generators.suggestions(rows, inputs, target)]).values() if _plausible(op, rows)]
+    return [v for op in out for v in (_variants(op) if op.kind == "numericFormula" else [op])]
+
+
+def _variants(op: Op) -> list[Op]:
+    """A formula that comes near, with each rule of rounding in either order; the whole batch decides."""
+    turns = [(r, o) for o in ("factor", "sum") for r in ROUNDINGS]
+    return [Op(op.kind, op.target, {**op.params, "rounding": r, **({"evaluationOrder": o} if o != "factor" else {})}) for r, o in turns]
 
 
 def _plausible(op: Op, rows: list[dict]) -> bool:
-    """Cheap look at the evidence: values of number operators must come near on most rows."""
+    """A cheap look at the evidence: whether the operator may bear out ``HOPE`` of the rows. It never refuses one that does."""
     p = op.params
-    if op.kind not in ("numericBinary", "numericFormula"):
-        return True
-    near = 0
-    for r in rows:
-        a, b = (r[p["left"]], r[p["right"]]) if op.kind == "numericBinary" else (r[p["base"]], r[p["rate"]])
-        if not (_like(a, b) and _like(r["_out"], 0)):
-            continue
-        a, b = float(a), float(b)
-        got = {"add": a + b, "subtract": a - b, "multiply": a * b}[p["mode"]] if op.kind == "numericBinary" else a * (1 + (1 if p["direction"] == "add" else -1) * b / p["rateDivisor"])
-        near += abs(got - float(r["_out"])) <= 0.011 + 1e-9 * abs(got)
-    return near >= NEAR * len(rows)
-
-
-def supports(pairs: DataFrame, tests: list[tuple[str, Op]]) -> list[tuple[int, int]]:
-    """Matches and rows of each (output column, operator), 24 in an aggregate, so that it still compiles."""
+    if op.kind in ("numericBinary", "numericFormula"):
+        near = 0
+        for r in rows:
+            a, b = (r[p["left"]], r[p["right"]]) if op.kind == "numericBinary" else (r[p["base"]], r[p["rate"]])
+            if not (_like(a, b) and _like(r["_out"], 0)):
+                continue
+            a, b = float(a), float(b)
+            got = {"add": a + b, "subtract": a - b, "multiply": a * b}[p["mode"]] if op.kind == "numericBinary" else a * (1 + (1 if p["direction"] == "add" else -1) * b / p["rateDivisor"])
+            near += abs(got - float(r["_out"])) <= 0.011 + 1e-9 * abs(got)
+        return near >= HOPE * len(rows)
+    may = _MAY.get(op.kind)
+    return not may or sum(may(p, r[p["source"]], r["_out"]) for r in rows) >= HOPE * len(rows)
+
+
+def _float(v) -> float | None:
+    try:
+        return float(v)
+    except (TypeError, ValueError):
+        return None
+
+
+def _alike(a, b) -> bool:
+    """Whether two values may be one: as texts without case and blanks, or as numbers; of other types, perhaps."""
+    if isinstance(a, str) and isinstance(b, str):
+        return "".join(a.split()).casefold() == "".join(b.split()).casefold()
+    if isinstance(a, (list, dict)) or isinstance(b, (list, dict)):
+        return type(a) is type(b)
+    x, y = _float(a), _float(b)
+    return abs(x - y) <= 1e-6 * max(1, abs(x)) if x is not None and y is not None else type(a) is not type(b) or a == b
+
+
+def _scaled(p: dict, x, y) -> bool:
+    x, y, v = _float(x), _float(y), p["value"]
+    if x is None or y is None:
+        return False
+    got = {"add": x + v, "multiply": x * v, "divide": x / v if v else None, "absolute": abs(x) / (v or 1)}[p["mode"]]
+    return got is not None and abs(got - y) <= 1e-6 * max(1, abs(got))
+
+
+_digits = lambda t: sorted(c for c in t if c.isdigit())
+_dated = lambda p, x, y: isinstance(x, str) and isinstance(y, str) and len(_digits(x)) >= 8 and not set(_digits(y)) - set(_digits(x)) and len(_digits(y)) in (4, 6, 8)
+_MAY = {
+    "set": lambda p, x, y: _alike(x, y),
+    "coerce": lambda p, x, y: _alike(x, y),
+    "stringCase": lambda p, x, y: _alike(x, y),
+    "stringNormalize": lambda p, x, y: _dated(p, x, y) or x == y if p["mode"] == "dateNormalize" else _alike(x, y) if p["mode"] == "collapseWhitespace" else True,
+    "dateFormat": _dated,
+    "stringReplace": lambda p, x, y: isinstance(x, str) and isinstance(y, str) and x.replace(p["search"], p["replacement"]) == y,
+    "extractBetween": lambda p, x, y: isinstance(x, str) and isinstance(y, str) and y in x,
+    "splitPart": lambda p, x, y: isinstance(x, str) and isinstance(y, str) and y in x,
+    "regexExtract": lambda p, x, y: isinstance(x, str) and isinstance(y, str) and y in x,
+    "numericTransform": _scaled,
+}
+
+
+def interpreted(df: DataFrame, rows: list[tuple]) -> DataFrame:
+    """A few rows of ``df``'s schema, in a session that interprets expressions: hundreds of rules are tried once, not compiled."""
+    session = df.sparkSession.newSession()
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    session.conf.set("spark.sql.session.timeZone", df.sparkSession.conf.get("spark.sql.session.timeZone"))
+    return session.createDataFrame(rows, df.schema).coalesce(1)
+
+
+def supports(pairs: DataFrame, tests: list[tuple[str, Op]], most: int = 24) -> list[tuple[int, int]]:
+    """Matches and rows of each (output column, operator), ``most`` in an aggregate, so that it still compiles."""
     out: list[tuple[int, int]] = []
-    for at in range(0, len(tests), 24):
-        part = tests[at : at + 24]
-        row = pairs.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(agrees(c, op)).alias(f"m{i}") for i, (c, op) in enumerate(part)]).first()
+    for at in range(0, len(tests), most):
+        part = tests[at : at + most]
+        row = pairs.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(agrees(c, op, pairs)).alias(f"m{i}") for i, (c, op) in enumerate(part)]).first()
         out += [(row[f"m{i}"], row["n"]) for i in range(len(part))]
     return out
 
 
-def agrees(column: str, op: Op):
-    """Whether an operator makes the value of a column, numbers by their value."""
-    value = compiled(op)
-    return F.coalesce(value.try_cast("string") == F.col(column).cast("string"), value.isNull() & F.col(column).isNull()) | F.coalesce((value.try_cast("double") == F.col(column).try_cast("double")), F.lit(False))
+def agrees(column: str, op: Op, df: DataFrame | None = None):
+    """Whether an operator makes the value of a column: numbers by value, arrays, records and maps by their JSON."""
+    return same(compiled(op), column, df)
+
+
+def same(value, column: str, df: DataFrame | None = None):
+    kind = df.schema[column].dataType.typeName() if df is not None and column in df.columns else ""
+    wanted = F.col(f"`{column}`")
+    if kind in ("array", "struct", "map"):
+        return F.coalesce(_json(value) == _json(wanted), value.isNull() & wanted.isNull())
+    return F.coalesce(value.try_cast("string") == wanted.cast("string"), value.isNull() & wanted.isNull()) | F.coalesce((value.try_cast("double") == wanted.try_cast("double")), F.lit(False))
+
+
+def _json(value):
+    """JSON with keys in order, whole numbers alike whatever their type; null for null."""
+    return F.when(value.isNotNull(), F.to_json(F.try_parse_json(F.to_json(F.struct(value.alias("v"))))))
+
+
+def matches_rule(df: DataFrame, rule: Rule, column: str) -> DataFrame:
+    """``df`` with ``_same``: whether the rule makes the column's value. A large lookup is joined."""
+    if rule.table is None:
+        return df.withColumn("_same", agrees(column, rule.op, df))
+    joined = lookup(df, rule.op.params["source"], rule.table, "source", "output", "_found")
+    return joined.withColumn("_same", same(F.col("_found"), column)).drop("_found")
 
 
 def lookup_counts(pairs: DataFrame, source: str, column: str) -> DataFrame:
@@ -163,31 +270,86 @@ def lookup_counts(pairs: DataFrame, source: str, column: str) -> DataFrame:
     return ranked.withColumn("_tied", F.count(F.lit(1)).over(by)).where("_tied = 1").select("source", "output", "rows", "agree")
 
 
+def roots(df: DataFrame, paths: list[str]) -> list[str]:
+    """The columns of ``df`` that paths begin with; a column's own name is a path."""
+    return list(dict.fromkeys(p if p in df.columns else str(parse_path(p)[0]) for p in paths))
+
+
+def leaf(df: DataFrame, path: str):
+    return F.col(f"`{path}`") if path in df.columns else at(path)
+
+
+def picked(row: dict, path: str):
+    """The value at a path of a row that has been read."""
+    if path in row:
+        return row[path]
+    for part in parse_path(path):
+        row = row[part] if isinstance(row, list) and isinstance(part, int) and part < len(row) else row.get(part) if isinstance(row, dict) else None
+    return row
+
+
+def examples(rows: list, inputs: list[str], column: str) -> list[dict]:
+    """What proposals are read from: each row's values by input path, and ``_out``."""
+    found = [r.asDict(recursive=True) for r in rows]
+    return [{**{p: picked(r, p) for p in inputs}, "_out": r[column]} for r in found]
+
+
+def evidence(pairs: DataFrame, columns: list[str], targets: list[str], most: int = EVIDENCE) -> list:
+    """At most ``most`` rows, by hash, among them one for each output of targets that have few."""
+    slim = pairs.select(*[F.col(f"`{c}`") for c in columns])
+    plain = [c for c in columns if slim.schema[c].dataType.typeName() not in ("map", "variant")]
+    draw = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+    rows = {repr(r): r for r in slim.orderBy(draw).limit(most).collect()}
+    few = [t for t in targets if slim.schema[t].dataType.typeName() not in ("array", "struct", "map", "variant")]
+    if len(rows) == most and few:
+        # the outputs seen so far are known: only targets with few of them can have rare ones
+        few = [t for t in few if len({r[t] for r in rows.values()}) <= RARE * most]
+    if len(rows) == most and few:
+        row = F.struct(*[F.col(f"`{c}`") for c in columns])
+        one = [slim.groupBy(F.lit(t).alias("_t"), F.col(f"`{t}`").cast("string").alias("_v")).agg(F.min_by(row, draw).alias("_r")) for t in few]
+        for found in one:
+            rare = found.limit(int(RARE * most) + 1).collect()
+            if len(rare) <= RARE * most:
+                extra = {repr(r["_r"]): r["_r"] for r in rare}
+                rows = extra | dict(list({k: v for k, v in rows.items() if k not in extra}.items())[: most - len(extra)])
+    return list(rows.values())
+
+
 def infer(pairs: DataFrame, inputs: list[str], outputs: dict[str, str]) -> list[Rule]:
-    """A rule for each target of ``outputs`` (target path -> column of ``pairs``)."""
-    columns = list(dict.fromkeys([*inputs, *outputs.values()]))
-    evidence = [r.asDict() for r in pairs.select(*columns).orderBy(F.xxhash64(*columns)).limit(EVIDENCE).collect()]
+    """A rule for each target of ``outputs`` (target path -> column of ``pairs``).
+
+    Of rules that hold as well the cheapest is chosen (``weight``). Where no operator holds on almost
+    all rows, lookups by every source that repeats are counted over the whole batch, and the best taken.
+    """
+    return [found[0] if found else Rule(target, None, "none") for target, found in candidates(pairs, inputs, outputs).items()]
+
+
+def candidates(pairs: DataFrame, inputs: list[str], outputs: dict[str, str]) -> dict[str, list[Rule]]:
+    """All rules that hold on four of five rows, of each target, the best first."""
+    columns = list(dict.fromkeys([*roots(pairs, inputs), *outputs.values()]))
+    known = evidence(pairs, columns, list(outputs.values()))
     tests: list[tuple[str, Op]] = []
     for target, column in outputs.items():
-        tests += [(column, op) for op in proposals([{**r, "_out": r[column]} for r in evidence], inputs, target)]
-    if evidence:
-        sample = pairs.sparkSession.createDataFrame([tuple(r[c] for c in columns) for r in evidence], pairs.select(*columns).schema).coalesce(1)
-        tests = [t for t, (m, n) in zip(tests, supports(sample, tests), strict=True) if m >= HOPE * n]
-    results = list(zip(tests, supports(pairs, tests), strict=True))
-    rules = []
+        tests += [(column, op) for op in proposals(examples(known, inputs, column), inputs, target)]
+    slim = pairs.select(*[F.col(f"`{c}`") for c in columns])
+    if known:
+        sample = interpreted(slim, [tuple(r) for r in known])
+        tests = [t for t, (m, n) in zip(tests, supports(sample, tests, 300), strict=True) if m >= HOPE * n]
+    results = list(zip(tests, supports(slim, tests), strict=True))
+    out, sizes = {}, None
     for target, column in outputs.items():
-        own = sorted(((op, m, n) for (c, op), (m, n) in results if c == column and op.target == target), key=lambda x: (-_grade(x[1], x[2]), COSTS.get(x[0].kind, 2.2), repr(x[0])))
-        best = own[0] if own else None
-        if not best or _grade(best[1], best[2]) < 2:
-            mapped = _lookup(pairs, inputs, target, column, evidence)
-            if mapped:
-                rules.append(mapped)
-                continue
-        if best and _grade(best[1], best[2]):
-            rules.append(Rule(target, best[0], ("none", "near", "dominant", "exact")[_grade(best[1], best[2])], best[1], best[2]))
-        else:
-            rules.append(Rule(target, None, "none"))
-    return rules
+        own = [Rule(target, op, _STATUS[_grade(m, n)], m, n) for (c, op), (m, n) in results if c == column and op.target == target and _grade(m, n)]
+        own.sort(key=lambda r: (-_grade(r.matches, r.rows), r.cost, repr(r.op)))
+        if not own or _grade(own[0].matches, own[0].rows) < 2:
+            sizes = sizes or source_sizes(slim, inputs)
+            mapped = best_lookup(slim, inputs, target, column, sizes)
+            if mapped and _grade(mapped.matches, mapped.rows) >= 2:
+                own.insert(0, mapped)
+        out[target] = own
+    return out
+
+
+_STATUS = ("none", "near", "dominant", "exact")
 
 
 def _grade(matches: int, rows: int) -> int:
@@ -199,22 +361,60 @@ def _grade(matches: int, rows: int) -> int:
     return int(rows >= LEAST and matches >= NEAR * rows)
 
 
-def _lookup(pairs: DataFrame, inputs: list[str], target: str, column: str, evidence: list[dict]) -> Rule | None:
-    """A lookup learned from the whole batch, if a source repeats and almost always means the same."""
-    for s in inputs:
-        seen = [r for r in evidence if r[s] is not None]
-        keys = {str(r[s]) for r in seen}
-        if not 2 <= len(keys) <= MEMORISED * max(len(seen), 1):
-            continue
-        top = lookup_counts(pairs, s, column)
-        total = top.agg(F.count(F.lit(1)).alias("k"), F.sum("agree").alias("m"), F.sum("rows").alias("n")).first()
-        n = pairs.count()
-        if total["k"] < 2 or total["k"] > MOST_KEYS or _grade(total["m"], n) < 2:
-            continue
-        table = {str(r["source"]): r["output"] for r in top.collect()}  # at most MOST_KEYS entries
-        status = "memorised" if n >= LEAST and total["k"] >= MEMORISED * n else "exact" if total["m"] == n else "dominant"
-        return Rule(target, Op("valueMap", target, {"source": s, "map": table}), status, total["m"], n)
-    return None
+_DEEP = ("array", "struct", "map", "variant")
+
+
+def source_sizes(pairs: DataFrame, inputs: list[str]) -> dict[str, int]:
+    """Estimated distinct values of each source that a lookup may go by, and the rows (``""``)."""
+    kinds = pairs.select(*[leaf(pairs, s).alias(s) for s in inputs]).schema
+    simple = [s for s in inputs if kinds[s].dataType.typeName() not in _DEEP]
+    row = pairs.agg(F.count(F.lit(1)).alias("_n"), *[F.approx_count_distinct(leaf(pairs, s), 0.02).alias(s) for s in simple]).first()
+    return {"": row["_n"], **{s: row[s] for s in simple}}
+
+
+def best_lookup(pairs: DataFrame, inputs: list[str], target: str, column: str, sizes: dict[str, int] | None = None) -> Rule | None:
+    """The lookup that most rows follow, learned from the whole batch; of equal ones that with the fewest keys.
+
+    One aggregate estimates how often each source repeats, one shuffle counts the pairs of value and
+    output of those that may. A lookup with an entry for every second row or more has only memorised.
+    """
+    if pairs.schema[column].dataType.typeName() in _DEEP:
+        return None
+    sizes = sizes or source_sizes(pairs, inputs)
+    n = sizes[""]
+    slack = 1.2  # the estimate is within 2 % nearly always; the exact count decides below
+    repeating = [s for s in inputs if s in sizes and 2 <= slack * sizes[s] and (sizes[s] <= slack * MEMORISED * n or n < LEAST)]
+    if not repeating or not n:
+        return None
+    long = pairs.select(F.col(f"`{column}`").alias("output"), F.explode(F.array(*[F.struct(F.lit(s).alias("by"), leaf(pairs, s).cast("string").alias("source")) for s in repeating])).alias("x")).select("x.by", "x.source", "output")
+    top = _dominant(long.where("source IS NOT NULL"), ["by", "source"])
+    sums = top.groupBy("by").agg(F.count(F.lit(1)).alias("k"), F.sum("agree").alias("m")).where("k >= 2").collect()  # a row for each source
+    sums = [r for r in sums if n < LEAST or r["k"] < MEMORISED * n]
+    if not sums:
+        return None
+    best = min(sums, key=lambda r: (-r["m"], r["k"], -affinity(r["by"], target), r["by"]))
+    table = top.where(F.col("by") == best["by"]).select("source", "output")
+    grade = _STATUS[_grade(best["m"], n)]
+    if best["k"] > LITERAL:
+        return Rule(target, Op("valueMap", target, {"source": best["by"], "keys": best["k"]}), grade, best["m"], n, table)
+    entries = {r["source"]: r["output"] for r in table.collect()}  # at most LITERAL
+    return Rule(target, Op("valueMap", target, {"source": best["by"], "map": entries}), grade, best["m"], n)
+
+
+def _dominant(long: DataFrame, by: list[str]) -> DataFrame:
+    """by, the commonest output, rows, rows that agree; groups with a tie or without an output are left out."""
+    counts = long.groupBy(*by, "output").agg(F.count(F.lit(1)).alias("agree"))
+    window = Window.partitionBy(*by)
+    ranked = counts.withColumn("rows", F.sum("agree").over(window)).withColumn("_rank", F.rank().over(window.orderBy(F.desc("agree")))).where("_rank = 1")
+    return ranked.withColumn("_tied", F.count(F.lit(1)).over(window)).where("_tied = 1 AND output IS NOT NULL").select(*by, "output", "rows", "agree")
+
+
+def saved(rule: Rule, path: str) -> Op:
+    """The rule's operator; a large lookup's table is written to ``path``, which the operator then names."""
+    if rule.table is None:
+        return rule.op
+    rule.table.write.mode("overwrite").parquet(path)
+    return Op("valueMap", rule.target, {"source": rule.op.params["source"], "table": path})
 
 
 def conflicts(df: DataFrame, inputs: list[str], output: str) -> DataFrame:

@@ -161,6 +161,8 @@ def _kinds() -> dict:
         return F.concat(*out)
 
     def value_map(p):
+        if "map" not in p:
+            raise ValueError("a lookup kept as a table is joined: use run() or lookup()")
         entries = [x for k, v in p["map"].items() for x in (F.lit(k), F.lit(v))]
         return F.try_element_at(F.create_map(*entries), _text(p["source"]))
 
@@ -277,15 +279,24 @@ def diagnostics(program: list[Op]) -> Column:
 def run(df: DataFrame, program: list[Op], keep: tuple[str, ...] = (), explain: bool = False) -> DataFrame:
     """The program's output for every row, with the kept input columns before it.
 
-    One projection: no shuffle, and only the columns the program names are read.
+    One projection: no shuffle, and only the columns the program names are read. Lookups kept as a
+    table are joined before it.
     """
-    columns = [F.col(c) for c in keep] + nested({op.target: compiled(op) for op in program})
+    made, literal = {}, []
+    for i, op in enumerate(program):
+        if op.kind == "valueMap" and "table" in op.params:
+            df = lookup(df, op.params["source"], df.sparkSession.read.parquet(op.params["table"]), "source", "output", f"_lookup_{i}")
+            made[op.target] = F.col(f"_lookup_{i}")
+        else:
+            made[op.target] = compiled(op)
+            literal.append(op)
+    columns = [F.col(c) for c in keep] + nested(made)
     if explain:
-        columns.append(diagnostics(program).alias("diagnostics"))
+        columns.append(diagnostics(literal).alias("diagnostics"))
     return df.select(*columns)
 
 
 def lookup(df: DataFrame, source: str, table: DataFrame, key: str, value: str, target: str) -> DataFrame:
-    """A learned lookup too large for a literal map: a left join, broadcast where Spark finds the table small."""
-    t = table.select(F.col(key).alias("_key"), F.col(value).alias(target)).dropDuplicates(["_key"])
-    return df.join(t, at(source) == F.col("_key"), "left").drop("_key")
+    """A learned lookup too large for a literal map: a left join, broadcast where Spark finds the table small. Keys compare as texts."""
+    t = table.select(F.col(key).cast("string").alias("_key"), F.col(value).alias(target)).dropDuplicates(["_key"])
+    return df.join(t, at(source).cast("string") == F.col("_key"), "left").drop("_key")
