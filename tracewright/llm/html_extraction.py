@@ -1,8 +1,8 @@
 """HTML extraction with a host suffix array.
 
 Pages are cut into blocks of three kinds. Blocks inside the article (``article``, ``main``) are its
-text. Marked boilerplate (menus, footers, adverts, forms and so on) goes, unless the marked element
-holds an article. Open blocks, which are outside the article and not marked, may be either.
+text. Marked boilerplate (menus, footers, adverts, forms, comments and so on) goes, unless the main
+article lies in it, and so does hidden text. Open blocks, which are outside the article and not marked, may be either.
 
 The token streams of all that is outside the articles, marked or open, are laid end to end. Their
 suffixes, to a depth of ``RUN`` tokens, are sorted by host over ranges, and equal neighbours are
@@ -62,49 +62,34 @@ OPEN, ARTICLE, MARKED = 0, 1, 2
 #: Elements whose content is not markup.
 RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noscript"))
 
+#: Elements whose end tag may be left out, and what ends them: the next of a kind, up to their holder.
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "option": ({"option"}, {"select", "datalist"}),
+}
+OPTIONAL = frozenset([*IMPLIED, "p", "body", "html", "head", "caption", "colgroup"])
+#: An end tag does not reach beyond these.
+WALLS = frozenset("html table td th caption".split())
+#: Words that mark what readers and machines add to an article; an article with one is none.
+SECONDARY = frozenset("comment comments commentlist reply replies respond disqus related recommended teaser teasers".split())
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_UNSEEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|style\s*=\s*(?:\"[^\"]*?|'[^']*?|)(?:display\s*:\s*none|visibility\s*:\s*hidden))", re.I)
 _PART = re.compile(r"[-_]+")
 
 
-def _marked(attributes: str) -> bool:
-    """Whether a whole token of class, id or role names boilerplate: ``cookie-notice`` does, ``has-sidebar`` does not."""
-    tokens = (t for m in _MARK.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").lower().split())
-    return any(all(w in MARKS for w in _PART.split(t.strip("-_"))) for t in tokens)
-
-
-def _holders(html: str) -> set[int]:
-    """Where the elements begin that have an ``article`` or ``main`` inside."""
-    out: set[int] = set()
-    stack: list[tuple[str, int]] = []
-    count: dict[str, int] = {}
-    at = 0
-    while m := _TAG.search(html, at):
-        at = m.end()
-        end, name, attributes = m[1], (m[2] or "").lower(), m[3] or ""
-        if not name or name in VOID or attributes.endswith("/"):
-            continue
-        if name in BLOCKS and stack and stack[-1][0] == "p":  # a paragraph ends where the next block begins
-            count["p"] -= 1
-            stack.pop()
-        if end:
-            while count.get(name):
-                top = stack.pop()[0]
-                count[top] -= 1
-                if top == name:
-                    break
-            continue
-        if name in RAW:
-            at = _after(html, at, name)
-            continue
-        if name in ("article", "main"):
-            for _, place in reversed(stack):
-                if place in out:
-                    break  # so are all around it
-                out.add(place)
-        stack.append((name, m.start()))
-        count[name] = count.get(name, 0) + 1
-    return out
+def _tokens(attributes: str) -> list[list[str]]:
+    """The words of each token of class, id and role."""
+    return [_PART.split(t.strip("-_")) for m in _MARK.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").lower().split()]
 
 
 def blocks(html: str | None) -> list[tuple[str, bool]]:
@@ -112,75 +97,191 @@ def blocks(html: str | None) -> list[tuple[str, bool]]:
     return [(text, kind == ARTICLE) for text, kind in regions(html) if kind != MARKED]
 
 
+class _Page:
+    """The elements of a page, each after its parent, and its texts and block edges in order.
+
+    End tags that are left out are implied: by the next element of a kind (``IMPLIED``), by a block
+    (of a paragraph and of the head), and by the end of a parent. An end tag without a start, or of an inline
+    element around a block, ends nothing.
+    """
+
+    def __init__(self, html: str):
+        self.names, self.parents, self.attributes = ["#page"], [0], [""]
+        self.ended, self.first_block, self.first_text = [True], [0], [0]
+        self.texts: list[tuple[int, str | None]] = []  # the element it is in, and the text; None is an edge
+        self.stack, self.open = [0], {}
+        at = 0
+        while m := _TAG.search(html, at):
+            if m.start() > at:
+                self.texts.append((self.stack[-1], html[at : m.start()]))
+            at = m.end()
+            end, name, attributes = m[1], (m[2] or "").lower(), m[3] or ""
+            if not name:
+                continue
+            if name in BLOCKS:
+                self.texts.append((self.stack[-1], None))
+            if end:
+                self._end(name)
+                if name in BLOCKS:
+                    self.texts.append((self.stack[-1], None))
+                continue
+            self._imply(name)
+            if name in VOID or attributes.endswith("/"):
+                if name == "br":
+                    self.texts.append((self.stack[-1], " "))
+                continue
+            self._start(name, attributes)
+            if name in RAW:
+                at = _after(html, at, name)
+                self._pop(True)
+        if at < len(html):
+            self.texts.append((self.stack[-1], html[at:]))
+
+    def _start(self, name: str, attributes: str) -> None:
+        parent = self.stack[-1]
+        if name in BLOCKS and not self.first_block[parent]:
+            self.first_block[parent], self.first_text[parent] = len(self.names), len(self.texts)
+        self.stack.append(len(self.names))
+        self.open[name] = self.open.get(name, 0) + 1
+        self.names.append(name)
+        self.parents.append(parent)
+        self.attributes.append(attributes)
+        self.ended.append(name in OPTIONAL)
+        self.first_block.append(0)
+        self.first_text.append(0)
+
+    def _pop(self, ended: bool) -> str:
+        i = self.stack.pop()
+        self.ended[i] |= ended
+        self.open[self.names[i]] -= 1
+        return self.names[i]
+
+    def _imply(self, name: str) -> None:
+        if self.open.get("head") and (name == "body" or name in BLOCKS):
+            while self._pop(True) != "head":
+                pass
+        if name in BLOCKS and self.open.get("p"):
+            for depth in range(len(self.stack) - 1, 0, -1):
+                inside = self.names[self.stack[depth]]
+                if inside == "p":
+                    while len(self.stack) > depth:
+                        self._pop(False)
+                    break
+                if inside in BLOCKS or inside == "button":
+                    break
+        if name in IMPLIED:
+            ends, holders = IMPLIED[name]
+            last = 0
+            for depth in range(len(self.stack) - 1, 0, -1):
+                inside = self.names[self.stack[depth]]
+                if inside in holders:
+                    break
+                if inside in ends:
+                    last = depth
+            while last and len(self.stack) > last:
+                self._pop(False)
+
+    def _end(self, name: str) -> None:
+        if not self.open.get(name):
+            return
+        for depth in range(len(self.stack) - 1, 0, -1):
+            inside = self.names[self.stack[depth]]
+            if inside == name:
+                while len(self.stack) > depth + 1:
+                    self._pop(False)
+                self._pop(True)
+                return
+            if inside in WALLS and name not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html") or (inside in BLOCKS and name not in BLOCKS) or (name == "li" and inside in ("ul", "ol", "menu")):
+                return
+
+
 def regions(html: str | None) -> list[tuple[str, int]]:
-    """The text of each block in page order and its kind; a marked element is one block."""
-    html = html or ""
+    """The text of each block in page order and its kind; a marked element is one block.
+
+    The main article is the ``article`` or ``main`` with the most text that is neither hidden, marked, nor inside
+    comments, related links or an aside; only if there is none and no more text elsewhere, one of those. What
+    it lies in is no boilerplate, whatever its marks; all else that is marked goes, with articles in it.
+    A marked element that its own tag does not end, and whose end may not be left out, ends where its
+    first block begins: it does not swallow what follows.
+    """
+    page = _Page(html or "")
+    names, parents, texts = page.names, page.parents, page.texts
+    n = len(names)
+    hidden, own, beside, article = [False] * n, [False] * n, [False] * n, [False] * n
+    for i in range(1, n):
+        name, attributes = names[i], page.attributes[i]
+        words = _tokens(attributes) if attributes else []
+        own[i] = name not in ("body", "html") and (name in BOILERPLATE or any(all(w in MARKS for w in t) for t in words))
+        hidden[i] = name in HIDDEN or name == "title" or (bool(attributes) and name not in ("body", "html") and bool(_UNSEEN.search(attributes)))
+        beside[i] = name in ("aside", "nav", "footer") or any(all(w in MARKS for w in t) and any(w in SECONDARY for w in t) for t in words) or (name == "article" and any(w in SECONDARY for t in words for w in t))
+    # an element that nothing ends stops where its first block begins
+    cut = {i: page.first_block[i] for i in range(1, n) if not page.ended[i] and page.first_block[i] and (own[i] or hidden[i])}
+    for i in range(1, n):
+        while parents[i] in cut and i >= cut[parents[i]]:
+            parents[i] = parents[parents[i]]
+        up = parents[i]
+        hidden[i] |= hidden[up]
+        beside[i] |= beside[up]
+        article[i] = article[up] or names[i] in ("article", "main")
+    if cut:
+        moved = []
+        for at, (i, t) in enumerate(texts):
+            while i in cut and at >= page.first_text[i]:
+                i = parents[i]
+            moved.append((i, t))
+        texts = moved
+    size = [0] * n
+    for i, t in texts:
+        size[i] += len(t) if t else 0
+    total = list(size)
+    for i in range(n - 1, 0, -1):
+        if not hidden[i] and not own[i]:
+            size[parents[i]] += size[i]
+        if not hidden[i]:
+            total[parents[i]] += total[i]
+    articles = [i for i in range(1, n) if names[i] in ("article", "main") and not hidden[i]]
+    main = max((i for i in articles if not beside[i] and not own[i]), key=lambda i: size[i], default=0)
+    if not main and articles:
+        best = max(articles, key=lambda i: size[i])
+        main = best if 2 * total[best] >= total[0] else 0
+    spared = set()
+    i = main
+    while i:
+        spared.add(i)
+        i = parents[i]
+    root = [0] * n  # the marked element that an element lies in
+    for i in range(1, n):
+        up = parents[i]
+        mine = own[i] or (names[i] == "header" and not article[i]) or (names[i] == "article" and beside[i] and i != main)
+        root[i] = root[up] or (i if mine and i not in spared else 0)
     out: list[tuple[str, int]] = []
     parts: list[str] = []
-    marked: list[str] = []
-    depth = 0  # of articles
-    holders = _holders(html)
-    closing, nested = "", 0  # the boilerplate element that is open, and how many of its name
-    at = 0
-
-    def flush() -> None:
-        text = " ".join(_html.unescape("".join(parts)).split())
-        parts.clear()
-        if text:
-            out.append((text, ARTICLE if depth else OPEN))
+    said: list[str] = []  # of the marked element that is open
+    kind, mark = OPEN, 0
 
-    def flush_marked() -> None:
-        text = " ".join(_html.unescape(" ".join(marked)).split())
-        marked.clear()
+    def flush(texts: list[str], kind: int) -> None:
+        text = " ".join(_html.unescape((" " if kind == MARKED else "").join(texts)).split())  # a menu's links stay apart
+        texts.clear()
         if text:
-            out.append((text, MARKED))
-
-    while True:
-        m = _TAG.search(html, at)
-        if not closing:
-            parts.append(html[at : m.start() if m else len(html)])
-        elif closing not in HIDDEN and closing != "title":
-            marked.append(html[at : m.start() if m else len(html)])
-        if not m:
-            break
-        at = m.end()
-        end, name, attributes = m[1], (m[2] or "").lower(), m[3] or ""
-        if not name:
+            out.append((text, kind))
+
+    for i, t in texts:
+        if hidden[i]:
             continue
-        empty = name in VOID or attributes.endswith("/")
-        if closing:
-            if name == closing and not empty:
-                nested += -1 if end else 1
-            if closing == "p" and (name in BLOCKS):  # a paragraph ends where the next block begins
-                nested = 0
-            if closing == "head" and (name == "body" or name in BLOCKS):
-                nested = 0
-            if nested <= 0:
-                closed, closing = closing, ""
-                flush_marked()
-                if closed == name and end:
-                    continue
-            else:
-                if name in RAW and not end:
-                    at = _after(html, at, name)
-                continue
-        if name in BLOCKS:
-            flush()
-        if end:
-            if name in ("article", "main"):
-                depth = max(0, depth - 1)
+        if mark and root[i] != mark:
+            flush(said, MARKED)
+        mark = root[i]
+        if mark:  # one within a line does not end the block around it
+            said.append(" " if t is None else t)
             continue
-        if name in ("article", "main") and not empty:
-            depth += 1
-        elif not empty and name not in ("body", "html") and (name in HIDDEN or name == "title" or (m.start() not in holders and (name in BOILERPLATE or (name == "header" and not depth) or _marked(attributes)))):
-            if name in RAW:
-                at = _after(html, at, name)
-            else:
-                closing, nested = name, 1
-        elif name == "br":
-            parts.append(" ")
-    flush()
-    flush_marked()
+        here = ARTICLE if article[i] else OPEN
+        if here != kind or t is None:
+            flush(parts, kind)
+            kind = here
+        if t is not None:
+            parts.append(t)
+    flush(said, MARKED)
+    flush(parts, kind)
     return out
 
 
