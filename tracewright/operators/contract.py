@@ -10,8 +10,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.values import iso_date
 from tracewright.operators.compare import rows_keyed
-from tracewright.plans.program import Op, at, compiled, diagnostics, nested
+from tracewright.operators.documents import Shape, nodes, shape, violations
+from tracewright.operators.infer import Rule, infer
+from tracewright.plans.program import Op, at, compiled, diagnostics, nested, parse_path
 
 #: Verdicts in ascending severity.
 VERDICTS = ("pass", "warn", "quarantine", "block", "invalid_contract")
@@ -27,8 +30,10 @@ class Contract:
     policy: str = "quarantine"  # what a blocking diagnostic does to a row: quarantine, block, warn
     warnings_allowed: int = 0
     key: list[str] = field(default_factory=list)
-    status: str = "draft"  # draft, approved, superseded, revoked
+    status: str = "draft"  # draft, review_required, approved, superseded, revoked
     approved: str | None = None
+    input: Shape | None = None  # what learned inputs looked like; unknown fields are allowed
+    output: Shape | None = None  # what outputs must look like; unknown fields are refused
 
     def fingerprint(self) -> str:
         """Of what the contract does; its approval is not part of it."""
@@ -83,8 +88,57 @@ def infer_required(df: DataFrame) -> dict[str, str]:
     return {f.name: f.dataType.simpleString() for f in df.schema.fields if row["_n"] and row[f.name] == row["_n"]}
 
 
+@dataclass
+class Learned:
+    """A learned contract, the rules it is made of, and the targets that have none."""
+
+    contract: Contract
+    rules: list[Rule]
+    unexplained: list[str]
+
+
+def learn(original: DataFrame, transformed: DataFrame, on: list[str], policy: str = "quarantine") -> Learned:
+    """A contract from aligned examples: its program, what it needs of its input, schemas and invariants.
+
+    Rules are learned for every leaf of the output, nested ones and arrays too. The input needs the
+    paths that the rules read and that no example lacks. Schemas are unions over all examples; texts of
+    few values are listed. Invariants are those of the output that every example meets. A target
+    without a rule, one that holds on almost all rows only, or a lookup too large to be written into
+    the program, makes the contract one for review.
+    """
+    from tracewright.operators.verify import aligned_paths  # verification itself runs contracts' rules
+
+    pairs, inputs, outputs = aligned_paths(original, transformed, on)
+    pairs = pairs.persist()
+    try:
+        rules = infer(pairs, inputs, outputs)
+        good = [r for r in rules if r.op and r.status in ("exact", "dominant") and r.table is None]
+        program = [r.op for r in good]
+        used = sorted({s for op in program for s in op.sources()})
+        shown = pairs.select(*[at(p).alias(f"_{i}") for i, p in enumerate(used)])
+        row = shown.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"_{i}").alias(f"c{i}") for i in range(len(used))]).first()
+        required = {p: shown.schema[f"_{i}"].dataType.simpleString() for i, p in enumerate(used) if row[f"c{i}"] == row["n"]}
+        key = [F.col(f"`{c}`") for c in on]
+        whole = lambda df: nodes(df.select(*key, F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in on]).alias("_doc")), on, "_doc")
+        contract = Contract(program, required, key=list(on), policy=policy, input=shape(whole(original)), output=shape(whole(transformed), values=True))
+        contract.invariants = suggested(contract, original) + [{"kind": "row_count_preserved"}, {"kind": "key_set_preserved"}, {"kind": "key_unique"}] if program else []
+        unexplained = [r.target for r in rules if r not in good]
+        if unexplained or any(r.status != "exact" for r in good):
+            contract.status = "review_required"
+        return Learned(contract, rules, unexplained)
+    finally:
+        pairs.unpersist()
+
+
+def schema_violations(contract: Contract, df: DataFrame, side: str = "input") -> DataFrame:
+    """The key, ``at``, ``problem`` of each place where rows differ from the learned schema."""
+    key = [F.col(f"`{c}`") for c in contract.key]
+    docs = df.select(*key, F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in contract.key]).alias("_doc"))
+    return violations(nodes(docs, contract.key, "_doc"), contract.key, getattr(contract, side) or Shape(), closed=side == "output")
+
+
 def _failed(contract: Contract, missing: list[str]) -> Column:
-    checks = [F.when(F.col(f"`{c}`").isNull(), F.lit(f"required:{c}")) for c in contract.required if c not in missing]
+    checks = [F.when(at(c).isNull(), F.lit(f"required:{c}")) for c in contract.required if c not in missing]
     checks += [F.lit(f"required:{c}") for c in missing]
     checks += [F.when(~RECORD[i["kind"]](i), F.lit(f"{i['kind']}:{i.get('path', i.get('target', ''))}")) for i in contract.invariants if i["kind"] in RECORD]
     if not checks:
@@ -100,7 +154,7 @@ def run(contract: Contract, df: DataFrame) -> DataFrame:
     """
     if contract.problems():
         raise ValueError("invalid_contract: " + "; ".join(contract.problems()))
-    missing = [c for c in contract.required if c not in df.columns]
+    missing = [c for c in contract.required if str(parse_path(c)[0]) not in df.columns]
     x = df.withColumn("_o", F.struct(*nested({op.target: compiled(op) for op in contract.program})))
     x = x.withColumn("_f", _failed(contract, missing)).withColumn("_d", diagnostics(contract.program))
     hard = {"block": "blocked", "warn": "warned", "quarantine": "quarantined"}[contract.policy]
@@ -131,6 +185,35 @@ def batch_report(contract: Contract, df: DataFrame, ran: DataFrame) -> DataFrame
     return n.withColumn("broken", broken).withColumn("verdict", verdict).withColumn("broken", F.array_join("broken", ",")).drop("_dup", "_source", "_keys")
 
 
+def check_paths(contract: Contract, df: DataFrame, actual: DataFrame) -> DataFrame:
+    """The key, ``path``, ``expected``, ``found`` of each leaf where actual rows differ from the program's output.
+
+    A row that only one side has is one difference at ``$``. Records are gone into; arrays are compared
+    whole, as JSON.
+    """
+    from tracewright.operators.verify import leaves
+
+    expected = run(contract, df).select(*contract.key, "output")
+    fields = [c for c in actual.columns if c not in contract.key]
+    found = actual.select(*[F.col(f"`{k}`") for k in contract.key], F.struct(*[F.col(f"`{c}`") for c in fields]).alias("_actual"))
+    both = expected.join(found, contract.key, "full")
+    sides = [(leaves(both.schema[c].dataType), c) for c in ("output", "_actual")]
+    paths = list(dict.fromkeys([*sides[0][0], *sides[1][0]]))
+    show = lambda side, p: _text(at(p, F.col(side[1])), both) if p in side[0] else F.lit(None).cast("string")
+    row = lambda path, a, b: F.struct(F.lit(path).alias("path"), a.alias("expected"), b.alias("found"))
+    there, here = F.col("output").isNotNull(), F.col("_actual").isNotNull()
+    diffs = [F.when(there & here & ~show(sides[0], p).eqNullSafe(show(sides[1], p)), row(p, show(sides[0], p), show(sides[1], p))) for p in paths]
+    one = F.when(~(there & here), row("$", F.when(there, "row"), F.when(here, "row")))
+    each = F.explode(F.filter(F.array(one, *diffs), lambda d: d.isNotNull())).alias("_d")
+    return both.select(*contract.key, each).select(*contract.key, "_d.path", "_d.expected", "_d.found")
+
+
+def _text(value: Column, df: DataFrame) -> Column:
+    """A value as text: numbers without trailing zeros, arrays and maps as JSON."""
+    deep = df.select(value.alias("v")).schema["v"].dataType.typeName() in ("array", "map")
+    return F.to_json(value) if deep else F.regexp_replace(value.cast("string"), r"\.0+$", "")
+
+
 def check(contract: Contract, df: DataFrame, actual: DataFrame) -> DataFrame:
     """Expected against actual by key: status and differing fields of each row."""
     expected = run(contract, df).select(*contract.key, "output.*")
@@ -154,6 +237,9 @@ def row_ids(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def suggested(contract: Contract, sample: DataFrame, most: int = 12) -> list[dict[str, Any]]:
     """Invariants that the sample's output meets: presence, allowed values of small domains."""
     ran = run(contract, sample).select("output.*")
+    ran = ran.select(*[c for c, t in ran.dtypes if not t.startswith(("array", "struct", "map"))])
+    if not ran.columns:
+        return []
     n = ran.count()
     stats = ran.agg(*[F.struct(F.count(c).alias("n"), F.approx_count_distinct(c).alias("d")).alias(c) for c in ran.columns]).first()
     out = []
@@ -168,12 +254,12 @@ def suggested(contract: Contract, sample: DataFrame, most: int = 12) -> list[dic
 def mutations(contract: Contract, df: DataFrame) -> DataFrame:
     """mutation, target, rows, changed, detected: what is changed on purpose, and where the invariants notice.
 
-    Each target is removed, changed in case, scaled or retyped in every row, and two targets of one
-    type are swapped; a changed row is detected if a record invariant fails that held before. The
+    Each target is removed, changed in case, scaled or retyped in every row, a date written in another order,
+    an array turned around, and two targets of one type are swapped; a changed row is detected if a record invariant fails that held before. The
     batch loses a row and repeats one; that is detected if a batch invariant breaks. Mutations that
     no invariant notices stay in the result with ``detected`` 0.
     """
-    missing = [c for c in contract.required if c not in df.columns]
+    missing = [c for c in contract.required if str(parse_path(c)[0]) not in df.columns]
     x = df.withColumn("_o", F.struct(*nested({op.target: compiled(op) for op in contract.program})))
     x = x.withColumn("_before", _failed(contract, missing))
     fields = x.schema["_o"].dataType.fields
@@ -188,6 +274,10 @@ def mutations(contract: Contract, df: DataFrame) -> DataFrame:
             made.append(("retype", t, whole(**{t: F.xxhash64(v).cast("string")})))
         if kind in ("double", "bigint", "int"):
             made.append(("unit", t, whole(**{t: (v * 100).cast(kind)})))
+        if kind == "string" and any(op.target == t and (op.kind == "dateFormat" or op.params.get("mode") == "dateNormalize") for op in contract.program):
+            made.append(("date_format", t, whole(**{t: F.coalesce(F.date_format(iso_date(v), "dd/MM/yyyy"), v)})))
+        if kind.startswith("array"):
+            made.append(("array_order", t, whole(**{t: F.reverse(v)})))
     for a, b in ((a, b) for a in kinds for b in kinds if a < b and kinds[a] == kinds[b]):
         made.append(("swap", f"{a},{b}", whole(**{a: F.col(f"_o.{b}"), b: F.col(f"_o.{a}")})))
     each = F.array(*[F.struct(F.lit(m).alias("mutation"), F.lit(t).alias("target"), o.alias("o"), (~o.eqNullSafe(F.col("_o"))).alias("changed")) for m, t, o in made])
@@ -203,9 +293,11 @@ def mutations(contract: Contract, df: DataFrame) -> DataFrame:
 
 
 def _without_one(ran: DataFrame, key: list[str]) -> DataFrame:
-    """All rows but those of the smallest key."""
+    """All rows but one of the smallest key."""
     first = ran.agg(F.min(F.struct(*key)).alias("_first"))
-    return ran.crossJoin(first).where(~F.struct(*key).eqNullSafe(F.col("_first"))).drop("_first")
+    marked = ran.crossJoin(first).withColumn("_is", F.struct(*key).eqNullSafe(F.col("_first"))).drop("_first")
+    again = marked.where("_is").withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("status"))).where("_n > 1").drop("_n")
+    return marked.where("NOT _is").unionByName(again).drop("_is")
 
 
 def differences(old: Contract, new: Contract) -> list[dict[str, str]]:

@@ -29,5 +29,5 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     """Import the modules that register queries."""
     from tracewright.functions import function_queries  # noqa: F401
-    from tracewright.operators import compare_queries, contract_queries, profile_queries, search_queries, signal_queries, verify_queries  # noqa: F401
+    from tracewright.operators import compare_queries, contract_queries, document_queries, profile_queries, search_queries, signal_queries, verify_queries  # noqa: F401
     from tracewright.plans import program_queries  # noqa: F401
