@@ -212,7 +212,7 @@ def _grams(x: DataFrame, key: str) -> DataFrame:
     return x.where(~F.col("blank")).select(key, "line_no", F.octet_length("line").alias("bytes"), grams.alias("grams"))
 
 
-def _novel(unseen: Column, sampled: Column, bytes_: Column) -> Column:
+def novel(unseen: Column, sampled: Column, bytes_: Column) -> Column:
     """Novelty in ten-thousandths: the unseen share, lower for short lines."""
     reach = F.greatest(F.lit(0), F.least(F.lit(48), bytes_ - 7))
     value = F.when(sampled > 0, _share(unseen * reach, sampled * 48)).otherwise(0)
@@ -228,7 +228,7 @@ def novelty(x: DataFrame, key: str) -> DataFrame:
     y = _grams(x, key)
     new = y.select(key, "line_no", F.explode("grams").alias("_g")).groupBy(key, "_g").agg(F.min("line_no").alias("line_no")).groupBy(key, "line_no").agg(F.count(F.lit(1)).alias("_new"))
     y = y.select(key, "line_no", "bytes", F.size("grams").alias("_n")).join(new, [key, "line_no"], "left")
-    return y.select(key, "line_no", (_novel(F.coalesce("_new", F.lit(0)), F.col("_n"), F.col("bytes")) / 10000).alias("novelty"))
+    return y.select(key, "line_no", (novel(F.coalesce("_new", F.lit(0)), F.col("_n"), F.col("bytes")) / 10000).alias("novelty"))
 
 
 def novelty_evicting(x: DataFrame, key: str, entries: int = 32768) -> DataFrame:
@@ -254,7 +254,7 @@ def novelty_evicting(x: DataFrame, key: str, entries: int = 32768) -> DataFrame:
     y = _grams(x, key).withColumnRenamed(key, "_k")
     kinds = dict(y.dtypes)
     folded = y.groupBy("_k").applyInPandas(fold, f"_k {kinds['_k']}, line_no {kinds['line_no']}, bytes int, _n int, _new long")
-    return folded.select(F.col("_k").alias(key), "line_no", (_novel(F.col("_new"), F.col("_n"), F.col("bytes")) / 10000).alias("novelty"))
+    return folded.select(F.col("_k").alias(key), "line_no", (novel(F.col("_new"), F.col("_n"), F.col("bytes")) / 10000).alias("novelty"))
 
 
 def _mode_scores(repeated: Column, lines_: Column, stream: Column, document: Column, blank: Column, every: Column) -> tuple[Column, Column]:
