@@ -31,4 +31,5 @@ def load() -> None:
     from tracewright.functions import function_queries  # noqa: F401
     from tracewright.operators import compare_queries, contract_queries, document_queries, profile_queries, search_queries, signal_queries, verify_queries  # noqa: F401
     from tracewright.plans import program_queries  # noqa: F401
+    from tracewright.sources import source_queries  # noqa: F401
     from tracewright.streaming import stream_queries  # noqa: F401

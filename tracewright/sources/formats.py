@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.sources.quoted import quoted_records, read_quoted_csv
+
 _FORBIDDEN = {"__proto__", "prototype", "constructor"}
 
 #: Names whose values stay texts, whatever they look like.
@@ -60,10 +62,14 @@ _SQL_VALUE = re.compile(r"\s*(?:'((?:[^']|'')*)'|([+-]?\d+(?:\.\d+)?(?:[eE][+-]?
 _INSERT = re.compile(r"\b(?:INSERT(?:\s+OR\s+\w+)?|REPLACE)\s+INTO\s+[\"`\[]?([\w.]+)[\"`\]]?\s*\(([^)]*)\)\s*VALUES\s*", re.I)
 
 
+#: Comments, and quoted texts, in which there are none.
+_NO_SQL = re.compile(r"'(?:[^']|'')*'|/\*.*?\*/|--[^\n]*", re.S)
+
+
 def parse_inserts(text: str) -> list[dict]:
     """Rows of ``INSERT INTO t (columns) VALUES (...), (...)``; what is no literal is named as an expression."""
     rows = []
-    text = re.sub(r"/\*.*?\*/|--[^\n]*", " ", text, flags=re.S)
+    text = _NO_SQL.sub(lambda m: m[0] if m[0][0] == "'" else " ", text)
     for m in _INSERT.finditer(text):
         names, at = [c.strip().strip('"`[]') for c in m[2].split(",")], m.end()
         while at < len(text) and text[at] == "(":
@@ -141,6 +147,10 @@ def separator(rows: list[str]) -> str | None:
 
 def read_texts(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """file, value (JSON text), error of every file of a configuration format."""
+    return _parsed(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"), kind)
+
+
+def _parsed(texts: DataFrame, kind: str) -> DataFrame:
     parse = PARSERS[kind]
 
     def run(batches):
@@ -155,13 +165,19 @@ def read_texts(spark: SparkSession, path: str, kind: str) -> DataFrame:
                     errors.append(f"{kind}: {e}"[:300])
             yield pa.record_batch({"file": batch.column("file"), "value": pa.array(values, pa.string()), "error": pa.array(errors, pa.string())})
 
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.mapInArrow(run, "file string, value string, error string")
+    return texts.mapInArrow(run, "file string, value string, error string")
 
 
 def read_inserts(spark: SparkSession, path: str) -> DataFrame:
-    """table, row (JSON text) of every inserted row."""
-    parsed = read_texts(spark, path, "sql")
+    """table, row (JSON text) of every inserted row.
+
+    A file is read by many tasks, a statement to a row. If there are comments, which may hold quotes, each
+    file is read whole, by one task.
+    """
+    lines = spark.read.text(path)
+    noted = lines.where(F.col("value").contains("--") | F.col("value").contains("/*"))
+    texts = spark.read.text(path, wholetext=True) if not noted.isEmpty() else quoted_records(spark, path, "'", ";").select(F.col("text").alias("value"))
+    parsed = _parsed(texts.select(F.lit("").alias("file"), "value"), "sql")
     rows = F.explode(F.from_json("value", "array<struct<table:string,row:string>>"))
     return parsed.where("error is null").select(rows.alias("r")).select("r.table", "r.row")
 
@@ -176,12 +192,10 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, typed: bool = True) -> DataFrame:
-    """CSV with a header; the separator is found in the first lines unless given. Ragged rows fail."""
+    """CSV with a header, each file read by many tasks; the separator is found in the first lines unless given. Ragged rows fail."""
     if sep is None:
         sep = separator([r[0] for r in spark.read.text(path).limit(20).collect() if r[0].strip()]) or ","
-    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, mode="FAILFAST", inferSchema=False)
-    if len(set(df.columns)) < len(df.columns) or any(not c.strip() for c in df.columns):
-        raise ValueError("csv: header names must be unique and not empty")
+    df = read_quoted_csv(spark, path, sep)
     return coerced(df) if typed else df
 
 
