@@ -96,23 +96,29 @@ _KEYS = """
 WITH d AS (SELECT {key} AS code FROM lineitem), n AS (SELECT count(DISTINCT code) AS k, count(*) AS n FROM d)
 SELECT CASE WHEN k < 0.5 * n THEN 'valueMap' END AS op, CASE WHEN k < 0.5 * n THEN 'exact' ELSE 'none' END AS status, CASE WHEN k < 0.5 * n THEN k END AS keys,
        CASE WHEN k < 0.5 * n THEN n ELSE 0 END AS matches, CASE WHEN k < 0.5 * n THEN n ELSE 0 END AS rows FROM n"""
-_LINE = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
-_name = lambda code: F.substring(F.md5(code.cast("string").cast("binary")), 1, 8)
+
+
+def _line() -> F.Column:
+    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
+
+
+def _name(code: F.Column) -> F.Column:
+    return F.substring(F.md5(code.cast("string").cast("binary")), 1, 8)
 
 
 @query("infer_lookup_300_keys", _KEYS.format(key="(l_orderkey * 8 + l_linenumber) % 300"))
 def _keys_300(spark, sf_dir):
-    return _lookup_rule(spark, sf_dir, _LINE % 300, _name(_LINE % 300))
+    return _lookup_rule(spark, sf_dir, _line() % 300, _name(_line() % 300))
 
 
 @query("infer_lookup_5000_keys", _KEYS.format(key="(l_orderkey * 8 + l_linenumber) % 5000"))
 def _keys_5000(spark, sf_dir):
-    return _lookup_rule(spark, sf_dir, _LINE % 5000, _name(_LINE % 5000))
+    return _lookup_rule(spark, sf_dir, _line() % 5000, _name(_line() % 5000))
 
 
 @query("infer_lookup_memorised", _KEYS.format(key="l_orderkey * 8 + l_linenumber"))
 def _keys_all(spark, sf_dir):
-    return _lookup_rule(spark, sf_dir, _LINE, _name(_LINE))
+    return _lookup_rule(spark, sf_dir, _line(), _name(_line()))
 
 
 @query("verify_large_lookup", "SELECT o_orderkey, 'name' AS targets FROM orders WHERE o_orderkey % 401 = 17")
@@ -125,13 +131,15 @@ def _large_lookup(spark, sf_dir):
 
 # nested targets and arrays
 
-#: How a line travels, by its supplier.
-_MODE = F.element_at(F.array(*[F.lit(m) for m in ("AIR", "RAIL", "SHIP", "MAIL", "TRUCK")]), (F.col("l_suppkey") % 5 + 1).cast("int"))
+
+def _mode() -> F.Column:
+    """How a line travels, by its supplier."""
+    return F.element_at(F.array(*[F.lit(m) for m in ("AIR", "RAIL", "SHIP", "MAIL", "TRUCK")]), (F.col("l_suppkey") % 5 + 1).cast("int"))
 
 
 def nested_orders(spark, sf_dir) -> DataFrame:
     """Orders with their lines as an array of records, a customer record, a tag list and texts of several shapes."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("no"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"), _MODE.alias("mode")).alias("line"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("no"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"), _mode().alias("mode")).alias("line"))
     lines = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     even = F.col("o_orderkey") % 2 == 0
