@@ -35,6 +35,16 @@ class Contract:
     input: Shape | None = None  # what learned inputs looked like; unknown fields are allowed
     output: Shape | None = None  # what outputs must look like; unknown fields are refused
 
+    def to_json(self) -> str:
+        d = {"program": [op.to_dict() for op in self.program], "required": self.required, "invariants": self.invariants, "policy": self.policy, "warnings_allowed": self.warnings_allowed, "key": self.key, "status": self.status, "approved": self.approved}
+        return json.dumps({**d, "input": self.input and self.input.to_dict(), "output": self.output and self.output.to_dict()}, indent=1)
+
+    @classmethod
+    def from_json(cls, text: str) -> Contract:
+        d = json.loads(text)
+        program = [Op(o.pop("op"), o.pop("target"), o) for o in d.pop("program")]
+        return cls(program, input=Shape.from_dict(d.pop("input", None)), output=Shape.from_dict(d.pop("output", None)), **d)
+
     def fingerprint(self) -> str:
         """Of what the contract does; its approval is not part of it."""
         core = {"program": [op.to_dict() for op in self.program], "required": self.required, "invariants": self.invariants, "policy": self.policy, "key": self.key, "warnings": self.warnings_allowed}

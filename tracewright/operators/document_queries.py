@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.operators import documents as D
+from tracewright.operators import profile as P
 from tracewright.queries import query, table
 
 
@@ -63,3 +64,8 @@ def _violations(spark, sf_dir):
     who = D.Shape(["object"], {"status": scalar("string", values=["F", "O"]), "vip": scalar("boolean")}, ["status"])
     wanted = D.Shape(["object"], {"id": scalar("integer"), "total": scalar("number"), "who": who, "note": scalar("string"), "lines": D.Shape(["array"], items=line)}, ["id", "note"])
     return D.violations(D.nodes(texts(spark, sf_dir), ["o_orderkey"], "doc"), ["o_orderkey"], wanted, closed=True)
+
+
+@query("document_mixed_types", "SELECT 'mixed-types' AS kind, '$.total' AS field, 'integer,string' AS types FROM (SELECT count_if(o_orderkey % 7 = 0) AS t, count(*) AS n FROM orders JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON l_orderkey = o_orderkey) WHERE t > 0 AND t < n")
+def _mixed(spark, sf_dir):
+    return P.mixed_types(D.leaf_profile(D.nodes(texts(spark, sf_dir), ["o_orderkey"], "doc")))

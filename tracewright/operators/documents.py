@@ -128,6 +128,13 @@ class Shape:
     items: Shape | None = None
     values: list[str] | None = None
 
+    def to_dict(self) -> dict[str, Any]:
+        return {"types": self.types, "fields": {k: v.to_dict() for k, v in self.fields.items()}, "required": self.required, "items": self.items and self.items.to_dict(), "values": self.values}
+
+    @classmethod
+    def from_dict(cls, d: dict[str, Any] | None) -> Shape | None:
+        return d and cls(d["types"], {k: cls.from_dict(v) for k, v in d["fields"].items()}, d["required"], cls.from_dict(d["items"]), d["values"])
+
     def schema(self, closed: bool = False) -> dict[str, Any]:
         """As JSON Schema; ``closed`` refuses fields that are not named."""
         each = [self._one(t, closed) for t in self.types]

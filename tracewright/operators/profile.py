@@ -250,3 +250,25 @@ def structure(df: DataFrame) -> DataFrame:
     """kind, n, deepest, longest array, arrays of records: all values of all rows by type; fields are at depth 1."""
     every = F.concat(*[_nodes(F.col(f"`{f.name}`"), f.dataType, 1) for f in df.schema.fields])
     return df.select(F.explode(every).alias("x")).groupBy("x.kind").agg(F.count(F.lit(1)).alias("n"), F.max("x.depth").alias("deepest"), F.max("x.length").alias("longest"), F.sum(F.col("x.records").cast("int")).alias("record_arrays"))
+
+
+def row_insights(df: DataFrame, key: list[str], numeric_fields: list[str] = (), temporal_fields: list[str] = (), record: list[str] | None = None) -> DataFrame:
+    """kind, field, affected: values far from their field's median, times with unusual gaps, and repeated records.
+
+    ``affected`` are rows beyond a modified z-score of 3.5, gaps over three medians and 5 % of the span, and
+    copies beyond the first. Kinds that affect nothing are left out.
+    """
+    parts = [mad_outliers(df, key, f).agg(F.count(F.lit(1)).alias("affected")).select(F.lit("unusual-numeric").alias("kind"), F.lit(f).alias("field"), "affected") for f in numeric_fields]
+    parts += [temporal_gaps(df, f).agg(F.count(F.lit(1)).alias("affected")).select(F.lit("temporal-gap").alias("kind"), F.lit(f).alias("field"), "affected") for f in temporal_fields]
+    same = duplicates(df, record or df.columns).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("affected"))
+    parts.append(same.select(F.lit("duplicate-records").alias("kind"), F.lit("$").alias("field"), "affected"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("affected > 0")
+
+
+def mixed_types(leaves_: DataFrame) -> DataFrame:
+    """kind, field, types of leaf paths (``documents.leaf_profile``) with more than one type but null."""
+    types = F.filter(F.split("types", ","), lambda t: t != "null")
+    return leaves_.where(F.size(types) > 1).select(F.lit("mixed-types").alias("kind"), F.col("path").alias("field"), F.array_join(types, ",").alias("types"))

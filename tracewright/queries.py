@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     """Import the modules that register queries."""
     from tracewright.functions import function_queries, learned_queries  # noqa: F401
-    from tracewright.operators import compare_queries, contract_queries, document_queries, profile_queries, search_queries, signal_queries, verify_queries  # noqa: F401
+    from tracewright.operators import cleanup_queries, compare_queries, contract_queries, document_queries, profile_queries, search_queries, signal_queries, verify_queries  # noqa: F401
     from tracewright.plans import program_queries  # noqa: F401
     from tracewright.sources import source_queries  # noqa: F401
     from tracewright.streaming import stream_queries  # noqa: F401
