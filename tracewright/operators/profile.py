@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.functions import values as V
-from tracewright.operators.ordered import quantiles
+from tracewright.operators.ordered import quantiles, quantiles_of_counts
 
 #: Patterns that name what a text is, by role.
 TEXT_ROLES = {
@@ -50,13 +50,17 @@ def numbers(df: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def numeric(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Per field: count, extremes, mean, population deviation, quantiles, MAD, IQR, signs."""
+    """Per field: count, extremes, mean, population deviation, quantiles, MAD, IQR, signs.
+
+    Values are counted once; quantiles, and the MAD around them, come from these counts.
+    """
     long = numbers(df, fields)
     v = F.col("value")
     base = long.groupBy("field").agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"), F.count_if(v == 0).alias("zero"), F.count_if(v > 0).alias("positive"), F.count_if(v < 0).alias("negative"))
-    q = quantiles(long, ["field"], "value", {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95})
-    away = long.join(F.broadcast(q.select("field", "median")), "field").select("field", F.abs(v - F.col("median")).alias("value"))
-    mad = quantiles(away, ["field"], "value", {"mad": 0.5})
+    counts = long.where(v.isNotNull()).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    q = quantiles_of_counts(counts, ["field"], "value", {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95})
+    away = counts.join(F.broadcast(q.select("field", "median")), "field").groupBy("field", F.abs(v - F.col("median")).alias("value")).agg(F.sum("n").alias("n"))
+    mad = quantiles_of_counts(away, ["field"], "value", {"mad": 0.5})
     out = base.join(q, "field").join(mad, "field")
     return out.select("field", "n", *[r4(F.col(c)).alias(c) for c in ("min", "max", "mean", "stddev", "p05", "p25", "median", "p75", "p95", "mad")], r4(r4(F.col("p75")) - r4(F.col("p25"))).alias("iqr"), "zero", "positive", "negative")
 
