@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.operators import signal as S
+from tracewright.operators import signal_lists as L
 from tracewright.queries import query, table
 
 _LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER AS line_no FROM documents),
@@ -212,3 +213,28 @@ def _pack(spark, sf_dir):
 @query("signal_findings")
 def _findings(spark, sf_dir):
     return S.findings(_docs(spark, sf_dir), "doc_id")
+
+
+# documents: real texts, whole
+
+#: Novelty of the lines of all documents, byte by byte.
+DOCUMENT_NOVELTY = """WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10)), 1) AS line_no FROM documents),
+n AS (SELECT doc_id, line_no, line, octet_length(encode(line)) AS n, hex(encode(line)) AS h FROM l WHERE NOT regexp_full_match(line, '[\\s\\p{Z}\\x{FEFF}]*')),
+u AS (SELECT doc_id, line_no, n, substr(h, 2 * i - 1, 8) AS g FROM (SELECT *, unnest(range(1, n - 2, CASE WHEN n > 48 THEN 2 ELSE 1 END)) AS i FROM n)),
+v AS (SELECT doc_id, g, min(line_no) AS line_no FROM u GROUP BY ALL),
+w AS (SELECT doc_id, line_no, count(*) AS new FROM v GROUP BY ALL),
+s AS (SELECT doc_id, line_no, count(*) AS sampled FROM u GROUP BY ALL)
+SELECT n.doc_id, n.line_no::BIGINT AS line_no, least(CASE WHEN n < 20 THEN 4500 ELSE 10000 END, coalesce((20000 * coalesce(new, 0) * greatest(0, least(48, n - 7)) + 48 * sampled) // (96 * sampled), 0)) / 10000 AS novelty
+FROM n LEFT JOIN s USING (doc_id, line_no) LEFT JOIN w USING (doc_id, line_no)"""
+
+
+@query("signal_document_novelty", DOCUMENT_NOVELTY)
+def _document_novelty(spark, sf_dir):
+    return S.novelty(_docs(spark, sf_dir), "doc_id").withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query("signal_document_restatements", f"""WITH {_LINES}, w AS (SELECT doc_id, line_no, {_chain()} AS template, list_sort(list_distinct(list_filter(regexp_extract_all(lower(line), '[a-z0-9_]{{3,}}'), lambda x: x NOT IN ({", ".join(f"'{x}'" for x in L.STOP_WORDS)})))) AS t FROM n WHERE NOT blank),
+p AS (SELECT b.doc_id, b.line_no, a.line_no AS earlier, len(list_intersect(a.t, b.t)) AS s, len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)) AS u FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.line_no < b.line_no AND a.template <> b.template AND len(a.t) >= 4 AND len(b.t) >= 4)
+SELECT doc_id, line_no, earlier, round(s / u, 3) AS similarity FROM p WHERE s / u >= 0.64 QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY s / u DESC, earlier) = 1""")
+def _document_restatements(spark, sf_dir):
+    return S.restatements(_docs(spark, sf_dir), "doc_id")
