@@ -31,3 +31,16 @@ def test_rare_deviations_without_spread(spark):
     values = lambda rare: spark.createDataFrame([(i, 7.0 if i >= rare else float(i)) for i in range(20)], "k int, v double")
     assert sorted(map(tuple, P.mad_outliers(values(2), ["k"], "v").collect())) == [(0, 0.0, None), (1, 1.0, None)]
     assert P.mad_outliers(values(6), ["k"], "v").collect() == []  # 70 % are not dominant
+
+
+def test_names_with_dots_are_not_paths(spark):
+    one = lambda flat, inner: spark.sql(f"SELECT 1 AS k, {flat} AS `a.b`, named_struct('b', {inner}, 'c d', 5) AS a")
+    assert [tuple(r) for r in C.nested_changes(one(1, 2), one(3, 2), "k").collect()] == [(1, '["a.b"]', "1", "3")]
+    assert sorted(r["path"] for r in C.leaves(one(1, 2), "k", ["a.b", "a"]).collect()) == ['["a.b"]', "a.b", 'a["c d"]']
+
+
+def test_a_null_that_is_there_changes(spark):
+    a = spark.createDataFrame([(1, None, "x"), (2, "y", None)], "k int, s string, t string")
+    b = spark.createDataFrame([(1, "v", "x"), (2, None, None), (3, None, "z")], "k int, s string, t string")
+    got = {(r["k"], r["path"]): r["status"] for r in C.structural_diff(a, b, "k").collect()}
+    assert got == {(1, "s"): "change", (1, "t"): "same", (2, "s"): "change", (2, "t"): "same", (3, "s"): "add", (3, "t"): "add"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -116,6 +117,11 @@ def order_changed(a: DataFrame, b: DataFrame, key: str, place: str) -> DataFrame
     return inside.crossJoin(across).select((F.col("_x") | F.col("_y")).alias("order_changed"))
 
 
+def _step(name: str, first: bool = False) -> str:
+    """A field in a path: after a dot, or quoted where its name is no plain word, so that ``a.b`` is never field b of a."""
+    return ("" if first else ".") + name if re.fullmatch(r"[A-Za-z_]\w*", name) else '["' + name.replace('"', '\\"') + '"]'
+
+
 def entries(value: Column, kind: T.DataType, path: Column) -> Column:
     """The leaves of a value as an array of (path, value): fields by name, array elements by place, map values by key.
 
@@ -123,7 +129,7 @@ def entries(value: Column, kind: T.DataType, path: Column) -> Column:
     """
     leaf = lambda v: F.array(F.struct(path.alias("path"), v.cast("string").alias("value")))
     if isinstance(kind, T.StructType) and len(kind.fields):
-        inside = F.concat(*[entries(value.getField(f.name), f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields])
+        inside = F.concat(*[entries(value.getField(f.name), f.dataType, F.concat(path, F.lit(_step(f.name)))) for f in kind.fields])
     elif isinstance(kind, T.ArrayType):
         inside = F.flatten(F.transform(value, lambda x, i: entries(x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
         inside = F.when(F.size(value) > 0, inside).otherwise(leaf(F.lit("[]")))
@@ -137,15 +143,15 @@ def entries(value: Column, kind: T.DataType, path: Column) -> Column:
 
 def leaves(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """key, path, value of every leaf of the fields, nested ones included."""
-    every = F.concat(*[entries(F.col(f"`{c}`"), df.schema[c].dataType, F.lit(c)) for c in fields])
+    every = F.concat(*[entries(F.col(f"`{c}`"), df.schema[c].dataType, F.lit(_step(c, True))) for c in fields])
     return df.select(key, F.explode(every).alias("_leaf")).select(key, "_leaf.path", "_leaf.value")
 
 
 def nested_changes(a: DataFrame, b: DataFrame, key: str, ignore: tuple = ()) -> DataFrame:
     """key, path, before, after of every leaf that differs between rows of one key; ``ignore`` holds paths whose leaves, at any depth, do not count."""
-    old, new = (d.select(key, F.struct(*[c for c in d.columns if c != key]).alias(side)) for d, side in ((a, "_a"), (b, "_b")))
+    old, new = (d.select(key, F.struct(*[F.col(f"`{c}`") for c in d.columns if c != key]).alias(side)) for d, side in ((a, "_a"), (b, "_b")))
     both = old.join(new, key).where(~F.to_json("_a").eqNullSafe(F.to_json("_b")))
-    sides = [F.map_from_entries(F.concat(*[entries(F.col(s)[f.name], f.dataType, F.lit(f.name)) for f in both.schema[s].dataType.fields])).alias(s) for s in ("_a", "_b")]
+    sides = [F.map_from_entries(F.concat(*[entries(F.col(s).getField(f.name), f.dataType, F.lit(_step(f.name, True))) for f in both.schema[s].dataType.fields])).alias(s) for s in ("_a", "_b")]
     maps = both.select(key, *sides)
     paths = maps.select(key, "_a", "_b", F.explode(F.array_union(F.map_keys("_a"), F.map_keys("_b"))).alias("path"))
     out = paths.select(key, "path", F.try_element_at("_a", F.col("path")).alias("before"), F.try_element_at("_b", F.col("path")).alias("after"))
@@ -156,10 +162,10 @@ def nested_changes(a: DataFrame, b: DataFrame, key: str, ignore: tuple = ()) ->
 
 
 def structural_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """key, path, status (add, change, remove, same) of every leaf: a full outer join on key and path."""
-    x, y = leaves(a, key, [c for c in a.columns if c != key]), leaves(b, key, [c for c in b.columns if c != key])
-    both = x.withColumnRenamed("value", "_x").join(y.withColumnRenamed("value", "_y"), [key, "path"], "full")
-    status = F.when(F.col("_x").isNull() & F.col("_y").isNull(), "same").when(F.col("_x").isNull(), "add").when(F.col("_y").isNull(), "remove").when(F.col("_x") != F.col("_y"), "change").otherwise("same")
+    """key, path, status (add, change, remove, same) of every leaf: a full outer join on key and path. A null that is there is a value."""
+    x, y = (leaves(d, key, [c for c in d.columns if c != key]).select(key, "path", F.struct("value").alias(s)) for d, s in ((a, "_x"), (b, "_y")))
+    both = x.join(y, [key, "path"], "full")
+    status = F.when(F.col("_x").isNull(), "add").when(F.col("_y").isNull(), "remove").when(F.col("_x.value").eqNullSafe(F.col("_y.value")), "same").otherwise("change")
     return both.select(key, "path", status.alias("status"))
 
 
