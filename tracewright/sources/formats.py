@@ -62,12 +62,14 @@ _SQL_VALUE = re.compile(r"\s*(?:'((?:[^']|'')*)'|([+-]?\d+(?:\.\d+)?(?:[eE][+-]?
 _INSERT = re.compile(r"\b(?:INSERT(?:\s+OR\s+\w+)?|REPLACE)\s+INTO\s+[\"`\[]?([\w.]+)[\"`\]]?\s*\(([^)]*)\)\s*VALUES\s*", re.I)
 
 
+_SET = re.compile(r"\b(?:INSERT(?:\s+OR\s+\w+)?|REPLACE)\s+INTO\s+[\"`\[]?([\w.]+)[\"`\]]?\s+SET\s+", re.I)
+_SET_NAME = re.compile(r"\s*[\"`\[]?(\w+)[\"`\]]?\s*=")
 #: Comments, and quoted texts, in which there are none.
 _NO_SQL = re.compile(r"'(?:[^']|'')*'|/\*.*?\*/|--[^\n]*", re.S)
 
 
 def parse_inserts(text: str) -> list[dict]:
-    """Rows of ``INSERT INTO t (columns) VALUES (...), (...)``; what is no literal is named as an expression."""
+    """Rows of ``INSERT INTO t (columns) VALUES (...), (...)`` and ``INSERT INTO t SET a = 1, ...``; what is no literal is named as an expression."""
     rows = []
     text = _NO_SQL.sub(lambda m: m[0] if m[0][0] == "'" else " ", text)
     for m in _INSERT.finditer(text):
@@ -78,7 +80,7 @@ def parse_inserts(text: str) -> list[dict]:
                 v = _SQL_VALUE.match(text, at)
                 if not v:
                     raise ValueError(f"bad value at {at}")
-                row.append(v[1].replace("''", "'") if v[1] is not None else json.loads(v[2].lstrip("+")) if v[2] else {"NULL": None, "TRUE": True, "FALSE": False}[v[3].upper()] if v[3] else f"[SQL expression: {v[4].strip()}]")
+                row.append(_sql_literal(v))
                 at = v.end()
                 if text[at : at + 1] != ",":
                     break
@@ -87,13 +89,52 @@ def parse_inserts(text: str) -> list[dict]:
                 raise ValueError(f"bad row at {at}")
             rows.append({"table": m[1], "row": dict(zip(names, row, strict=True))})
             at = re.compile(r"\)\s*,?\s*").match(text, at).end()
+    for m in _SET.finditer(text):
+        at, row = m.end(), {}
+        while part := _SET_NAME.match(text, at):
+            v = _SQL_VALUE.match(text, part.end())
+            if not v:
+                raise ValueError(f"bad value at {part.end()}")
+            row[part[1]] = _sql_literal(v)
+            at = v.end()
+            if text[at : at + 1] != ",":
+                break
+            at += 1
+        rows.append({"table": m[1], "row": row})
     return rows
 
 
+def _sql_literal(v: re.Match):
+    if v[1] is not None:
+        return v[1].replace("''", "'")
+    if v[2]:
+        return json.loads(v[2].lstrip("+"))
+    return {"NULL": None, "TRUE": True, "FALSE": False}[v[3].upper()] if v[3] else f"[SQL expression: {v[4].strip()}]"
+
+
 def parse_yaml(text: str):
-    """The first document; plain scalars by YAML 1.2 rules."""
+    """The first document; plain scalars by YAML 1.2 rules. Repeated keys, aliases and tags are errors."""
     import yaml  # gated: not every image has it
 
+    def checked(node) -> None:
+        if isinstance(node, yaml.MappingNode):
+            names = [k.value for k, _ in node.value]
+            if len(set(map(str, names))) < len(names):
+                raise ValueError(f"duplicate key {next(n for n in names if names.count(n) > 1)}")
+            for _, v in node.value:
+                checked(v)
+        elif isinstance(node, yaml.SequenceNode):
+            for v in node.value:
+                checked(v)
+
+    for event in yaml.parse(text, Loader=yaml.BaseLoader):
+        if isinstance(event, yaml.AliasEvent) or getattr(event, "anchor", None):
+            raise ValueError("anchors and aliases are not read")
+        if getattr(event, "tag", None):
+            raise ValueError(f"tag {event.tag} is not read")
+        if isinstance(event, yaml.DocumentEndEvent):
+            break
+    checked(yaml.compose(text, Loader=yaml.BaseLoader) if "\n---" not in text else next(yaml.compose_all(text, Loader=yaml.BaseLoader), None))
     data = next(iter(yaml.load_all(text, Loader=yaml.BaseLoader)), None)
 
     def typed(v):
@@ -113,6 +154,57 @@ def parse_yaml(text: str):
 PARSERS: dict[str, Callable] = {"json": json.loads, "toml": tomllib.loads, "env": parse_env, "sql": parse_inserts, "yaml": parse_yaml}
 
 
+def to_toml(value: dict, above: tuple = ()) -> str:
+    """A record as TOML: plain values first, then tables; nulls, which TOML lacks, are left out."""
+    name = lambda k: k if re.fullmatch(r"[A-Za-z0-9_-]+", k) else json.dumps(k, ensure_ascii=False)
+
+    def plain(v) -> str:
+        if isinstance(v, list):
+            return "[" + ", ".join(plain(x) for x in v if x is not None) + "]"
+        if isinstance(v, dict):
+            return "{" + ", ".join(f"{name(k)} = {plain(x)}" for k, x in v.items() if x is not None) + "}"
+        return json.dumps(v, ensure_ascii=False).replace("\x7f", "\\u007F")
+
+    lines = [f"{name(k)} = {plain(v)}" for k, v in value.items() if v is not None and not isinstance(v, dict)]
+    for k, v in value.items():
+        if isinstance(v, dict):
+            path = (*above, name(k))
+            lines += ["", f"[{'.'.join(path)}]", to_toml(v, path).rstrip("\n")]
+    return "\n".join(lines).strip("\n") + "\n"
+
+
+def to_yaml(value, depth: int = 0) -> str:
+    """A value as YAML in block style; texts that could be read as something else are quoted."""
+    pad = "  " * depth
+
+    def scalar(v) -> str:
+        if isinstance(v, str):
+            bare = re.fullmatch(r"[A-Za-z_/][\w ./-]*", v) and v == v.strip() and v.lower() not in ("true", "false", "null", "yes", "no", "on", "off", "y", "n")
+            return v if bare else json.dumps(v, ensure_ascii=False)
+        return json.dumps(v)
+
+    if isinstance(value, dict) and value:
+        return "".join(f"{pad}{scalar(str(k))}:" + (f"\n{to_yaml(v, depth + 1)}" if isinstance(v, (dict, list)) and v else f" {to_yaml(v)}") for k, v in value.items())
+    if isinstance(value, list) and value:
+        return "".join(f"{pad}-" + (f"\n{to_yaml(v, depth + 1)}" if isinstance(v, (dict, list)) and v else f" {to_yaml(v)}") for v in value)
+    return {"{}": "{}\n", "[]": "[]\n"}.get(json.dumps(value), scalar(value) + "\n")
+
+
+WRITERS: dict[str, Callable] = {"json": lambda v: json.dumps(v, ensure_ascii=False), "toml": to_toml, "yaml": to_yaml}
+
+
+def to_texts(df: DataFrame, kind: str) -> DataFrame:
+    """``text``: every row as a document of a configuration format."""
+    write = WRITERS[kind]
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch({"text": pa.array([write(json.loads(v)) for v in batch.column("v").to_pylist()], pa.string())})
+
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    return df.select(row.alias("v")).mapInArrow(run, "text string")
+
+
 def detect(text: str) -> str:
     """The format of a text: the first of JSON, XML, SQL, TOML, env, CSV, YAML that it can be."""
     head = text.lstrip("﻿ \t\r\n")
