@@ -146,3 +146,12 @@ def test_verify_files_by_position(spark, tmp_path):
     spark.range(0, 400, 1, 5).select(F.when(F.col("id") == 77, "?").otherwise(F.concat(F.lit("N"), "id")).alias("name")).write.parquet(b)
     found = R.verify_files(a, b, spark)
     assert found.verdict == "inconsistent" and [r[POSITION] for r in found.flagged.collect()] == [77]
+
+
+def test_a_guard_is_learned_with_its_rule(spark):
+    rows = [(i, f"nn{i}", None if i % 3 else "yes", None if i % 3 else f"NN{i}", None if i % 3 else "gift") for i in range(90)]
+    pairs = spark.createDataFrame(rows, "k long, name string, member string, _a string, _b string")
+    found = {r.target: r for r in I.infer(pairs, ["k", "name", "member"], {"a": "_a", "b": "_b"})}
+    assert (found["a"].op, found["a"].status) == (Op("stringCase", "a", {"source": "name", "mode": "upper", "domain": "member"}), "exact")
+    assert (found["b"].op, found["b"].status) == (Op("constant", "b", {"value": "gift", "domain": "member"}), "exact")
+    assert run(pairs, [found["b"].op], keep=("k",)).where("b IS NULL").count() == 60

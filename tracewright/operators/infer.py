@@ -294,6 +294,15 @@ def examples(rows: list, inputs: list[str], column: str) -> list[dict]:
     return [{**{p: picked(r, p) for p in inputs}, "_out": r[column]} for r in found]
 
 
+def guarded(ops: list[Op], rows: list[dict], inputs: list[str], most: int = 2) -> list[Op]:
+    """The operators with a guard: an input that is there on just those rows that have an output."""
+    absent = [r for r in rows if r["_out"] is None]
+    if not absent or len(rows) - len(absent) < LEAST:
+        return []
+    guards = [s for s in inputs if all((r[s] is None) == (r["_out"] is None) for r in rows)][:most]
+    return [Op(op.kind, op.target, {**op.params, "domain": g}) for g in guards for op in ops if g not in op.sources()]
+
+
 def evidence(pairs: DataFrame, columns: list[str], targets: list[str], most: int = EVIDENCE) -> list:
     """At most ``most`` rows, by hash, among them one for each output of targets that have few."""
     slim = pairs.select(*[F.col(f"`{c}`") for c in columns])
@@ -330,7 +339,9 @@ def candidates(pairs: DataFrame, inputs: list[str], outputs: dict[str, str]) ->
     known = evidence(pairs, columns, list(outputs.values()))
     tests: list[tuple[str, Op]] = []
     for target, column in outputs.items():
-        tests += [(column, op) for op in proposals(examples(known, inputs, column), inputs, target)]
+        rows = examples(known, inputs, column)
+        found = proposals(rows, inputs, target)
+        tests += [(column, op) for op in found + guarded(found, rows, inputs)]
     slim = pairs.select(*[F.col(f"`{c}`") for c in columns])
     if known:
         sample = interpreted(slim, [tuple(r) for r in known])

@@ -329,3 +329,15 @@ def _weak(spark, sf_dir):
     twice = F.concat("o_orderstatus", "o_orderstatus")
     code = F.when(sevenths, F.lower(twice)).otherwise(twice)
     return _ambiguous(spark, sf_dir, ~sevenths, F.col("code"), {"code": code}).where("strength = 'weak'")
+
+
+# optional targets
+
+
+@query("infer_guarded_rule", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN lower(o_orderpriority) END AS value, 'stringCase' AS op, 'closed' AS domain FROM orders")
+def _guarded(spark, sf_dir):
+    """A target that is there only where an optional field is: the rule is learned with its guard, and run."""
+    closed = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))
+    a = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", closed.alias("closed"))
+    rule = I.infer(a.withColumn("_y", F.when(F.col("closed").isNotNull(), F.lower("o_orderpriority"))), ["o_orderpriority", "closed"], {"value": "_y"})[0]
+    return run(a, [rule.op], keep=("o_orderkey",)).select("o_orderkey", "value", F.lit(rule.op.kind).alias("op"), F.lit(rule.op.params.get("domain")).alias("domain"))
