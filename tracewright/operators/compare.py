@@ -61,6 +61,28 @@ def fields(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("field", status.alias("status"), "type_a", "type_b", "present_a", "present_b")
 
 
+#: A distribution has shifted from this KS statistic, or this divergence, on.
+SHIFTED_KS, SHIFTED_JSD = 0.2, 0.1
+
+
+def shifts(a: DataFrame, b: DataFrame, numeric: list[str] = (), categorical: list[str] = ()) -> DataFrame:
+    """field, kind, before, after, delta, distance, new, lost, shifted: how the values of shared fields moved.
+
+    For numbers: means and the KS statistic; for categories: distinct values and the Jensen-Shannon
+    divergence, with how many values are new and how many are lost. The distance of numbers is null under 30 values on a side.
+    """
+    parts = []
+    for f in numeric:
+        mean = lambda d, n: d.agg(F.avg(F.col(f"`{f}`").cast("double")).alias(n))  # noqa: B023, E731
+        one = mean(a, "x").crossJoin(mean(b, "y")).crossJoin(ks(a, b, f).select("ks"))  # one row each
+        parts.append(one.select(F.lit(f).alias("field"), F.lit("numeric").alias("kind"), r4(F.col("x")).alias("before"), r4(F.col("y")).alias("after"), r4(F.col("y") - F.col("x")).alias("delta"), F.col("ks").alias("distance"), F.lit(0).cast("long").alias("new"), F.lit(0).cast("long").alias("lost"), F.coalesce(F.col("ks") >= SHIFTED_KS, F.lit(False)).alias("shifted")))
+    for f in categorical:
+        counts = _tagged(a, b, f, "string").agg(F.count_if(F.col("a") > 0).alias("x"), F.count_if(F.col("b") > 0).alias("y"), F.count_if(F.col("a") == 0).alias("new"), F.count_if(F.col("b") == 0).alias("lost"))
+        one = counts.crossJoin(jsd(a, b, f))
+        parts.append(one.select(F.lit(f).alias("field"), F.lit("categorical").alias("kind"), F.col("x").cast("double").alias("before"), F.col("y").cast("double").alias("after"), (F.col("y") - F.col("x")).cast("double").alias("delta"), F.col("jsd").alias("distance"), "new", "lost", F.coalesce(F.col("jsd") >= SHIFTED_JSD, F.lit(False)).alias("shifted")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def same(a: Column, b: Column, absolute: float = 0.0, relative: float = 0.0, missing: tuple = (), ignore_order: bool = False, kind: str = "string") -> Column:
     """Equality within tolerance; values of ``missing`` count as null; arrays may ignore order."""
     if missing:

@@ -116,3 +116,14 @@ def _nested_changes(spark, sf_dir):
 UNION ALL SELECT 'string', 3 * count(*), 2, NULL, 0 FROM orders UNION ALL SELECT 'number', 2 * count(*), 3, NULL, 0 FROM orders)""")
 def _structure(spark, sf_dir):
     return P.structure(next(nested(spark, sf_dir)))
+
+
+@query("compare_shifts", f"""WITH {_B}, c AS (SELECT v, sum(x)::DOUBLE AS a, sum(y)::DOUBLE AS b FROM (SELECT o_totalprice AS v, 1 AS x, 0 AS y FROM orders UNION ALL SELECT o_totalprice, 0, 1 FROM b) GROUP BY v),
+r AS (SELECT sum(a) OVER (ORDER BY v) / sum(a) OVER () AS p, sum(b) OVER (ORDER BY v) / sum(b) OVER () AS q FROM c), k AS (SELECT floor(max(abs(p - q)) * 10000 + 0.5) / 10000 AS ks FROM r),
+m AS (SELECT (SELECT avg(o_totalprice) FROM orders) AS x, (SELECT avg(o_totalprice) FROM b) AS y),
+s AS (SELECT v, sum(x)::DOUBLE AS a, sum(y)::DOUBLE AS b FROM (SELECT o_orderstatus AS v, 1 AS x, 0 AS y FROM orders UNION ALL SELECT o_orderstatus, 0, 1 FROM b) GROUP BY v),
+n AS (SELECT a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM s), j AS (SELECT floor(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END / 2 + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END / 2) * 10000 + 0.5) / 10000 AS jsd FROM n)
+SELECT 'o_totalprice' AS field, 'numeric' AS kind, floor(x * 10000 + 0.5) / 10000 AS before, floor(y * 10000 + 0.5) / 10000 AS after, floor((y - x) * 10000 + 0.5) / 10000 AS delta, ks AS distance, 0::BIGINT AS new, 0::BIGINT AS lost, ks >= 0.2 AS shifted FROM m, k
+UNION ALL SELECT 'o_orderstatus', 'categorical', count_if(a > 0)::DOUBLE, count_if(b > 0)::DOUBLE, (count_if(b > 0) - count_if(a > 0))::DOUBLE, any_value(jsd), count_if(a = 0), count_if(b = 0), any_value(jsd) >= 0.1 FROM s, j""")
+def _shifts(spark, sf_dir):
+    return C.shifts(*versions(spark, sf_dir), ["o_totalprice"], ["o_orderstatus"])
