@@ -155,3 +155,11 @@ def test_a_guard_is_learned_with_its_rule(spark):
     assert (found["a"].op, found["a"].status) == (Op("stringCase", "a", {"source": "name", "mode": "upper", "domain": "member"}), "exact")
     assert (found["b"].op, found["b"].status) == (Op("constant", "b", {"value": "gift", "domain": "member"}), "exact")
     assert run(pairs, [found["b"].op], keep=("k",)).where("b IS NULL").count() == 60
+
+
+def test_a_skewed_column_accuses_nobody(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice("abc"), "open" if rng.random() < 0.65 else "shut") for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, a string, y string")
+    found = R.verify(df.select("k", "a"), df.select("k", "y"), ["k"])
+    assert found.verdict == "unverifiable" and found.flagged.count() == 0 and found.clusters["y"].clusters == []

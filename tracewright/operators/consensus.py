@@ -15,10 +15,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.infer import LEAST, Rule, agrees, best_lookup, examples, interpreted, matches_rule, proposals, roots, supports
+from tracewright.operators.infer import LEAST, NEAR, Rule, agrees, best_lookup, examples, interpreted, matches_rule, proposals, roots, supports
 
 #: Rows of a sample, samples, fits on conforming rows, rules of a target.
 SEED_SIZE, RESTARTS, REFITS, MOST_CLUSTERS = 6, 12, 2, 3
+#: Rules that follow how often values come, and so hold on a majority of any skewed column: they need ``NEAR`` of the rows.
+BY_CHANCE = ("constant", "valueMap", "conditional")
 #: Conforming rows that a refit reads, and first rows that suggest rules too.
 REFIT_ROWS, PREFIX = 200, 5
 
@@ -74,7 +76,7 @@ def reservoirs(df: DataFrame, key: list[str], seeds: int = RESTARTS, size: int =
 
 
 def search(pairs: DataFrame, key: list[str], inputs: list[str], target: str, column: str) -> Rule | None:
-    """The rule that most rows of ``pairs`` follow, whatever their share."""
+    """The rule that most rows of ``pairs`` follow, whatever their share; constants and lookups only from four of five rows on."""
     columns = list(dict.fromkeys([*key, *roots(pairs, inputs), column]))
     slim = pairs.select(*[F.col(f"`{c}`") for c in columns])
     n = slim.count()
@@ -98,9 +100,8 @@ def search(pairs: DataFrame, key: list[str], inputs: list[str], target: str, col
         more = _refitted(slim, ranked[:2], key, inputs, target, column, {repr(r.op) for r in ranked})
         ranked = sorted(ranked + _counted(slim, more, target), key=_order)
     mapped = best_lookup(slim, inputs, target, column)
-    if mapped and (not ranked or mapped.matches > ranked[0].matches):
-        return mapped
-    return ranked[0] if ranked and ranked[0].matches else None
+    every = sorted([*ranked, *([mapped] if mapped else [])], key=_order)
+    return next((r for r in every if r.matches and (r.op.kind not in BY_CHANCE or r.matches >= NEAR * n)), None)
 
 
 def _order(rule: Rule):
