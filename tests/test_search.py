@@ -163,3 +163,25 @@ def test_a_skewed_column_accuses_nobody(spark):
     df = spark.createDataFrame(rows, "k long, a string, y string")
     found = R.verify(df.select("k", "a"), df.select("k", "y"), ["k"])
     assert found.verdict == "unverifiable" and found.flagged.count() == 0 and found.clusters["y"].clusters == []
+
+
+def test_copies_of_rows_do_not_crowd_out_the_evidence(spark):
+    """Each row 60 times: the first 200 by hash are copies of a few, and none of them may lack the optional field."""
+    rows = [(f"P{i % 5}", float(i) if i % 2 else None) for i in range(400)]
+    pairs = spark.createDataFrame(rows, "name string, member double").crossJoin(spark.range(60)).drop("id")
+    pairs = pairs.withColumn("_y", F.when(F.col("member").isNotNull(), F.lower("name")))
+    known = I.evidence(pairs, ["name", "member", "_y"], ["_y"])
+    assert len(known) == len({tuple(r) for r in known}) == I.EVIDENCE and any(r["_y"] is None for r in known)
+    rule = I.infer(pairs, ["name", "member"], {"y": "_y"})[0]
+    assert rule.status == "exact" and rule.op.kind == "stringCase" and rule.op.params["domain"] == "member"
+
+
+def test_an_exact_rule_spares_the_others(spark, monkeypatch):
+    counted = []
+    supports = I.supports
+    monkeypatch.setattr(I, "supports", lambda pairs, tests, most=24: counted.append(len(tests)) or supports(pairs, tests, most))
+    pairs = spark.createDataFrame([(i, i * 2, f"n{i}", f"N{i}") for i in range(1, 300)], "k long, a long, b string, c string").withColumns({"_x": F.col("k") * 3, "_z": F.upper("b")})
+    found = I.infer(pairs, ["k", "a", "b", "c"], {"x": "_x", "z": "_z"})
+    assert [(r.status, r.matches) for r in found] == [("exact", 299)] * 2 and counted[-2:] == [2, 0]
+    every = I.candidates(pairs, ["k", "a", "b", "c"], {"x": "_x", "z": "_z"})
+    assert [repr(r.op) for r in found] == [repr(every[t][0].op) for t in ("x", "z")] and counted[-1] > 2

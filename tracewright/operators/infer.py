@@ -304,37 +304,77 @@ def guarded(ops: list[Op], rows: list[dict], inputs: list[str], most: int = 2) -
 
 
 def evidence(pairs: DataFrame, columns: list[str], targets: list[str], most: int = EVIDENCE) -> list:
-    """At most ``most`` rows, by hash, among them one for each output of targets that have few."""
+    """At most ``most`` distinct rows, by hash, among them one for each output of targets that have few.
+
+    Equal rows hash alike and come together: where the first ones repeat, the lowest distinct hashes are
+    looked up, so that copies of a row do not crowd out others.
+    """
     slim = pairs.select(*[F.col(f"`{c}`") for c in columns])
     plain = [c for c in columns if slim.schema[c].dataType.typeName() not in ("map", "variant")]
     draw = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
-    rows = {repr(r): r for r in slim.orderBy(draw).limit(most).collect()}
+    head = slim.orderBy(draw).limit(most).collect()
+    rows, full = {repr(r): r for r in head}, len(head) == most
+    if full and len(rows) < most and len(plain) == len(columns):
+        lowest = [r["_h"] for r in slim.select(draw.alias("_h")).distinct().orderBy("_h").limit(most).collect()]
+        rows = {repr(r): r for r in _one_each(slim, draw, draw <= F.lit(lowest[-1]))}
     few = [t for t in targets if slim.schema[t].dataType.typeName() not in ("array", "struct", "map", "variant")]
-    if len(rows) == most and few:
+    if full and few:
         # the outputs seen so far are known: only targets with few of them can have rare ones
         few = [t for t in few if len({r[t] for r in rows.values()}) <= RARE * most]
-    if len(rows) == most and few:
-        row = F.struct(*[F.col(f"`{c}`") for c in columns])
-        one = [slim.groupBy(F.lit(t).alias("_t"), F.col(f"`{t}`").cast("string").alias("_v")).agg(F.min_by(row, draw).alias("_r")) for t in few]
-        for found in one:
-            rare = found.limit(int(RARE * most) + 1).collect()
-            if len(rare) <= RARE * most:
-                extra = {repr(r["_r"]): r["_r"] for r in rare}
-                rows = extra | dict(list({k: v for k, v in rows.items() if k not in extra}.items())[: most - len(extra)])
+    if full and few:
+        each = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"`{t}`").cast("string").alias("v")) for t in few])).alias("x")
+        lowest = slim.select(each, draw.alias("_h")).groupBy("x.t", "x.v").agg(F.min("_h").alias("_h")).persist()
+        try:
+            rare = [r["t"] for r in lowest.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= int(RARE * most)).collect()]
+            of = {t: [r["_h"] for r in lowest.where(F.col("t") == t).collect()] for t in sorted(rare, key=few.index)}
+        finally:
+            lowest.unpersist()
+        hashes = sorted({h for hs in of.values() for h in hs})
+        found = {r["_h"]: r["_r"] for r in _by_hash(slim, draw, draw.isin(hashes)).collect()} if hashes else {}
+        for hs in of.values():
+            extra = {repr(found[h]): found[h] for h in hs}
+            rows = extra | dict(list({k: v for k, v in rows.items() if k not in extra}.items())[: most - len(extra)])
     return list(rows.values())
 
 
+def _by_hash(slim: DataFrame, draw, which) -> DataFrame:
+    """One row of each hash among those wanted."""
+    row = F.struct(*[F.col(f"`{c}`") for c in slim.columns])
+    return slim.where(which).groupBy(draw.alias("_h")).agg(F.first(row).alias("_r"))
+
+
+def _one_each(slim: DataFrame, draw, which) -> list:
+    return [r["_r"] for r in _by_hash(slim, draw, which).orderBy("_h").collect()]
+
+
 def infer(pairs: DataFrame, inputs: list[str], outputs: dict[str, str]) -> list[Rule]:
     """A rule for each target of ``outputs`` (target path -> column of ``pairs``).
 
-    Of rules that hold as well the cheapest is chosen (``weight``). Where no operator holds on almost
+    Of rules that hold as well the cheapest is chosen (``weight``). The cheapest one that all evidence
+    bears out is counted first: if it is exact, no other can be chosen, as a cheaper one already fails on some
+    row. Only the targets left count all their candidates. Where no operator holds on almost
     all rows, lookups by every source that repeats are counted over the whole batch, and the best taken.
     """
-    return [found[0] if found else Rule(target, None, "none") for target, found in candidates(pairs, inputs, outputs).items()]
+    slim, tests = _hopeful(pairs, inputs, outputs)
+    first = {}
+    for column, op, sure in tests:
+        if sure:
+            first.setdefault(op.target, []).append((weight(op), repr(op), column, op))
+    first = {target: min(ops, key=lambda o: o[:2])[2:] for target, ops in first.items()}
+    exact = {op.target: Rule(op.target, op, "exact", m, n) for (_, op), (m, n) in zip(first.values(), supports(slim, list(first.values())), strict=True) if n and m == n}
+    rest = {t: c for t, c in outputs.items() if t not in exact}
+    others = _counted(slim, inputs, rest, [(c, op) for c, op, _ in tests if op.target in rest])
+    return [exact.get(t) or (others[t][0] if others[t] else Rule(t, None, "none")) for t in outputs]
 
 
 def candidates(pairs: DataFrame, inputs: list[str], outputs: dict[str, str]) -> dict[str, list[Rule]]:
     """All rules that hold on four of five rows, of each target, the best first."""
+    slim, tests = _hopeful(pairs, inputs, outputs)
+    return _counted(slim, inputs, outputs, [(c, op) for c, op, _ in tests])
+
+
+def _hopeful(pairs: DataFrame, inputs: list[str], outputs: dict[str, str]) -> tuple[DataFrame, list[tuple[str, Op, bool]]]:
+    """The columns that matter, and the proposals worth counting: (output column, operator, whether all evidence bears it out)."""
     columns = list(dict.fromkeys([*roots(pairs, inputs), *outputs.values()]))
     known = evidence(pairs, columns, list(outputs.values()))
     tests: list[tuple[str, Op]] = []
@@ -343,9 +383,14 @@ def candidates(pairs: DataFrame, inputs: list[str], outputs: dict[str, str]) ->
         found = proposals(rows, inputs, target)
         tests += [(column, op) for op in found + guarded(found, rows, inputs)]
     slim = pairs.select(*[F.col(f"`{c}`") for c in columns])
-    if known:
-        sample = interpreted(slim, [tuple(r) for r in known])
-        tests = [t for t, (m, n) in zip(tests, supports(sample, tests, 300), strict=True) if m >= HOPE * n]
+    if not known:
+        return slim, [(*t, False) for t in tests]
+    sample = interpreted(slim, [tuple(r) for r in known])
+    return slim, [(*t, m == n) for t, (m, n) in zip(tests, supports(sample, tests, 300), strict=True) if m >= HOPE * n]
+
+
+def _counted(slim: DataFrame, inputs: list[str], outputs: dict[str, str], tests: list[tuple[str, Op]]) -> dict[str, list[Rule]]:
+    """The rules of each target that hold on four of five rows of the whole batch, the best first."""
     results = list(zip(tests, supports(slim, tests), strict=True))
     out, sizes = {}, None
     for target, column in outputs.items():
