@@ -185,3 +185,17 @@ def test_an_exact_rule_spares_the_others(spark, monkeypatch):
     assert [(r.status, r.matches) for r in found] == [("exact", 299)] * 2 and counted[-2:] == [2, 0]
     every = I.candidates(pairs, ["k", "a", "b", "c"], {"x": "_x", "z": "_z"})
     assert [repr(r.op) for r in found] == [repr(every[t][0].op) for t in ("x", "z")] and counted[-1] > 2
+
+
+def test_numbering_moves_no_file_into_one_task(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(1000).repartition(2).write.parquet(path)
+    plan = numbered(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    plain = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = numbered(spark, path)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", plain)

@@ -22,7 +22,7 @@ def numbered(spark: SparkSession, path: str, columns: list[str] | None = None) -
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     bases = files.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
     rows = df.select(place["file_path"].alias("_file"), place["row_index"].alias("_index"), *[F.col(f"`{c}`") for c in columns or df.columns])
-    out = rows.join(bases, "_file")
+    out = rows.join(F.broadcast(bases), "_file")  # a join by file would move a whole file's rows into one task
     return out.select((F.col("_base") + F.col("_index")).alias(POSITION), *[F.col(f"`{c}`") for c in columns or df.columns])
 
 
