@@ -69,3 +69,21 @@ def test_comments_inside_quotes_stay(spark, tmp_path):
     assert [r["row"]["a"] for r in formats.parse_inserts(text)] == ["x -- y", "/* z */"]
     (tmp_path / "d.sql").write_text(text)
     assert formats.read_inserts(spark, str(tmp_path / "d.sql")).count() == 2
+
+
+def test_splits_grow_with_the_files(spark, tmp_path, monkeypatch):
+    from tracewright.sources import source_queries as Q
+
+    (tmp_path / "a.csv").write_bytes(b"x" * 400_000)
+    size = lambda: int(Q._small_splits(spark, f"file://{tmp_path}").conf.get("spark.sql.files.maxPartitionBytes"))
+    assert size() == Q.SPLIT
+    monkeypatch.setattr(Q, "SPLITS", 4)
+    assert size() == 100_000
+
+
+def test_csv_query_gives_every_row(spark):
+    from tracewright.sources import source_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    want = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("string(doc_id)", "nullif(text, '')", "lang")
+    assert sorted(map(repr, map(tuple, Q._csv(spark, sf).collect()))) == sorted(map(repr, map(tuple, want.collect())))
