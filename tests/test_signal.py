@@ -103,6 +103,31 @@ def test_restatement_of_repeated_lines(spark):
     assert sorted((r["line_no"], r["earlier"], r["similarity"]) for r in rows) == [(2, 1, 0.857), (3, 1, 0.857), (4, 2, 0.857)]
 
 
+def test_restatements_of_long_lines_move_no_words_by_prefix(spark):
+    words = [f"w{i:04d}" for i in range(300)]
+    text = "\n".join([" ".join(words), "Note: " + " ".join(words), " ".join(reversed(words[:250])), " ".join(f"u{i:04d}" for i in range(300))])
+    found = S.restatements(S.lines(frame(spark, text), "d"), "d")
+    assert sorted((r["line_no"], r["earlier"], r["similarity"]) for r in found.collect()) == [(2, 1, 0.997), (3, 1, 0.833)]
+    # a row for each word of a prefix carries numbers only
+    text_plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" not in text_plan and "_w#" not in text_plan
+
+
+def test_restatements_find_every_pair(spark):
+    import random
+
+    r = random.Random(5)
+    pool = [f"{'abcdefgh'[i % 8] * (3 + i % 5)}{i}" for i in range(14)]
+    said = [" ".join(r.sample(pool, r.randint(3, 9))) + (" -" if i % 2 else "") for i in range(70)]
+    rows = S.restatements(S.lines(frame(spark, "\n".join(said)), "d"), "d").collect()
+    want, sets = {}, [set(x.replace(" -", "").split()) for x in said]
+    for i, t in enumerate(sets):
+        near = [(len(t & u) / len(t | u), -j) for j, u in enumerate(sets[:i]) if said[j] != said[i] and min(len(t), len(u)) >= 4]
+        if near and max(near)[0] >= 0.64:
+            want[i + 1] = (1 - max(near)[1], round(max(near)[0], 3))
+    assert len(want) > 10 and {x["line_no"]: (x["earlier"], x["similarity"]) for x in rows} == want
+
+
 def test_empty_table_and_pack(spark):
     none = S.lines(spark.createDataFrame([], "d int, text string, line string, tpl string"), "d")
     assert S.findings(none, "d").count() == S.modes(none, "d").count() == S.restatements(none, "d").count() == S.novelty_evicting(none, "d").count() == 0
