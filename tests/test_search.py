@@ -199,3 +199,16 @@ def test_numbering_moves_no_file_into_one_task(spark, tmp_path):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", plain)
+
+
+def test_arrays_of_one_type_are_compared_without_json(spark):
+    rows = [(1, [1, 2], ["1", "2"], [(1, None)]), (2, None, None, None), (3, [3, None], ["3", None], [(3, "x")]), (4, [4], ["5"], [(4, "y")])]
+    df = spark.createDataFrame(rows, "k int, a array<int>, s array<string>, r array<struct<p:int,m:string>>")
+    a, renamed = F.col("a"), F.transform("r", lambda x: F.struct(x["p"].alias("q"), x["m"].alias("m")))
+    got = df.select(
+        I.same(a, "a", df).alias("equal"), I.same(F.reverse("a"), "a", df).alias("turned"), I.same(a.cast("array<bigint>"), "a", df).alias("wider"), I.same(a.cast("array<string>"), "s", df).alias("texts"),
+        I.same(F.col("r"), "r", df).alias("records"), I.same(renamed, "r", df).alias("renamed"), I.same(F.when(F.col("k") < 3, F.col("r")), "r", df).alias("missing"),
+    ).collect()
+    assert [tuple(r) for r in got] == [(True, False, True, True, True, False, True), (True,) * 7, (True, False, True, True, True, False, False), (True, True, True, False, True, False, False)]
+    plan = lambda c: df.select(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "<=>" in plan(I.same(F.reverse("a"), "a", df)) and "<=>" not in plan(I.same(a.cast("array<bigint>"), "a", df))

@@ -245,10 +245,18 @@ def same(value, column: str, df: DataFrame | None = None):
     kind = df.schema[column].dataType.typeName() if df is not None and column in df.columns else ""
     wanted = F.col(f"`{column}`")
     if kind in ("array", "struct", "map"):
-        return F.coalesce(_json(value) == _json(wanted), value.isNull() & wanted.isNull())
+        equal = F.coalesce(_json(value) == _json(wanted), value.isNull() & wanted.isNull())
+        # equal values of one type have equal JSON: only the others are written as JSON
+        return F.when(value.eqNullSafe(wanted), F.lit(True)).otherwise(equal) if _comparable(value, column, df) else equal
     return F.coalesce(value.try_cast("string") == wanted.cast("string"), value.isNull() & wanted.isNull()) | F.coalesce((value.try_cast("double") == wanted.try_cast("double")), F.lit(False))
 
 
+def _comparable(value, column: str, df: DataFrame) -> bool:
+    """Whether a value has just the type of a column, and one that can be compared (maps cannot)."""
+    kind = df.schema[column].dataType.simpleString()
+    return not any(t in kind for t in ("map<", "variant")) and df.select(value.alias("v")).schema["v"].dataType.simpleString() == kind
+
+
 def _json(value):
     """JSON with keys in order, whole numbers alike whatever their type; null for null."""
     return F.when(value.isNotNull(), F.to_json(F.try_parse_json(F.to_json(F.struct(value.alias("v"))))))
