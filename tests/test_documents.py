@@ -89,3 +89,18 @@ def test_learned_contract(spark):
     assert [tuple(r) for r in K.check_paths(k, a, other.where("k <> 9")).orderBy("k").collect()] == [(5, "out.v", "9.5", "-1"), (9, "$", "row", None)]
     unruly = K.learn(a, a.select("k", F.xxhash64("k").alias("h")), ["k"])
     assert unruly.unexplained == ["h"] and unruly.contract.status == "review_required"
+
+
+def test_nodes_are_made_in_one_pass(spark):
+    """No level reads the documents again; what hides its depth (an array of several types) is still taken apart whole."""
+    df = spark.createDataFrame([(1, '{"a":{"b":[{"c":1}]},"e":{},"f":[]}'), (2, "[1]"), (3, None), (4, "7")], "k int, doc string")
+    found = D.nodes(df, ["k"], "doc")
+    assert {(r["k"], r["at"], r["above"], r["type"], r["text"]) for r in found.collect()} == {
+        (1, "$", None, "object", None), (1, "$.a", "$", "object", None), (1, "$.a.b", "$.a", "array", None), (1, "$.a.b[0]", "$.a.b", "object", None), (1, "$.a.b[0].c", "$.a.b[0]", "integer", "1"),
+        (1, "$.e", "$", "object", None), (1, "$.f", "$", "array", None), (2, "$", None, "array", None), (2, "$[0]", "$", "integer", "1"), (4, "$", None, "integer", "7"),
+    }
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    mixed = spark.createDataFrame([(1, '{"a":[1,{"b<":[[{"VARIANT":{"`<x":null}}]]}]}')], "k int, doc string")
+    assert D.nodes(mixed, ["k"], "doc").where("type = 'null'").first()["at"] == '$.a[1]["b<"][0][0].VARIANT["`<x"]'
+    rows = {r["path"]: tuple(r)[1:] for r in D.leaf_profile(found).collect()}
+    assert rows == {"$": ("integer", 1, 1, 0, 0, 0), "$[]": ("integer", 1, 1, 0, 0, 0), "$.a.b[].c": ("integer", 1, 1, 0, 0, 0)}

@@ -1,8 +1,8 @@
 """Documents of any shape: their nodes, leaves, record sets and schema.
 
 A document is a VARIANT (``parsed`` makes one of JSON text or of a typed row). Its nodes are taken
-apart level by level with ``variant_explode``; a level's rows are all documents' nodes of that depth, so a
-deep or wide document is spread like any other rows. Every further step is a count of nodes by path.
+apart level by level with ``variant_explode``: each level adds its nodes to the same flow of rows, so that all are
+made in one pass. Every further step is a count of nodes by path.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Levels that are taken apart at most; a document that is deeper is an error, not cut.
@@ -29,20 +29,30 @@ def parsed(column: Column | str, kind: str) -> Column:
     return F.try_parse_json(c) if kind == "string" else c if kind == "variant" else F.to_variant_object(c)
 
 
+#: Types by the first letters of a variant's own type; numbers, which are not here, are told apart by their value.
+_KINDS = {"OBJ": "object", "ARR": "array", "VOI": "null", "BOO": "boolean", "BIG": "integer", "STR": "string", "DAT": "string", "TIM": "string", "BIN": "string", "UUI": "string"}
+
+
 def _type(value: Column) -> Column:
-    """The JSON type of a variant; whole numbers are integers, whatever digits they are written with."""
-    kind = F.schema_of_variant(value)
+    """The JSON type of a variant; whole numbers are integers, whatever digits they are written with.
+
+    The variant's own type is named once: Spark evaluates it at each mention, and for a record it is its whole schema.
+    """
     whole = F.try_variant_get(value, "$", "double")
-    number = F.when(whole == F.floor(whole), "integer").otherwise("number")
-    return (
-        F.when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind == "VOID", "null")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind == "BIGINT", "integer")
-        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), number)
-        .otherwise("string")
-    )
+    known = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
+    number = F.when(whole == F.floor(whole), "integer").when(whole.isNotNull(), "number").otherwise("string")
+    return F.coalesce(F.try_element_at(known, F.substring(F.schema_of_variant(value), 1, 3)), number)
+
+
+def _depth(root: DataFrame) -> tuple[int, bool]:
+    """How deep records and arrays are nested at least, and whether that is sure: an array of several types hides what it holds."""
+    kinds = root.select(F.schema_of_variant("value").alias("k"))
+    plain = F.when(F.contains("k", F.lit("`")), F.regexp_replace("k", "`(?:[^`]|``)*`", "")).otherwise(F.col("k"))  # names that are not plain are quoted
+    shapes = kinds.select(F.regexp_replace(plain, "[^<>]+", "").alias("s"), F.contains("k", F.lit("VARIANT")).alias("v")).distinct()
+    step = lambda a, c: F.when(c == "<", F.struct((a["now"] + 1).alias("now"), F.greatest(a["most"], a["now"] + 1).alias("most"))).otherwise(F.struct((a["now"] - F.when(c == ">", 1).otherwise(0)).alias("now"), a["most"].alias("most")))
+    most = F.reduce(F.split("s", ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
+    row = shapes.agg(F.max(most).alias("d"), F.coalesce(F.max("v"), F.lit(False)).alias("v")).first()
+    return row["d"] or 0, not row["v"]
 
 
 def _step(key: Column) -> Column:
@@ -58,41 +68,52 @@ def nodes(df: DataFrame, key: list[str], column: str) -> DataFrame:
     kind = df.schema[column].dataType.typeName()
     doc = parsed(F.col(f"`{column}`"), kind if kind in ("string", "variant") else "struct")
     root = df.select(*[F.col(f"`{k}`") for k in key], doc.alias("value")).where("value IS NOT NULL")
-    level = root.select(*key, F.lit("$").alias("at"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("above"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("depth"), _type(F.col("value")).alias("type"), "value")
-    out, depth = level, 0
-    while not (inner := level.where("type IN ('object', 'array')")).isEmpty():
-        depth += 1
-        if depth > DEEPEST:
+    out = root.select(*key, F.lit("$").alias("at"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("above"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("depth"), _type(F.col("value")).alias("type"), "value")
+    (least, sure), depth = _depth(root), 0
+    while depth < least or not sure and not out.where((F.col("depth") == depth) & F.col("type").isin("object", "array")).isEmpty():
+        if depth == DEEPEST:
             raise ValueError(f"a document is deeper than {DEEPEST} levels")
-        held = inner.select(*key, F.col("at").alias("above"), F.col("path").alias("_path"), F.col("value").alias("_whole"))
-        each = held.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_whole").outer()))
-        field_, index = _step(F.col("key")), F.col("pos").cast("string")
-        step = F.when(F.col("key").isNotNull(), field_).otherwise(F.concat(F.lit("["), index, F.lit("]")))
-        wild = F.when(F.col("key").isNotNull(), field_).otherwise(F.lit("[]"))
-        level = each.select(*key, F.concat("above", step).alias("at"), F.concat("_path", wild).alias("path"), "above", F.col("key").alias("name"), F.lit(depth).alias("depth"), _type(F.col("value")).alias("type"), "value")
-        out = out.unionByName(level)
+        out, depth = _opened(out, key, depth), depth + 1
     text = F.when(~F.col("type").isin("object", "array", "null"), F.try_variant_get("value", "$", "string"))
     return out.select(*key, "at", "path", "above", "name", "depth", "type", text.alias("text"), "value")
 
 
+def _opened(level: DataFrame, key: list[str], depth: int) -> DataFrame:
+    """All nodes to a depth, and what the records and arrays of that depth hold: one flow of rows, read once."""
+    inside = F.when((F.col("depth") == depth) & F.col("type").isin("object", "array"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    held = level.withColumn("_in", F.explode(inside)).withColumnRenamed("value", "_whole").withColumn("_opened", F.when(F.col("_in"), F.col("_whole")))
+    each = held.lateralJoin(level.sparkSession.tvf.variant_explode_outer(F.col("_opened").outer())).where("NOT _in OR pos IS NOT NULL")
+    field_, index = _step(F.col("key")), F.col("pos").cast("string")
+    step = F.when(F.col("key").isNotNull(), field_).otherwise(F.concat(F.lit("["), index, F.lit("]")))
+    wild = F.when(F.col("key").isNotNull(), field_).otherwise(F.lit("[]"))
+    made = {
+        "at": F.concat("at", step), "path": F.concat("path", wild), "above": F.col("at"), "name": F.col("key"), "depth": F.lit(depth + 1), "type": _type(F.col("value")), "value": F.col("value"),
+    }
+    kept = {name: F.col("_whole" if name == "value" else name) for name in made}
+    return each.select(*[F.col(k) for k in key], *[F.when(F.col("_in"), new).otherwise(kept[name]).alias(name) for name, new in made.items()])
+
+
 def leaf_profile(found: DataFrame, records: int | None = None) -> DataFrame:
     """path, types, records, present, null, empty, whitespace of each leaf path of ``nodes``.
 
     ``records`` are the places where the leaf could be: the records at its parent's path (rows for
     leaves of documents themselves). Arrays and records are no leaves.
     """
-    parents = found.where("type IN ('object', 'array')").groupBy("path").agg(F.count_if(F.expr("type = 'object'")).alias("records"))
-    leaves = found.where("type NOT IN ('object', 'array')").withColumn("parent", F.regexp_replace("path", r"(\[\]|\.\w+|\[\"(?:[^\"\\]|\\.)*\"\])$", ""))
-    stats = leaves.groupBy("path", "parent").agg(
+    counts = found.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("type = 'string' AND text = ''")).alias("empty"), F.count_if(F.col("text").rlike(r"^\s+$")).alias("whitespace"))
+    # from here on a row for each path and type
+    inner = F.col("type").isin("object", "array")
+    parent = F.when(inner, F.col("path")).otherwise(F.regexp_replace("path", r"(\[\]|\.\w+|\[\"(?:[^\"\\]|\\.)*\"\])$", ""))
+    held = F.sum(F.when(F.col("type") == "object", F.col("n")).when(F.col("type") == "array", 0)).over(Window.partitionBy("_parent"))
+    stats = counts.withColumn("_parent", parent).withColumn("_held", held).where(~inner).groupBy("path").agg(
         F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"),
-        F.count(F.lit(1)).alias("present"),
-        F.count_if(F.expr("type = 'null'")).alias("null"),
-        F.count_if(F.expr("type = 'string' AND text = ''")).alias("empty"),
-        F.count_if(F.col("text").rlike(r"^\s+$")).alias("whitespace"),
+        F.max("_held").alias("_held"),
+        F.sum("n").alias("present"),
+        F.sum(F.when(F.col("type") == "null", F.col("n")).otherwise(0)).alias("null"),
+        F.sum("empty").alias("empty"),
+        F.sum("whitespace").alias("whitespace"),
     )
-    both = stats.join(parents.withColumnRenamed("path", "parent"), "parent", "left")
-    places = F.when(F.col("path").endswith("[]"), F.col("present")).otherwise(F.coalesce("records", "present"))
-    return both.select("path", "types", places.alias("records"), "present", "null", "empty", "whitespace")
+    places = F.when(F.col("path").endswith("[]"), F.col("present")).otherwise(F.coalesce("_held", "present"))
+    return stats.select("path", "types", places.alias("records"), "present", "null", "empty", "whitespace")
 
 
 def record_sets(found: DataFrame, key: list[str]) -> DataFrame:
