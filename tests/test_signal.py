@@ -136,3 +136,24 @@ def test_empty_table_and_pack(spark):
     pack = S.evidence_pack(x, "d", pinned=spark.createDataFrame([(0, 2), (0, 11)], "d int, line_no int"), context=1).collect()
     assert {r["line_no"]: r["reasons"] for r in pack} == {1: ["context"], 2: ["pinned"], 3: ["context"], 9: ["context"], 10: ["attention"]}
     assert S.modes(x, "d").first()["mode"] == "stream"
+
+
+def test_novelty_is_of_the_first_line_with_a_gram(spark):
+    """A fold over each text gives what the first line of each four bytes gives, without a row for each of them."""
+    rng = random.Random(7)
+    line = lambda: "".join(rng.choice("aé 😀b") for _ in range(rng.choice((0, 1, 3, 4, 5, 19, 20, 47, 48, 49, 50, 90))))
+    texts = ["\n".join(line() for _ in range(rng.randrange(1, 20))) for _ in range(12)] + ["", "abc", "a" * 49 + "\nb\n" + "a" * 49]
+    x = S.lines(frame(spark, *texts), "d")
+    want = {}
+    for d, text in enumerate(texts):
+        known = set()
+        for i, b in enumerate(t.encode() for t in text.split("\n")):
+            if b.decode().strip():
+                grams = [b[j : j + 4] for j in range(0, len(b) - 3, 2 if len(b) > 48 else 1)]
+                new, reach = len(set(grams) - known), max(0, min(48, len(b) - 7))
+                value = (2 * 10000 * new * reach + 48 * len(grams)) // (2 * 48 * len(grams)) if grams else 0
+                want[d, i + 1] = (min(value, 4500) if len(b) < 20 else value) / 10000
+                known |= set(grams)
+    y = S.novelty(x, "d")
+    assert {(r["d"], r["line_no"]): r["novelty"] for r in y.collect()} == want
+    assert "Generate explode(grams" not in y._jdf.queryExecution().executedPlan().toString()
