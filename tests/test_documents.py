@@ -104,3 +104,14 @@ def test_nodes_are_made_in_one_pass(spark):
     assert D.nodes(mixed, ["k"], "doc").where("type = 'null'").first()["at"] == '$.a[1]["b<"][0][0].VARIANT["`<x"]'
     rows = {r["path"]: tuple(r)[1:] for r in D.leaf_profile(found).collect()}
     assert rows == {"$": ("integer", 1, 1, 0, 0, 0), "$[]": ("integer", 1, 1, 0, 0, 0), "$.a.b[].c": ("integer", 1, 1, 0, 0, 0)}
+
+
+def test_sizes_of_sources_and_maps_in_another_order(spark):
+    from tracewright.operators import infer as I
+
+    df = spark.range(5000).select("id", (F.col("id") % 37).alias("m"), F.lit(None).cast("string").alias("no"), F.expr("map('a', id, 'b', 1)").alias("one"), F.expr("map('b', 1L, 'a', id)").alias("two"), F.expr("map('a', id, 'b', 2L)").alias("three"))
+    sizes = I.source_sizes(df, ["id", "m", "no"])
+    assert sizes[""] == 5000 and sizes["m"] == 37 and sizes["no"] == 0 and abs(sizes["id"] - 5000) < 500
+    assert "hll" not in df.select(I.same(F.col("one"), "two", df))._jdf.queryExecution().toString()
+    got = df.select(I.same(F.expr("map('b', 1L, 'a', id)"), "two", df).alias("x"), I.same(F.expr("map('a', id, 'b', 1L)"), "two", df).alias("y"), I.same(F.col("three"), "two", df).alias("z"), I.same(F.lit(None).cast("map<string,bigint>"), "two", df).alias("n")).distinct().collect()
+    assert [tuple(r) for r in got] == [(True, True, False, False)]

@@ -29,6 +29,8 @@ HOPE = 0.6
 SUPPORT, NEAR, LEAST = 0.95, 0.80, 8
 #: A lookup with an entry for every second row or more has only memorised.
 MEMORISED = 0.5
+#: Registers (2 to this power) of a sketch of distinct values: its error is 1.6 %.
+SKETCH = 12
 #: Entries up to which a lookup is written as a literal map into its rule; it means the same as a table.
 LITERAL = 500
 #: Rare outputs of a target, up to this share of the evidence, have a row of their own in it.
@@ -247,14 +249,20 @@ def same(value, column: str, df: DataFrame | None = None):
     if kind in ("array", "struct", "map"):
         equal = F.coalesce(_json(value) == _json(wanted), value.isNull() & wanted.isNull())
         # equal values of one type have equal JSON: only the others are written as JSON
-        return F.when(value.eqNullSafe(wanted), F.lit(True)).otherwise(equal) if _comparable(value, column, df) else equal
+        alike = _alike_as_they_are(value, column, df)
+        return equal if alike is None else F.when(alike, F.lit(True)).otherwise(equal)
     return F.coalesce(value.try_cast("string") == wanted.cast("string"), value.isNull() & wanted.isNull()) | F.coalesce((value.try_cast("double") == wanted.try_cast("double")), F.lit(False))
 
 
-def _comparable(value, column: str, df: DataFrame) -> bool:
-    """Whether a value has just the type of a column, and one that can be compared (maps cannot)."""
-    kind = df.schema[column].dataType.simpleString()
-    return not any(t in kind for t in ("map<", "variant")) and df.select(value.alias("v")).schema["v"].dataType.simpleString() == kind
+def _alike_as_they_are(value, column: str, df: DataFrame):
+    """Whether a value equals a column of just its type, maps by their entries in order; none if the type cannot be compared."""
+    kind, wanted = df.schema[column].dataType.simpleString(), F.col(f"`{column}`")
+    whole = kind.startswith("map<")
+    if any(t in kind[4 * whole :] for t in ("map<", "variant")) or df.select(value.alias("v")).schema["v"].dataType.simpleString() != kind:
+        return None
+    if whole:
+        value, wanted = (F.array_sort(F.map_entries(m)) for m in (value, wanted))
+    return value.eqNullSafe(wanted)
 
 
 def _json(value):
@@ -320,8 +328,9 @@ def evidence(pairs: DataFrame, columns: list[str], targets: list[str], most: int
     slim = pairs.select(*[F.col(f"`{c}`") for c in columns])
     plain = [c for c in columns if slim.schema[c].dataType.typeName() not in ("map", "variant")]
     draw = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
-    head = slim.orderBy(draw).limit(most).collect()
-    rows, full = {repr(r): r for r in head}, len(head) == most
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    head = slim.withColumn("_h", draw).orderBy("_h").limit(most).select("_h", row.alias("_r")).collect()
+    rows, full = {repr(r["_r"]): r["_r"] for r in head}, len(head) == most
     if full and len(rows) < most and len(plain) == len(columns):
         lowest = [r["_h"] for r in slim.select(draw.alias("_h")).distinct().orderBy("_h").limit(most).collect()]
         rows = {repr(r): r for r in _one_each(slim, draw, draw <= F.lit(lowest[-1]))}
@@ -330,15 +339,19 @@ def evidence(pairs: DataFrame, columns: list[str], targets: list[str], most: int
         # the outputs seen so far are known: only targets with few of them can have rare ones
         few = [t for t in few if len({r[t] for r in rows.values()}) <= RARE * most]
     if full and few:
-        each = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"`{t}`").cast("string").alias("v")) for t in few])).alias("x")
-        lowest = slim.select(each, draw.alias("_h")).groupBy("x.t", "x.v").agg(F.min("_h").alias("_h")).persist()
+        # the hash is made before the outputs are exploded: else each of them hashes the whole row again
+        each = F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"`{t}`").cast("string").alias("v")) for t in few])
+        drawn = slim.select(draw.alias("_h"), each.alias("_x")).select("_h", F.explode("_x").alias("x"))
+        lowest = drawn.groupBy("x.t", "x.v").agg(F.min("_h").alias("_h")).persist()
         try:
             rare = [r["t"] for r in lowest.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= int(RARE * most)).collect()]
             of = {t: [r["_h"] for r in lowest.where(F.col("t") == t).collect()] for t in sorted(rare, key=few.index)}
         finally:
             lowest.unpersist()
-        hashes = sorted({h for hs in of.values() for h in hs})
-        found = {r["_h"]: r["_r"] for r in _by_hash(slim, draw, draw.isin(hashes)).collect()} if hashes else {}
+        found = {r["_h"]: r["_r"] for r in head}  # an output that the lowest hashes have has its own lowest one there
+        hashes = sorted({h for hs in of.values() for h in hs} - found.keys())
+        if hashes:
+            found |= {r["_h"]: r["_r"] for r in _by_hash(slim, draw, draw.isin(hashes)).collect()}
         for hs in of.values():
             extra = {repr(found[h]): found[h] for h in hs}
             rows = extra | dict(list({k: v for k, v in rows.items() if k not in extra}.items())[: most - len(extra)])
@@ -432,8 +445,10 @@ def source_sizes(pairs: DataFrame, inputs: list[str]) -> dict[str, int]:
     """Estimated distinct values of each source that a lookup may go by, and the rows (``""``)."""
     kinds = pairs.select(*[leaf(pairs, s).alias(s) for s in inputs]).schema
     simple = [s for s in inputs if kinds[s].dataType.typeName() not in _DEEP]
-    row = pairs.agg(F.count(F.lit(1)).alias("_n"), *[F.approx_count_distinct(leaf(pairs, s), 0.02).alias(s) for s in simple]).first()
-    return {"": row["_n"], **{s: row[s] for s in simple}}
+    # a sketch is one value; approx_count_distinct at 2 % has some 400 columns for each source, whose code every task writes anew
+    sketch = lambda s: F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(leaf(pairs, s).cast("string"), SKETCH)), F.lit(0))
+    row = pairs.agg(F.count(F.lit(1)).alias("_n"), *[sketch(s).alias(f"_{i}") for i, s in enumerate(simple)]).first()
+    return {"": row["_n"], **{s: row[f"_{i}"] for i, s in enumerate(simple)}}
 
 
 def best_lookup(pairs: DataFrame, inputs: list[str], target: str, column: str, sizes: dict[str, int] | None = None) -> Rule | None:
@@ -446,7 +461,7 @@ def best_lookup(pairs: DataFrame, inputs: list[str], target: str, column: str, s
         return None
     sizes = sizes or source_sizes(pairs, inputs)
     n = sizes[""]
-    slack = 1.2  # the estimate is within 2 % nearly always; the exact count decides below
+    slack = 1.2  # the estimate is within 5 % nearly always; the exact count decides below
     repeating = [s for s in inputs if s in sizes and 2 <= slack * sizes[s] and (sizes[s] <= slack * MEMORISED * n or n < LEAST)]
     if not repeating or not n:
         return None
