@@ -106,6 +106,29 @@ def test_nodes_are_made_in_one_pass(spark):
     assert rows == {"$": ("integer", 1, 1, 0, 0, 0), "$[]": ("integer", 1, 1, 0, 0, 0), "$.a.b[].c": ("integer", 1, 1, 0, 0, 0)}
 
 
+def test_shape_of_typed_rows_is_that_of_their_nodes(spark, monkeypatch):
+    """Typed rows are counted without variants: the same shape, whatever is null, nested, whole or quoted."""
+    from decimal import Decimal
+
+    kind = "k int, t string, few string, n double, d decimal(5,2), f float, b boolean, day date, `a b` int, r struct<x: string, s: struct<y: double, z: array<string>>>, l array<struct<p: bigint, q: array<double>, w: string>>, m array<array<string>>"
+    import datetime
+
+    day = datetime.date(2024, 1, 2)
+    rows = [(i, f"t{i}", "ab"[i % 2], float(i), Decimal("1.00"), 0.5, True, day, None if i == 3 else 1, ("x", (1.0, ["u", None])) if i % 3 else None, [(1, [1.0, float("nan")], "w"), None, (None, None, "v")] if i % 4 else None, [["c"], None, ["d", None]]) for i in range(30)]
+    rows += [(30, None, None, 0.5, Decimal("1.50"), float("inf"), None, None, None, ("x", None), [], None), (31, "t", "a", None, None, 2.0, False, day, 2, (None, (None, [])), [(1, [], None)], [])]
+    df = spark.createDataFrame(rows, kind)
+    columns = df.columns[1:]
+    for part in (df, df.limit(0), df.where("k = 30"), df.where("k IN (3, 31)")):
+        docs = part.select("k", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"))
+        for values in (False, True):
+            wanted = D.shape(D.nodes(docs, ["k"], "_doc"), values).schema(True)
+            assert D.shape_of_rows(part, columns, values).schema(True) == wanted
+    other = df.select("k", F.create_map(F.col("t"), F.col("n")).alias("m")).where("t IS NOT NULL")  # only a variant shows a map's paths
+    assert D.shape_of_rows(other, ["m"]).fields["m"].fields.keys() == {f"t{i}" for i in range(30)} | {"t"}
+    monkeypatch.setattr(D, "nodes", None)
+    assert D.shape_of_rows(df, columns, True).fields["few"].values == ["a", "b"]
+
+
 def test_sizes_of_sources_and_maps_in_another_order(spark):
     from tracewright.operators import infer as I
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.values import iso_date
 from tracewright.operators.compare import rows_keyed
-from tracewright.operators.documents import Shape, nodes, shape, violations
+from tracewright.operators.documents import Shape, nodes, shape_of_rows, violations
 from tracewright.operators.infer import Rule, infer
 from tracewright.plans.program import Op, at, compiled, diagnostics, nested, parse_path
 
@@ -128,9 +128,8 @@ def learn(original: DataFrame, transformed: DataFrame, on: list[str], policy: st
         shown = pairs.select(*[at(p).alias(f"_{i}") for i, p in enumerate(used)])
         row = shown.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"_{i}").alias(f"c{i}") for i in range(len(used))]).first()
         required = {p: shown.schema[f"_{i}"].dataType.simpleString() for i, p in enumerate(used) if row[f"c{i}"] == row["n"]}
-        key = [F.col(f"`{c}`") for c in on]
-        whole = lambda df: nodes(df.select(*key, F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in on]).alias("_doc")), on, "_doc")
-        contract = Contract(program, required, key=list(on), policy=policy, input=shape(whole(original)), output=shape(whole(transformed), values=True))
+        whole = lambda df, **more: shape_of_rows(df, [c for c in df.columns if c not in on], **more)
+        contract = Contract(program, required, key=list(on), policy=policy, input=whole(original), output=whole(transformed, values=True))
         contract.invariants = suggested(contract, original) + [{"kind": "row_count_preserved"}, {"kind": "key_set_preserved"}, {"kind": "key_unique"}] if program else []
         unexplained = [r.target for r in rules if r not in good]
         if unexplained or any(r.status != "exact" for r in good):

@@ -183,12 +183,18 @@ def shape(found: DataFrame, values: bool = False) -> Shape:
     ``MOST_VALUES`` distinct ones are listed.
     """
     counts = shape_counts(found).collect()  # a row for each path and type
-    listed: dict[str, list[str]] = {}
-    if values:
-        texts = found.where("type = 'string'").groupBy("path", "text").agg(F.count(F.lit(1)).alias("n"))
-        few = texts.groupBy("path").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")).where((F.col("d") <= MOST_VALUES) & (F.col("n") >= 2 * F.col("d")))
-        for r in texts.join(few.select("path"), "path").groupBy("path").agg(F.sort_array(F.collect_set("text")).alias("v")).collect():
-            listed[r["path"]] = r["v"]
+    return _shape(counts, _listed(found.where("type = 'string'").select("path", "text")) if values else {})
+
+
+def _listed(texts: DataFrame) -> dict[str, list[str]]:
+    """The texts of each path that has few of them, and each of these twice or more on average."""
+    counts = texts.groupBy("path", "text").agg(F.count(F.lit(1)).alias("n"))
+    few = counts.groupBy("path").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")).where((F.col("d") <= MOST_VALUES) & (F.col("n") >= 2 * F.col("d")))
+    return {r["path"]: r["v"] for r in counts.join(few.select("path"), "path").groupBy("path").agg(F.sort_array(F.collect_set("text")).alias("v")).collect()}
+
+
+def _shape(counts: list, listed: dict[str, list[str]]) -> Shape:
+    """The shape of counts by path and type."""
     by_path: dict[str, Shape] = {}
     records_, there = {}, {}
     for r in counts:
@@ -212,6 +218,78 @@ def shape(found: DataFrame, values: bool = False) -> Shape:
     return by_path.get("$", Shape())
 
 
+#: Spark types whose JSON type needs no variant: it follows from the type, of numbers from their value.
+_PLAIN = {"boolean": "boolean", "byte": "integer", "short": "integer", "integer": "integer", "long": "integer", "float": "number", "double": "number", "decimal": "number", "string": "string", "date": "string"}
+#: Counts in one aggregate, so that it still compiles.
+_COUNTS = 60
+
+
+def shape_of_rows(df: DataFrame, columns: list[str], values: bool = False) -> Shape:
+    """``shape`` of the record that these columns make in each row, read from the typed columns.
+
+    The paths are those of the Spark schema, so an aggregate counts their types and no node is made. Rows
+    with maps, variants or times, whose paths or texts only a variant shows, are taken apart by ``nodes``.
+    """
+    from pyspark.sql.types import ArrayType, StructType
+
+    slim = df.select(*[F.col(f"`{c}`") for c in columns])
+    kinds: list[tuple[str, str | None, str | None, str, Column]] = []  # path, parent, name, type, how many in a row
+    texts: dict[str, tuple[Column, bool]] = {}  # path -> the texts in a row, whether they are an array
+
+    def step(name: str) -> str:
+        return f".{name}" if name.isascii() and name.isidentifier() else '["' + name.replace('"', '\\"') + '"]'
+
+    def walk(path: str, parent: str | None, name: str | None, kind, v: Column, many: bool, held: Column) -> bool:
+        """Counts at a path; ``v`` is its value in a row, there if ``held``, or an array of them. False for a type that is not plain."""
+        number = lambda test: F.size(F.filter(v, test)) if many else (held & test(v)).cast("int")
+        add = lambda t, test: kinds.append((path, parent, name, t, number(test)))
+        there = lambda x: x.isNotNull()
+        add("null", lambda x: x.isNull())
+        if isinstance(kind, StructType):
+            add("object", there)
+            inner = lambda f: F.transform(F.filter(v, there), lambda x: x[f]) if many else v[f]
+            return all([walk(path + step(f.name), path, f.name, f.dataType, inner(f.name), many, held & v.isNotNull()) for f in kind.fields])
+        if isinstance(kind, ArrayType):
+            add("array", there)
+            items = F.flatten(F.filter(v, there)) if many else F.coalesce(v, F.array().cast(kind))
+            return walk(path + "[]", path, None, kind.elementType, items, True, held)
+        plain = _PLAIN.get(kind.typeName())
+        if plain == "number":
+            whole = lambda x: F.coalesce(x.cast("double") == F.floor(x.cast("double")), F.lit(False))
+            add("integer", whole)
+            add("number", lambda x: x.isNotNull() & ~whole(x))
+        elif plain:
+            add(plain, there)
+            if plain == "string":
+                texts[path] = (v.cast("array<string>" if many else "string"), many)
+        return plain is not None
+
+    plain = all([walk("$" + step(c), "$", c, slim.schema[c].dataType, F.col(f"`{c}`"), False, F.lit(True)) for c in columns])
+    if not plain or not columns:
+        return shape(nodes(slim.select(F.struct(*slim.columns).alias("_doc")), [], "_doc"), values)
+    n, found = None, []
+    for at in range(0, len(kinds), _COUNTS):
+        part = kinds[at : at + _COUNTS]
+        row = slim.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c.cast("long")).alias(f"c{i}") for i, (*_, c) in enumerate(part)]).first()
+        n = row["n"]
+        found += [{"path": p, "parent": up, "name": name, "type": t, "n": row[f"c{i}"]} for i, (p, up, name, t, _) in enumerate(part) if row[f"c{i}"]]
+    if not n:
+        return Shape()
+    return _shape([{"path": "$", "parent": None, "name": None, "type": "object", "n": n}, *found], _listed(_few_texts(slim, texts)) if values and texts else {})
+
+
+def _few_texts(slim: DataFrame, texts: dict[str, tuple[Column, bool]]) -> DataFrame:
+    """path, text of the paths that may have few texts: those outside arrays are estimated, as a sketch of few values is nearly exact."""
+    single = [p for p, (_, many) in texts.items() if not many]
+    if single:
+        row = slim.agg(*[F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(texts[p][0])), F.lit(0)).alias(f"d{i}") for i, p in enumerate(single)]).first()
+        texts = {p: v for p, v in texts.items() if v[1] or row[f"d{single.index(p)}"] <= 2 * MOST_VALUES}
+    if not texts:
+        return slim.select(F.lit("").alias("path"), F.lit("").alias("text")).limit(0)
+    held = [F.transform(v if many else F.array(v), lambda x: F.struct(F.lit(p).alias("path"), x.alias("text"))) for p, (v, many) in texts.items()]  # noqa: B023
+    return slim.select(F.inline(F.flatten(F.array(*held)))).where("text IS NOT NULL")
+
+
 def violations(found: DataFrame, key: list[str], wanted: Shape, closed: bool = False) -> DataFrame:
     """The key, ``at``, ``problem``: where documents differ from a schema: wrong type, value not listed, missing or unknown field.
 
