@@ -75,3 +75,25 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert J.linked(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def moved(spark) -> int:
+    """MB that all stages so far have written to shuffles."""
+    none = spark._jvm.java.util.ArrayList
+    stages = spark._jsc.sc().statusStore().stageList(none(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())) / 1e6
+
+
+def test_texts_that_link_with_nothing_do_not_move(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{rng.getrandbits(80):x}" for _ in range(60))) for i in range(3000)]  # 3.8 MB that no compression makes small
+    rows += [(3000 + i, t + " end") for i, (_, t) in enumerate(rows[:30])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved(spark)
+        kept = sorted(r["doc_id"] for r in J.dedup_stage(spark, docs, "").select("doc_id", "text").collect())
+        assert kept == list(range(3000))
+        assert moved(spark) - before < 3  # 1.3 MB of tokens, a few texts
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

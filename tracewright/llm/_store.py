@@ -42,7 +42,7 @@ class Workspace:
     def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
         """A table dealt by a key: joins by that key do not move it."""
         table = f"{name}_{uuid.uuid4().hex}"
-        df.write.bucketBy(buckets, key).option("path", f"{self.folder}/{name}").option("compression", "zstd").saveAsTable(table)
+        df.write.bucketBy(buckets, key).option("path", f"{self.folder}/{table}").option("compression", "zstd").saveAsTable(table)
         self._tables.append(table)
         return self.spark.table(table)
 

@@ -35,6 +35,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tracewright.llm import _text
 from tracewright.llm._store import Workspace, kept
+from tracewright.llm.exact_dedup import _filter
 
 #: A token in more nodes than this is of the frequent class.
 FREQUENT = 8
@@ -194,34 +195,58 @@ def _repeated(ids: DataFrame) -> DataFrame:
     return ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
 
 
-def _texts(docs: DataFrame, ids: DataFrame, groups: DataFrame, k: int, work: Workspace) -> DataFrame:
-    """doc_id, text of the nodes' first documents, one row for each node, bucketed by id: joins by id move no text again."""
-    wanted = groups.where("doc_id is not null").select("doc_id", "node")
-    several = work.keep(wanted.join(_repeated(ids), "doc_id"), "several")
-    alone = wanted.join(several.select("doc_id"), "doc_id", "left_anti").select("doc_id")
+def _maybe(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose id may be one of ``ids(doc_id)``, and all others: a bitmap of the ids goes to the rows, no text moves."""
+    one, may = _filter(ids.select(F.col("doc_id").alias("digest")))
+    told = docs.crossJoin(F.broadcast(one))
+    is_one = F.col("doc_id").isNotNull() & may(F.col("doc_id"))
+    # the id is made from both sides, so that no later join by id is planned below this one, where all texts would move
+    rows = told.withColumn("doc_id", F.when(is_one, F.col("doc_id"))).where("doc_id is not null")
+    return rows.select(*docs.columns), told.where(~is_one).select(*docs.columns)
+
+
+def _texts(docs: DataFrame, several: DataFrame, wanted: DataFrame, k: int, work: Workspace) -> DataFrame:
+    """doc_id, text of the nodes ``wanted(doc_id, node)``, one row for each node, bucketed by id: joins by id move no text again.
+
+    ``several`` has the ids of several rows.
+    """
+    wanted = work.keep(wanted.distinct(), "wanted")
+    rows, _ = _maybe(docs.select("doc_id", "text"), wanted)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # dealt by id before the semi-join, which then moves ids only: every text is shuffled once
-    part = docs.select("doc_id", "text").repartition(n, "doc_id").join(alone, "doc_id", "left_semi")
+    # dealt by id before the semi-join, which then moves ids only: a text is shuffled once
+    part = rows.repartition(n, "doc_id").join(wanted.join(several, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi")
     if not several.isEmpty():
-        rows = docs.select("doc_id", "text").join(several.select("doc_id"), "doc_id", "left_semi")
-        part = part.unionByName(_one_of_each(rows, several, k).repartition(n, "doc_id"))
+        own = work.keep(wanted.join(several, "doc_id"), "several")
+        part = part.unionByName(_one_of_each(rows.join(own.select("doc_id"), "doc_id", "left_semi"), own, k).repartition(n, "doc_id"))
     return work.bucketed(part, "texts", "doc_id", n)
 
 
-def _sets(texts: DataFrame, k: int, percent: int | None = None) -> DataFrame:
-    """doc_id, node, n, tokens of every text: the whole set in hash order, or (with ``percent``) its head."""
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """doc_id, node, n, tokens of every text: the whole set in hash order."""
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for piece in _text.slices(batches):
             sets = token_sets(piece.column("text"), k)
-            own = [s if percent is None else s[: _head(len(s), percent)] for s in sets]
-            tokens = _text.lists(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64), np.cumsum([0, *map(len, own)]))
+            tokens = _text.lists(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64), np.cumsum([0, *map(len, sets)]))
             yield pa.record_batch({"doc_id": piece.column("doc_id"), "node": pa.array([_node(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "tokens": tokens})
 
     return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, node long, n long, tokens array<long>")
 
 
+def _stored(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """token, node of the heads of all texts; those of copies come several times."""
+
+    def run(batches):
+        for piece in _text.slices(batches):
+            sets = {_node(s): s for s in token_sets(piece.column("text"), k)}
+            heads = [s[: _head(len(s), percent)] for s in sets.values()]
+            tokens = np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)
+            yield pa.record_batch({"token": pa.array(tokens), "node": pa.array(np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(h) for h in heads]), pa.int64())})
+
+    return docs.where("doc_id is not null").select("text").mapInArrow(run, "token long, node long")
+
+
 def _prefix(percent: int):
     """Length of the prefix of a set."""
     return F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
@@ -391,15 +416,17 @@ def components(edges: DataFrame, nodes: DataFrame, work: Workspace) -> DataFrame
         state = after.select("node", "label")
 
 
-def _rare(texts: DataFrame, k: int, percent: int, frequent: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Every node (doc_id, node, n, often, deep), and the rare tokens (token, node, n, often, deep) that several nodes store."""
-    heads = work.keep(_sets(texts, k, percent), "heads")
-    stored = heads.select("node", F.explode("tokens").alias("token"))
-    tagged = work.keep(stored.join(stored.groupBy("token").count().where("count > 1"), "token"), "tagged")
+def _rare(docs: DataFrame, groups: DataFrame, k: int, percent: int, frequent: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Every node (doc_id, node, n, often, deep), and the rare tokens (token, node, n, often, deep) that several nodes store.
+
+    Tokens move once: those of one value are told apart by node and counted where they meet.
+    """
+    before = F.lag("node").over(Window.partitionBy("token").orderBy("node"))
+    stored = _stored(docs, k, percent).withColumn("_before", before).where("_before is null or _before <> node").drop("_before")
+    tagged = work.keep(stored.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("count > 1"), "tagged")
     often = tagged.where(F.col("count") > frequent).groupBy("node").agg(F.count(F.lit(1)).alias("_often"))
-    named = heads.select("doc_id", "node", "n").join(often, "node", "left").withColumn("often", F.coalesce("_often", F.lit(0))).drop("_often")
+    named = groups.where("doc_id is not null").select("doc_id", "node", "n").join(often, "node", "left").withColumn("often", F.coalesce("_often", F.lit(0))).drop("_often")
     nodes = work.keep(named.withColumn("deep", F.col("often") > _slack(percent)), "nodes")
-    work.remove(heads)
     return nodes, work.keep(tagged.where(F.col("count") <= frequent).join(nodes, "node").select("token", "node", "n", "often", "deep"), "rare")
 
 
@@ -416,15 +443,17 @@ def _components(docs: DataFrame, k: int, percent: int, frequent: int, large: int
     work = Workspace(docs.sparkSession)
     ids = kept(_ids(docs, k), "ids")
     # where all ids of a node are null, nothing is linked
-    groups = work.keep(ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "groups")
-    texts = _texts(docs, ids, groups, k, work)
-    nodes, rare = _rare(texts, k, percent, frequent, work)
+    groups = work.keep(ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "groups")
+    several = work.keep(_repeated(ids), "several-ids")
+    nodes, rare = _rare(docs, groups, k, percent, frequent, work)
     base = nodes.select("node", F.col("node").alias("label"))  # not ids: one id may be in several components
 
     deep = nodes.where("deep").select("doc_id", "node")
-    sets = work.keep(_sets(texts.join(deep.select("doc_id").distinct(), "doc_id", "left_semi"), k).join(deep.select("node"), "node", "left_semi"), "deep")
+    texts = _texts(docs, several, deep, k, work)
+    sets = work.keep(_sets(texts, k).join(deep.select("node"), "node", "left_semi"), "deep")
+    work.remove(texts)
     each = sets.select("node", "n", F.explode("tokens").alias("token"))
-    tokens = work.keep(each.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("_f")).where("_f > 1"), "token"), "deep-tokens")
+    tokens = work.keep(each.withColumn("_f", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("_f > 1"), "deep-tokens")
     # tokens of one deep node come first in its order and meet nothing
     order = tokens.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("_f", "token"))).alias("_t"), F.count_if(F.col("_f") <= frequent).alias("_rare"))
     room = _prefix(percent) - (F.col("n") - F.size("_t"))
@@ -439,6 +468,8 @@ def _components(docs: DataFrame, k: int, percent: int, frequent: int, large: int
     of = family.join(size, "family").join(nodes.select("node", "n"), "node")
     small = of.where(F.col("count") <= large).select(F.col("family").alias("token"), "node", "n")
     pairs = work.keep(pairs.unionByName(_met(small, percent)).distinct(), "pairs")
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = _texts(docs, several, nodes.join(met, "node", "left_semi").select("doc_id", "node"), k, work)
     edges = work.keep(_compared(pairs, texts, nodes, k, percent), "links")
 
     big = of.where(F.col("count") > large)
@@ -484,10 +515,13 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = nodes.where("doc_id is not null").groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("_f"))
     keep = kept(first.select("_f.doc_id", "_f.node").unionByName(ids.where("n = 0 and doc_id is not null").select("doc_id", "node").distinct()), "survivors")
     several = kept(_repeated(ids), "several")
-    own = docs.join(keep.join(several, "doc_id", "left_anti"), "doc_id", "left_semi")
+    # only rows that may go are joined: an id that is in neither has one row, which stays
+    gone = ids.where("doc_id is not null").join(keep, ["doc_id", "node"], "left_anti").select("doc_id")
+    rows, rest = _maybe(docs, kept(gone.unionByName(several).distinct(), "gone"))
+    own = rows.join(keep.join(several, "doc_id", "left_anti"), "doc_id", "left_semi")
     if not several.isEmpty():
-        own = own.unionByName(_one_of_each(docs.join(several, "doc_id", "left_semi"), keep, 5).select(*own.columns))
-    return own.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+        own = own.unionByName(_one_of_each(rows.join(several, "doc_id", "left_semi"), keep, 5).select(*own.columns))
+    return own.unionByName(rest).select(*docs.columns)
 
 
 OP1_SQL = r"""
