@@ -74,3 +74,20 @@ def test_marked_text_is_evidence_but_no_text(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert sorted(map(tuple, H.extracted(pages).select("page_id", "text", "n_repeated").collect())) == [(i, f"text {i}", 13) for i in (0, 1, 2, 9)]
     assert H.regions(f"a<span class='ad'>buy <b>now</b></span> b<nav><a>x</a><a>y</a></nav><p>c") == [("buy now", H.MARKED), ("a b", H.OPEN), ("x y", H.MARKED), ("c", H.OPEN)]
+
+
+def test_suffixes_do_not_pass_the_driver(spark):
+    """Parts and places grow with the pages: no broadcast has them."""
+    menu = " ".join(f"menu{i}" for i in range(20))
+    rows = [(i, f"http://h.example/{i}", f"<nav>{menu}</nav><article><p>text {i} of its own</p></article>") for i in range(8)]
+    found = H.extracted(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["n_repeated"] for r in found.collect()} == {20}
+    plan, inside = found._jdf.queryExecution().executedPlan().toString().split("\n"), None
+    assert any("Generate" in line for line in plan)
+    for line in plan:
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        if inside is not None and depth <= inside:
+            inside = None
+        if "BroadcastExchange" in line and inside is None:
+            inside = depth
+        assert inside is None or not ("Generate" in line or "collect_set" in line), line

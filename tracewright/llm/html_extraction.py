@@ -444,10 +444,11 @@ def extracted(pages: DataFrame) -> DataFrame:
     parts = found.select("host", "suffix", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     suffix = streams.select("host", "key", "stream").mapInArrow(_places, "host long, suffix long, key binary, place int")
     part = F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")
-    # a set: copies of a page have the same places, and so many copies need no more room than one
-    places = suffix.withColumn("part", part).join(parts, ["host", "suffix", "part"]).groupBy("key").agg(F.collect_set("place").alias("places"))
+    # a set: copies of a page have the same places, and so many copies need no more room than one;
+    # both joins merge: Spark takes parts and places for as few as the suffixes and would send them all through the driver
+    places = suffix.withColumn("part", part).join(parts.hint("merge"), ["host", "suffix", "part"]).groupBy("key").agg(F.collect_set("place").alias("places"))
     packed = source.select("page_id", "url", "key", "html").mapInArrow(_packed, f"page_id {id_type}, url string, key binary, packed binary")
-    rest = packed.join(places, "key", "left").select("page_id", "url", "packed", "places").mapInArrow(_uncovered, f"page_id {id_type}, url string, text string, n_repeated long")
+    rest = packed.join(places.hint("merge"), "key", "left").select("page_id", "url", "packed", "places").mapInArrow(_uncovered, f"page_id {id_type}, url string, text string, n_repeated long")
     return rest.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
 
 
