@@ -212,3 +212,21 @@ def test_arrays_of_one_type_are_compared_without_json(spark):
     assert [tuple(r) for r in got] == [(True, False, True, True, True, False, True), (True,) * 7, (True, False, True, True, True, False, False), (True, True, True, False, True, False, False)]
     plan = lambda c: df.select(c)._jdf.queryExecution().optimizedPlan().toString()
     assert "<=>" in plan(I.same(F.reverse("a"), "a", df)) and "<=>" not in plan(I.same(a.cast("array<bigint>"), "a", df))
+
+
+def test_only_distinct_values_become_texts(spark):
+    """Odd values and more columns than one number has bits, against plain Python; no cell of a row is made a text."""
+    a = spark.createDataFrame([(1, 1.0, -0.0, "1.0", None), (2, 2.5, 0.0, "x", None), (2, float("nan"), 7.0, "2.50", None)], "i int, d double, z double, s string, n long")
+    wide = {f"w{j}": F.col("i").cast("long") + j % 3 for j in range(70)}
+    b = a.select("i", F.col("s").alias("m"), F.col("z").alias("y"), *[v.alias(k) for k, v in wide.items()])
+
+    def values(df):
+        rows = df.select(*[F.regexp_replace(F.col(c).cast("string"), r"\.0+$", "").alias(c) for c in df.columns]).collect()
+        return {c: {r[c] for r in rows} - {None} for c in df.columns}
+
+    x, y = values(a), values(b)
+    want = {(s, t): (len(x[s] & y[t]), len(x[s]), len(y[t])) for s in x for t in y if x[s] & y[t]}
+    found = M.overlaps(a, b, a.columns, b.columns)
+    assert {(r["source"], r["target"]): (r["shared"], r["source_values"], r["target_values"]) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert any("Generate" in line for line in plan) and not any("Generate" in line and "regexp_replace" in line for line in plan)

@@ -1,10 +1,11 @@
-"""Which source may feed which target: shared values of all column pairs in one shuffle, and names."""
+"""Which source may feed which target: shared values of all column pairs, and names."""
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.plans.program import at
@@ -33,23 +34,56 @@ def affinity(source: str, target: str) -> float:
 def overlaps(original: DataFrame, transformed: DataFrame, sources: list[str], targets: list[str]) -> DataFrame:
     """source, target, shared, source_values, target_values: distinct values of columns, and how many two share.
 
-    Both sides need not be aligned. An inverted index from value to the columns that hold it takes one
-    shuffle of distinct values; a value's columns, not its rows, make the pairs. Values are compared as
-    texts, numbers by value; nulls, arrays and records are left out.
+    Both sides need not be aligned. Rows move as distinct values of one type, each with a bit for every column
+    that holds it; only these become texts. Values with the same bits are then one row, so the pairs of columns
+    are made from the few combinations there are. Values are compared as texts, numbers by value; nulls, arrays
+    and records are left out.
     """
-    index = _values(original, sources, "s").unionByName(_values(transformed, targets, "t"))
-    held = index.groupBy("value").agg(*[F.collect_set(F.when(F.col("side") == x, F.col("column"))).alias(x) for x in "st"])
-    each = held.select(F.explode(F.flatten(F.transform("s", lambda a: F.transform(F.col("t"), lambda b: F.struct(a.alias("source"), b.alias("target")))))).alias("p"))
-    shared = each.groupBy("p.source", "p.target").agg(F.count(F.lit(1)).alias("shared"))
-    sizes = index.groupBy("side", "column").agg(F.count(F.lit(1)).alias("values"))
-    size = lambda x, name: sizes.where(F.col("side") == x).select(F.col("column").alias(name), F.col("values").alias(f"{name}_values"))
-    return shared.join(size("s", "source"), "source").join(size("t", "target"), "target").select("source", "target", "shared", "source_values", "target_values")
-
-
-def _values(df: DataFrame, columns: list[str], side: str) -> DataFrame:
-    number = lambda c: F.regexp_replace(c.cast("string"), r"\.0+$", "")
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), number(at(c)).alias("value")) for c in columns])).alias("x")
-    return df.select(cells).select(F.lit(side).alias("side"), "x.column", "x.value").where("value IS NOT NULL").distinct()
+    names = [*sources, *targets]
+    held = _held(((original, sources), (transformed, targets)))
+    alike = held.groupBy(*_bits(len(names))).agg(F.count(F.lit(1)).alias("n"))
+    of = lambda first, columns: F.array_compact(F.array(*[F.when(F.col(f"_m{i // BITS}").bitwiseAND(F.lit(1 << i % BITS)) != 0, F.lit(c)) for i, c in enumerate(columns, first)]))
+    pair = lambda a, b: F.struct(a.cast("string").alias("source"), b.cast("string").alias("target"))
+    none = F.lit(None)
+    both = F.flatten(F.transform("s", lambda a: F.transform(F.col("t"), lambda b: pair(a, b))))
+    sizes = [F.transform("s", lambda a: pair(a, none)), F.transform("t", lambda b: pair(none, b))]
+    each = alike.select("n", of(0, sources).alias("s"), of(len(sources), targets).alias("t")).select("n", F.explode(F.concat(both, *sizes)).alias("p"))
+    counts = each.groupBy("p.source", "p.target").agg(F.sum("n").alias("shared"))
+    size = lambda x, other: F.max(F.when(F.col(other).isNull(), F.col("shared"))).over(Window.partitionBy(x)).alias(f"{x}_values")
+    return counts.select("source", "target", "shared", size("source", "target"), size("target", "source")).where("source IS NOT NULL AND target IS NOT NULL")
+
+
+#: Columns that one whole number has a bit for.
+BITS = 62
+
+
+def _bits(n: int) -> list[str]:
+    return [f"_m{j}" for j in range(-(-n // BITS))]
+
+
+def _held(sides) -> DataFrame:
+    """value (a text), and a bit for each column that holds it, counted over the ``sides`` (rows, columns)."""
+    bits = _bits(sum(len(columns) for _, columns in sides))
+    cells: dict[str, list[DataFrame]] = {}
+    first = 0
+    for df, columns in sides:
+        kinds: dict[str, list] = {}
+        for i, c in enumerate(columns, first):
+            kind = {"tinyint": "long", "smallint": "long", "int": "long", "bigint": "long", "double": "double"}.get(df.select(at(c)).dtypes[0][1], "string")
+            mask = [F.lit(1 << i % BITS if j == i // BITS else 0).cast("long").alias(b) for j, b in enumerate(bits)]
+            kinds.setdefault(kind, []).append(F.struct(at(c).cast(kind).alias("v"), *mask))
+        first += len(columns)
+        for kind, own in kinds.items():
+            cells.setdefault(kind, []).append(df.select(F.inline(F.array(*own))).where("v IS NOT NULL"))
+    joined = [F.bit_or(b).alias(b) for b in bits]
+    texts = []
+    for kind, rows in cells.items():
+        # a group takes -0.0 for 0.0, whose texts differ
+        zero = F.when(F.col("v") == 0, F.col("v").cast("string")) if kind == "double" else F.lit(None).cast("string")
+        found = reduce(DataFrame.unionByName, rows).groupBy("v", zero.alias("z")).agg(*joined)
+        text = F.coalesce("z", F.col("v").cast("string"))
+        texts.append(found.select((text if kind == "long" else F.regexp_replace(text, r"\.0+$", "")).alias("value"), *bits))
+    return reduce(DataFrame.unionByName, texts).groupBy("value").agg(*joined)
 
 
 def matches(original: DataFrame, transformed: DataFrame, sources: list[str], targets: list[str], most: int = 1) -> DataFrame:
