@@ -96,3 +96,24 @@ def test_a_text_goes_on_in_later_batches(spark, tmp_path):
         M.written(M.remembered(lines, "k", grams=50), f"{tmp_path}/out", f"file://{tmp_path}/state")
     whole = S.novelty_evicting(S.marked(spark.createDataFrame(rows, "k long, line_no long, line string"), "k"), "k", entries=50)
     assert sorted((r["line_no"], r["novelty"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted((r["line_no"], r["novelty"]) for r in whole.collect())
+
+
+def test_saved_memories_are_no_larger_than_their_text():
+    lines = [(n, line) for _, n, line in some_lines(3, 400) if line.strip()]
+    grams, postings = M.Grams(), M.Postings()
+    for n, line in lines:
+        assert M._words(line.encode()) == list(dict.fromkeys(w for w in line.split() if len(w) > 2))
+        postings.restated(n, M._words(line.encode()), n)
+        grams.unseen(M.sampled(line.encode()))
+    again = M.Postings(postings.data())
+    assert again.of == postings.of and again.lines == postings.lines and list(M.Grams(grams.data()).known) == list(grams.known)
+    assert len(grams.data()) + len(postings.data()) < sum(len(line) for _, line in lines)
+
+
+def test_words_of_other_lines_are_sparks(spark, tmp_path):
+    rows = [(1, "Größe der Datei KELVINK zwei drei"), (2, "drei zwei kelvink der datei größe 17"), (3, "plain words of an ascii LINE")]
+    df = spark.createDataFrame([(1, "\n".join(t for _, t in rows))], "k long, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = {r[1]: r[3] for r in stream(spark, tmp_path, "out", f"{tmp_path}/in")}
+    plain = [(r["line_no"], r["tokens"], r["template"]) for r in M.prepared(S.lines(df, "k"), "k").orderBy("line_no").collect()]
+    assert {n: e for n, e in got.items() if e is not None} == {n: e for n, (e, _) in plain_restatements(plain, M.WORDS, M.POSTINGS).items()}
