@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,28 @@ def test_novelty_is_of_the_first_line_with_a_gram(spark):
     y = S.novelty(x, "d")
     assert {(r["d"], r["line_no"]): r["novelty"] for r in y.collect()} == want
     assert "Generate explode(grams" not in y._jdf.queryExecution().executedPlan().toString()
+
+
+def test_novelty_folds_many_texts_in_one_call(spark, monkeypatch):
+    """Pieces of any size give each text what it gets alone, lines in any order; no call for each text."""
+    rng = random.Random(4)
+    texts = [[(n + 1, "".join(rng.choice("abé ") for _ in range(rng.randrange(0, 90))).encode()) for n in range(rng.randrange(1, 12))] for _ in range(30)]
+    kind = pa.list_(pa.struct([("line_no", pa.int64()), ("_b", pa.binary())]))
+
+    def fold(some, most):
+        monkeypatch.setattr(S, "FOLDED", most)
+        rows = [[{"line_no": n, "_b": b} for n, b in rng.sample(t, len(t))] for t in some]
+        batch = pa.record_batch([pa.array(range(len(some))), pa.array(rows, kind)], ["_k", "_ls"])
+        return [r for b in S._unseen([batch, batch.slice(0, 0), batch.slice(len(some) // 2)]) for r in b.column("_r").to_pylist()]
+
+    alone = [fold([t], 1)[0] for t in texts]
+    for most in (1, 500, 1 << 20):
+        assert fold(texts, most) == alone + alone[len(texts) // 2 :]
+    for t, rows in zip(texts, alone):
+        known = set()
+        for (n, b), r in zip(t, rows, strict=True):
+            own = {b[i : i + 4] for i in range(0, len(b) - 3, 2 if len(b) > 48 else 1)}
+            assert (r["line_no"], r["bytes"], r["_new"]) == (n, len(b), len(own - known))
+            known |= own
+    plan = S.novelty(S.lines(spark.createDataFrame([(1, "a line")], "k long, text string"), "k"), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
